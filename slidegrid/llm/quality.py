@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train_rows: int = MAX_TRAIN_R
     marks = marks.where(chosen(F.col("key"))).groupBy("key").agg(F.min("quality").alias("quality"))
     texts = pick(docs, key="doc_id", text="text").where("key is not null").where(~held_out(F.col("key")) & chosen(F.col("key")))
     rows = texts.select("key", statistics_udf("text").alias("x")).join(marks, "key").select("x", "quality").toPandas()
-    x = np.array(rows["x"].tolist(), float).reshape(len(rows), -1)
+    x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(statistics(None)))
     return QuadraticDiscriminant.fit(x, rows["quality"].to_numpy(int))
 
 

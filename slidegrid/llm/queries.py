@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, warc
 from .common import table
 
 
@@ -12,6 +12,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op7_quality": op7_quality}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {"op7_quality": op7_quality, "op10_warc": op10_warc}
+
+ORACLES: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+        f AS (SELECT html, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY html)
+        SELECT p.page_id, p.n::BIGINT AS payload_bytes, sha256(p.html) AS payload_digest,
+               CASE WHEN f.first IS DISTINCT FROM p.page_id AND f.first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first IS DISTINCT FROM p.page_id THEN f.first END AS refers_to
+        FROM p LEFT JOIN f ON p.html = f.html""",
+}
