@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, warc
+from . import decontaminate, quality, warc
 from .common import table
 
 
@@ -16,7 +16,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op7_quality": op7_quality, "op10_warc": op10_warc}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op9_decontaminate": op9_decontaminate, "op7_quality": op7_quality, "op10_warc": op10_warc}
 
 ORACLES: dict[str, str] = {
     "op10_warc": """
