@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, warc
+from . import decontaminate, quality, urls, warc
 from .common import table
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -20,7 +24,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op9_decontaminate": op9_decontaminate, "op7_quality": op7_quality, "op10_warc": op10_warc}
+QUERIES = {"op1_urls": op1_urls, "op9_decontaminate": op9_decontaminate, "op7_quality": op7_quality, "op10_warc": op10_warc}
 
 ORACLES: dict[str, str] = {
     "op10_warc": """
