@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, urls, warc
+from . import decontaminate, quality, substrings, urls, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,9 +28,20 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_urls": op1_urls, "op9_decontaminate": op9_decontaminate, "op7_quality": op7_quality, "op10_warc": op10_warc}
+QUERIES = {"op6_substrings": op6_substrings, "op1_urls": op1_urls, "op9_decontaminate": op9_decontaminate, "op7_quality": op7_quality, "op10_warc": op10_warc}
 
 ORACLES: dict[str, str] = {
+    "op6_substrings": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM d),
+        h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS k FROM s),
+        r AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
+        g AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM h SEMI JOIN r USING (k)) GROUP BY doc_id),
+        k AS (SELECT d.doc_id, d.w, coalesce(g.gone, []) AS gone FROM d LEFT JOIN g USING (doc_id)),
+        x AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d)
+              ANTI JOIN (SELECT doc_id, unnest(gone) AS p FROM g) USING (doc_id, p) GROUP BY doc_id)
+        SELECT k.doc_id, len(k.w)::BIGINT AS n_words, len(k.gone)::BIGINT AS n_removed, sha256(coalesce(x.kept, '')) AS kept_sha256
+        FROM k LEFT JOIN x USING (doc_id)""",
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
         f AS (SELECT html, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY html)
