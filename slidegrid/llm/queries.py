@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_duplicates, quality, substrings, suffix_model, urls, warc
+from . import decontaminate, html_text, near_duplicates, quality, substrings, suffix_model, urls, warc
 from .common import table
 
 
@@ -32,11 +32,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op4_suffix_model": op4_suffix_model, "op5_near_duplicates": op5_near_duplicates, "op6_substrings": op6_substrings, "op1_urls": op1_urls, "op9_decontaminate": op9_decontaminate, "op7_quality": op7_quality, "op10_warc": op10_warc}
+QUERIES = {"op8_html_text": op8_html_text, "op4_suffix_model": op4_suffix_model, "op5_near_duplicates": op5_near_duplicates, "op6_substrings": op6_substrings, "op1_urls": op1_urls, "op9_decontaminate": op9_decontaminate, "op7_quality": op7_quality, "op10_warc": op10_warc}
 
 ORACLES: dict[str, str] = {
     "op6_substrings": r"""
