@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, near_duplicates, neighbours, quality, substrings, suffix_model, urls, warc
+from . import decontaminate, html_text, near_duplicates, neighbours, packing, quality, substrings, suffix_model, urls, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_model.score_corpus(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_neighbours": op2_neighbours, "op8_html_text": op8_html_text, "op4_suffix_model": op4_suffix_model, "op5_near_duplicates": op5_near_duplicates, "op6_substrings": op6_substrings, "op1_urls": op1_urls, "op9_decontaminate": op9_decontaminate, "op7_quality": op7_quality, "op10_warc": op10_warc}
+QUERIES = {"op3_packing": op3_packing, "op2_neighbours": op2_neighbours, "op8_html_text": op8_html_text, "op4_suffix_model": op4_suffix_model, "op5_near_duplicates": op5_near_duplicates, "op6_substrings": op6_substrings, "op1_urls": op1_urls, "op9_decontaminate": op9_decontaminate, "op7_quality": op7_quality, "op10_warc": op10_warc}
 
 ORACLES: dict[str, str] = {
     "op6_substrings": r"""
