@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slidegrid.llm import quality
+from slidegrid.llm import decontaminate, near_duplicates, packing, quality, substrings
 from slidegrid.llm.common import stored, table
 
 
@@ -13,7 +13,33 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.accept(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality classifier", accept_quality)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest id stays."""
+    return near_duplicates.distinct_documents(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that also stand elsewhere go; so do documents of which nothing is left."""
+    return substrings.strip(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents in bins."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", accept_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("repeated passages", cut_repeated_passages),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack_bins),
+]
 
 #: A trained classifier and bin packing have no SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
@@ -22,5 +48,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir), "snappy")
     return STAGES[-1][1](spark, docs, sf_dir)
