@@ -9,9 +9,10 @@ all 12 first nodes once in 10^10. Work on the nodes:
 2. Stars: in each node, every class is paired with the node's smallest class. Pairs whose sketches (64 minwise bytes)
    agree on fewer than SKETCH_LEAST places are dropped: at similarity 0.85 once in 10^6. The others are confirmed on
    full sets, made from the whole texts, and confirmed links give components.
-3. A node whose classes are all in one component is done. Another one of at most NODE classes is compared
-   exhaustively, across components only; a larger one branches by its tree's next token, and what is still large at
-   the last level is compared in blocks. The pairs that are left are confirmed in the same way.
+3. A node whose classes are all in one component is done. Another one of at most NODE classes is small; a larger one
+   branches by its tree's next token, and what is still large at the last level is cut into parts of two blocks each,
+   in which every two classes meet. Classes of a node whose sketches link components are compared exhaustively in one
+   task, on full sets made from whole texts, and only links that join components are written.
 
 Links inside a component that the stars have not tested are not needed, so no group's pairs are written out.
 
@@ -129,7 +130,7 @@ def _nodes(classes: DataFrame) -> DataFrame:
 def _stars(classes: DataFrame, percent: int) -> DataFrame:
     nodes = _nodes(classes)
     hubs = nodes.groupBy("node").agg(F.min(F.struct("cls", "n_shingles")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    pairs = nodes.join(hubs, "node").where((F.col("cls") != F.col("hub.cls")) & _sizes_fit(F.col("n_shingles"), F.col("hub.n_shingles"), percent))
+    pairs = nodes.join(stored(hubs), "node").where((F.col("cls") != F.col("hub.cls")) & _sizes_fit(F.col("n_shingles"), F.col("hub.n_shingles"), percent))
     pairs = pairs.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).distinct()
     return _pruned(pairs, classes)
 
@@ -139,32 +140,106 @@ def _pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(_alike("a_sketch", "b_sketch")).select("a", "b")
 
 
-def _exhaust(nodes: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of a node across components with like sketches; node, cls, n_shingles, label, sketch come in."""
+def _clusters(nodes: DataFrame, percent: int) -> DataFrame:
+    """part, cluster, cls, label: the classes of a part whose sketches link them with another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
                 yield from zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
 
-        for _, group in groupby(rows(), key=lambda r: r[0]):
-            own = list(group)
+        for part, group in groupby(rows(), key=lambda r: r[0]):
+            own = list({r[1]: r for r in group}.values())
             cls, size, label = (np.array([r[i] for r in own], np.int64) for i in (1, 2, 3))
             marks = np.frombuffer(b"".join(r[4] for r in own), np.uint8).reshape(-1, FUNCTIONS)
+            root = list(range(len(own)))
             for i in range(len(own) - 1):
                 rest = np.flatnonzero((label[i + 1 :] != label[i]) & (100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i]))) + i + 1
-                rest = rest[(marks[rest] == marks[i]).sum(1) >= SKETCH_LEAST]
-                if len(rest):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(cls[rest], cls[i])), pa.array(np.minimum(cls[rest], cls[i]))], ["a", "b"])
+                for j in rest[(marks[rest] == marks[i]).sum(1) >= SKETCH_LEAST].tolist():
+                    _unite(root, i, j)
+            roots = np.array([_root(root, i) for i in range(len(own))])
+            several = np.flatnonzero(np.bincount(roots, minlength=len(own))[roots] > 1)
+            if len(several):
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(several), pa.string()), pa.array(roots[several], pa.int32()), pa.array(cls[several]), pa.array(label[several])], ["part", "cluster", "cls", "label"])
 
-    dealt = nodes.select("node", "cls", "n_shingles", "label", "sketch").repartition("node").sortWithinPartitions("node")
+    dealt = nodes.select("part", "cls", "n_shingles", "label", "sketch").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "part string, cluster int, cls long, label long")
+
+
+def _root(root: list[int], i: int) -> int:
+    while root[i] != i:
+        root[i] = root[root[i]]
+        i = root[i]
+    return i
+
+
+def _unite(root: list[int], i: int, j: int) -> bool:
+    i, j = _root(root, i), _root(root, j)
+    root[max(i, j)] = min(i, j)
+    return i != j
+
+
+def overlaps(sets: list[np.ndarray], width: int = 20_000) -> np.ndarray:
+    """How many members each two sets share."""
+    own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    out = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(place.max(initial=-1)) + 1, width):
+        here = (place >= at) & (place < at + width)
+        marks = np.zeros((len(sets), width), np.float32)
+        marks[own[here], place[here] - at] = 1
+        out += marks @ marks.T
+    return out
+
+
+def _exhaust(clusters: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Links (a, b) that join components, from comparing all full sets of a cluster; no more than it has members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+
+        def rows():
+            for batch in batches:
+                for *head, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                    yield (*head, text)
+
+        for _, group in groupby(rows(), key=lambda r: r[:2]):
+            own, sets = {}, []
+            for r in group:
+                if r[2] not in own:
+                    own[r[2]] = r[3]
+                    sets.append(shingle_set(r[4].as_buffer().to_pybytes().translate(LOWER).split(), ids, shingle))
+            cls, labels = list(own), list(own.values())
+            first = {}
+            root = [first.setdefault(x, i) for i, x in enumerate(labels)]
+            size = np.array([len(x) for x in sets])
+            both = overlaps(sets)
+            near = np.argwhere(np.triu(100 * both >= percent * (size[:, None] + size[None] - both), 1))
+            out = [(max(cls[i], cls[j]), min(cls[i], cls[j])) for i, j in near.tolist() if _unite(root, i, j)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    texts = keyed(docs)
+    where = classes.select("cls", F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    located = clusters.join(where, "cls")
+    held = texts.join(located, (located["key"] == texts["text_key"]) & located["id"].eqNullSafe(texts["doc_id"]))
+    dealt = held.select("part", "cluster", "cls", "label", "text").repartition("part", "cluster").sortWithinPartitions("part", "cluster")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _open(nodes: DataFrame) -> DataFrame:
     """The rows of nodes that hold more than one component, with the number of classes."""
     state = nodes.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("node", "n")
-    return nodes.join(state, "node")
+    return nodes.join(stored(state), "node")
+
+
+def _in_blocks(nodes: DataFrame, size: int) -> DataFrame:
+    """Large nodes as parts of two blocks each, so that every two classes meet in one."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    own = nodes.withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("cls", "node"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.concat_ws(":", F.col("node").cast("string"), F.least("at", "other").cast("string"), F.greatest("at", "other").cast("string"))
+    return met.select(part.alias("part"), "cls", "n_shingles", "label")
 
 
 def linked_classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, node: int = NODE) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -180,9 +255,11 @@ def linked_classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
     found, level = [], 1
     while True:
         last = level == LEVELS
-        small = nodes if last else nodes.where(F.col("n") <= node)
-        found.append(small.select("node", "cls", "n_shingles", "label"))
+        small = nodes.where(F.col("n") <= node).select(F.col("node").cast("string").alias("part"), "cls", "n_shingles", "label")
+        found.append(small)
         nodes = nodes.where(F.col("n") > node)
+        if last:
+            found.append(_in_blocks(nodes, node))
         if last or nodes.isEmpty():
             break
         token = F.element_at("paths", F.col("tree") * LEVELS + level + 1)
@@ -191,10 +268,9 @@ def linked_classes(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
     rest = found[0]
     for more in found[1:]:
         rest = rest.unionByName(more)
-    pairs = _exhaust(rest.join(classes.select("cls", "sketch"), "cls"), percent).join(stars, ["a", "b"], "left_anti")
-    pairs = stored(pairs)
-    if not pairs.isEmpty():
-        links = links.unionByName(confirm(pairs, classes, docs, percent, shingle))
+    clusters = stored(_clusters(rest.join(classes.select("cls", "sketch"), "cls"), percent))
+    if not clusters.isEmpty():
+        links = links.unionByName(stored(_exhaust(clusters, classes, docs, percent, shingle)))
         labels = components(links)
     return table, classes, labels
 
