@@ -131,3 +131,19 @@ def resolution_column(name: Column) -> Column:
 
 def age_hours(then: Column, now: Column | None = None) -> Column:
     return (F.unix_micros(now if now is not None else F.current_timestamp()) - F.unix_micros(then)) / 3.6e9
+
+
+def rename_existing(df: DataFrame, names: dict[str, str], **constants: object) -> DataFrame:
+    """Rename the columns that exist and add constant ones."""
+    return df.withColumnsRenamed(names).withColumns({k: F.lit(v) for k, v in constants.items()})
+
+
+def require_non_null(df: DataFrame, *names: str) -> DataFrame:
+    return require_columns(df, *names).dropna(subset=list(names))
+
+
+def arrange(df: DataFrame, first: tuple[str, ...] = ("sample_id",), integers: tuple[str, ...] = (), strip: dict[str, str] | None = None) -> DataFrame:
+    """Leading columns first, integer columns cast where they parse, and literal texts taken out of others."""
+    changes = {c: F.col(c).try_cast("int") for c in integers} | {c: F.regexp_replace(c, re.escape(t), "") for c, t in (strip or {}).items()}
+    out = df.withColumns(changes)
+    return out.select(*first, *[c for c in out.columns if c not in first])

@@ -79,3 +79,27 @@ def overlay_points(points: DataFrame, category: str) -> DataFrame:
     """color_index: the category's place in alphabetical order, from 0."""
     order = points.select(category).distinct().withColumn("color_index", F.dense_rank().over(W.orderBy(category)) - 1)  # one row a category
     return points.join(order, category)
+
+
+def size_legend(points: DataFrame, size_by: str) -> DataFrame:
+    """Smallest, median and largest value for a legend of sizes."""
+    return points.agg(F.min(size_by).alias("low"), F.percentile(size_by, 0.5).alias("middle"), F.max(size_by).alias("high"))
+
+
+def compare_encoders(encoders: DataFrame, gene_lists: DataFrame, *, mean: str = "pearson_mean", std: str = "pearson_std") -> DataFrame:
+    """Mean, deviation and number of genes by run, dataset and encoder; gene_lists: run, gene."""
+    counts = gene_lists.groupBy("run").agg(F.countDistinct("gene").alias("num_genes"))
+    return encoders.join(counts, "run", "left").select("run", "dataset", "encoder", mean, std, "num_genes").orderBy("run", "dataset", F.desc_nulls_last(mean), "encoder")
+
+
+def prediction_boxes(predictions: DataFrame, *, by=("split",)) -> DataFrame:
+    """Box statistics of predictions and targets by split."""
+    long = predictions.unpivot([*by], ["pred", "target"], "layer", "value")
+    return box_stats(long, "value", (*by, "layer"))
+
+
+def spot_table(written: DataFrame, layers: DataFrame, obs: DataFrame, gene: str) -> DataFrame:
+    """Prediction, target and measured value of one gene by spot. layers: sample_id, obs_id, gene, raw, value; raw counts where both are there."""
+    measured = layers.where(F.col("gene") == gene).select("sample_id", "obs_id", F.coalesce("raw", "value").alias("measured"))
+    own = written.where(F.col("gene") == gene).select("sample_id", "obs_id", "pred", "target")
+    return obs.select("sample_id", "obs_id", "x", "y").join(own, ["sample_id", "obs_id"], "left").join(measured, ["sample_id", "obs_id"], "left")

@@ -85,7 +85,7 @@ def spot_to_display(coords: DataFrame, scale: float, patch: int, x: str = "coord
 
 def matrix_to_points(expression: DataFrame, obs: DataFrame) -> DataFrame:
     """A point for each non-zero entry."""
-    return expression.where("value > 0").join(obs.select("sample_id", "obs_id", "x", "y"), ["sample_id", "obs_id"]).select("sample_id", F.col("gene").alias("feature_name"), F.col("x").alias("x_location"), F.col("y").alias("y_location"))
+    return expression.where("value > 0").select("sample_id", "obs_id", "gene").join(obs.select("sample_id", "obs_id", "x", "y"), ["sample_id", "obs_id"]).select("sample_id", F.col("gene").alias("feature_name"), F.col("x").alias("x_location"), F.col("y").alias("y_location"))
 
 
 def smooth_neighbours(expression: DataFrame, obs: DataFrame, radius: int = 1) -> DataFrame:

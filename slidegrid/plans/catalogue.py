@@ -500,3 +500,70 @@ def q59_asset_manifest(s, d):
     sup = v.table(s, d, "supplier").select(F.col("s_suppkey").alias("sample_id"))
     found = reduce(lambda a, b: a.union(b), [sup.where(f"sample_id % {k} = 0").withColumn("kind", F.lit(name)) for k, name in ((2, "matrix"), (3, "patch"))])
     return tables.asset_manifest(sup, ["matrix", "patch", "vis"], found)
+
+
+@query("SELECT sample_id, l_orderkey, l_linenumber, gene FROM points WHERE NOT (gene LIKE '%1%' OR gene LIKE '%Brand#2%')", "points")
+def q60_drop_controls(s, d):
+    return genes.drop_control_features(v.points(s, d), ("1", "Brand#2")).select("sample_id", "l_orderkey", "l_linenumber", "gene")
+
+
+@query(", l AS (SELECT gene, row_number() OVER (ORDER BY gene DESC) - 1 AS pos FROM (SELECT DISTINCT p_brand AS gene FROM part WHERE p_size = 7)) SELECT sample_id, gene, pos::BIGINT AS pos, sum(value)::BIGINT AS total FROM spots JOIN l USING (gene) GROUP BY ALL", "points spots")
+def q61_restrict_genes(s, d):
+    listed = v.table(s, d, "part").where("p_size = 7").select(F.col("p_brand").alias("gene")).distinct()
+    listed = listed.withColumn("pos", (F.row_number().over(W.orderBy(F.desc("gene"))) - 1).cast("long"))  # a gene list
+    return genes.restrict_genes(v.spots(s, d), listed).groupBy("sample_id", "gene", "pos").agg(F.sum("value").alias("total"))
+
+
+@query("SELECT sample_id, gene AS feature_name, x AS x_location, y AS y_location FROM spots JOIN obs USING (sample_id, array_row, array_col)", "points spots obs")
+def q62_matrix_to_points(s, d):
+    return spatial.matrix_to_points(v.spots(s, d), v.obs(s, d))
+
+
+@query("SELECT l_returnflag AS sample_id, count(*) AS n_cells, round(avg(l_quantity), 6) AS mean_transcripts, round(sum(l_extendedprice), 2) AS total_area FROM lineitem GROUP BY ALL")
+def q63_refresh_meta(s, d):
+    cells = v.table(s, d, "lineitem").select(F.col("l_returnflag").alias("sample_id"), F.col("l_quantity").alias("transcript_counts"), F.col("l_extendedprice").alias("cell_area"))
+    return rounded(catalog.refresh_meta(cells), "mean_transcripts").withColumn("total_area", F.round("total_area", 2))
+
+
+@query(
+    """WITH n AS (SELECT o_custkey % 50 AS split, o_custkey AS pos, count(*) AS c FROM orders GROUP BY ALL), k AS (SELECT split, pos, CASE WHEN pos % 3 = 0 THEN NULL ELSE c END AS n, sum(c) OVER (PARTITION BY split) AS rows FROM n),
+    e AS (SELECT *, rows - coalesce(sum(n) OVER w, 0) AS rest, count(*) FILTER (WHERE n IS NULL) OVER w AS unknown, row_number() OVER (PARTITION BY split, n IS NULL ORDER BY pos) - 1 AS place FROM k WINDOW w AS (PARTITION BY split)),
+    z AS (SELECT *, CASE WHEN n IS NOT NULL THEN n ELSE rest // unknown + CASE WHEN place < rest % unknown THEN 1 ELSE 0 END END AS size FROM e),
+    f AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY split ORDER BY n IS NULL, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM z)
+    SELECT split, pos, pos AS sample_id, start::BIGINT AS start, (start + size)::BIGINT AS stop FROM f"""
+)
+def q64_allocate_slices(s, d):
+    counts = v.table(s, d, "orders").groupBy((F.col("o_custkey") % 50).alias("split"), F.col("o_custkey").alias("pos")).agg(F.count("*").alias("n"))
+    totals = counts.groupBy("split").agg(F.sum("n").alias("rows"))
+    known = counts.withColumn("n", F.when(F.col("pos") % 3 != 0, F.col("n"))).withColumn("sample_id", F.col("pos"))
+    return writeback.allocate(known, totals)
+
+
+@query("SELECT patient, array_to_string(list(sample_id ORDER BY sample_id), ',') AS members, count(*) AS n FROM meta GROUP BY ALL", "meta")
+def q65_group_members(s, d):
+    return splits.group_members(v.meta(s, d), "patient").withColumn("members", F.array_join("members", ","))
+
+
+@query(
+    """, q AS (SELECT sample_id, quantile_cont(pred, 0.25) AS q1, quantile_cont(pred, 0.5) AS median, quantile_cont(pred, 0.75) AS q3, avg(pred) AS m FROM pairs GROUP BY ALL)
+    SELECT sample_id, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, substr(sample_id, 1, 1) AS flag, CAST(row_number() OVER (PARTITION BY substr(sample_id, 1, 1) ORDER BY m DESC, sample_id) AS INTEGER) AS member_rank FROM q""",
+    "pairs",
+)
+def q66_sample_boxes(s, d):
+    p = v.pairs(s, d).withColumn("flag", F.substring("sample_id", 1, 1))
+    return rounded(report.sample_boxes(p, "flag", "pred").select("sample_id", "q1", "median", "q3", "flag", "member_rank"), "q1", "median", "q3")
+
+
+@query("SELECT vec_id AS seq, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm FROM embeddings")
+def q67_embed(s, d):
+    """A toy model over the vectors as images: their norms."""
+    import numpy as np
+
+    rows = v.table(s, d, "embeddings").select(F.lit("s").alias("sample_id"), F.col("vec_id").alias("seq"), F.col("label").cast("string").alias("barcode"), F.col("embedding").alias("img"))
+    out = models.embed(rows, lambda: lambda m: np.sqrt((m.astype(float) ** 2).sum(1, keepdims=True)))
+    return out.select("seq", F.round(F.element_at("embedding", 1).cast("double"), 4).alias("norm"))
+
+
+@query("SELECT gene, CAST(dense_rank() OVER (ORDER BY gene) - 1 AS INTEGER) AS color_index, count(*) AS n FROM points GROUP BY gene", "points")
+def q68_overlay_points(s, d):
+    return report.overlay_points(v.points(s, d), "gene").groupBy("gene", "color_index").agg(F.count("*").alias("n"))

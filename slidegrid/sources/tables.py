@@ -175,3 +175,21 @@ def parse_rules(text) -> object:
     parsed = F.transform(blocks, lambda b: F.from_json(b, "map<string,string>"))
     bad = (F.size(parsed) == 0) | F.exists(parsed, lambda m: m.isNull())
     return F.when(text.isNull() | (F.trim(text) == ""), F.array().cast("array<map<string,string>>")).when(bad, F.raise_error(F.concat(F.lit("no rules in: "), text))).otherwise(parsed)
+
+
+def write_split_predictions(predictions: DataFrame, path: str) -> None:
+    """split, seq, gene, pred, target, a partition for each split."""
+    predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split").parquet(path)
+
+
+def read_split_predictions(spark: SparkSession, path: str, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(predictions of the wanted splits, splits that have none)."""
+    rows, wanted = spark.read.parquet(path), splits.select("split").distinct()
+    return rows.join(wanted, "split", "left_semi"), wanted.join(rows.select("split").distinct(), "split", "left_anti")
+
+
+def write_run_log(splits: DataFrame, results: DataFrame, path: str, **config: object) -> None:
+    """One JSON line for each split: numbers of train and test samples, its mean metrics, and the run's settings."""
+    sizes = splits.groupBy("split").agg(F.count_if(F.col("part") == "train").alias("n_train"), F.count_if(F.col("part") == "test").alias("n_test"))
+    scores = results.groupBy("split").agg(F.avg(nan_to_null(F.col("pearson"))).alias("pearson_mean"), F.avg(nan_to_null(F.col("mse"))).alias("mse_mean"))
+    sizes.join(scores, "split", "left").withColumns({k: F.lit(v) for k, v in config.items()}).coalesce(1).write.mode("append").json(path)

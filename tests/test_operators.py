@@ -267,3 +267,46 @@ def test_report_tables(spark):
 def test_age(spark):
     row = spark.createDataFrame([(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))], "a timestamp, b timestamp")
     assert row.select(c.age_hours(F.col("a"), F.col("b"))).first()[0] == 24.0
+
+
+def test_package(spark, tmp_path):
+    from slidegrid.plans import packages
+
+    obs = spark.createDataFrame([(s, o) for s in "abc" for o in range(6)], "sample_id string, obs_id int")
+    expression = spark.createDataFrame([(s, o, g, o + k) for s in "abc" for o in range(6) for k, g in enumerate(("g1", "g2"), 1)], "sample_id string, obs_id int, gene string, value int")
+    meta = spark.createDataFrame([(s, s, "d") for s in "abc"], "sample_id string, patient string, dataset_title string")
+    found = spark.createDataFrame([(s, k) for s in "abc" for k in ("matrix", "patch")][:-1], "sample_id string, kind string")
+    package = packages.build_package(expression, obs, meta, found)
+    with pytest.raises(FileNotFoundError, match="patch"):
+        packages.write_package(package, str(tmp_path))
+    packages.write_package(package, str(tmp_path), allow_missing=True)
+    assert [r["gene"] for r in tables.read_gene_list(spark, f"{tmp_path}/genes_common").collect()] == ["g1", "g2"]
+    assert package.splits.where("part = 'test'").count() == 3 and {"patches_path", "expr_path"} <= set(package.splits.columns)
+
+
+def test_split_predictions_and_log(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 0, "g", 1.0, 2.0), (1, 0, "g", 1.0, 1.0)], "split int, seq long, gene string, pred double, target double")
+    tables.write_split_predictions(rows, str(tmp_path / "p"))
+    wanted = spark.createDataFrame([(0,), (7,)], "split int")
+    got, missing = tables.read_split_predictions(spark, str(tmp_path / "p"), wanted)
+    assert got.count() == 1 and [r[0] for r in missing.collect()] == [7]
+    parts = spark.createDataFrame([(0, "train", "a"), (0, "train", "b"), (0, "test", "c")], "split int, part string, sample_id string")
+    tables.write_run_log(parts, spark.createDataFrame([(0, 0.5, 1.0)], "split int, pearson double, mse double"), str(tmp_path / "log"), method="ridge")
+    row = spark.read.json(str(tmp_path / "log")).first()
+    assert (row["n_train"], row["n_test"], row["pearson_mean"], row["method"]) == (2, 1, 0.5, "ridge")
+
+
+def test_columns_and_spot_table(spark):
+    frame = spark.createDataFrame([("S1", "3", "SLIDE 7"), ("S2", "x", None)], "sample_id string, roi string, slide string")
+    out = c.arrange(c.rename_existing(frame, {"slide": "slide_id", "none": "n"}, panel="p"), ("slide_id",), ("roi",), {"slide_id": "SLIDE "})
+    assert out.columns == ["slide_id", "sample_id", "roi", "panel"] and [tuple(r) for r in out.collect()] == [("7", "S1", 3, "p"), (None, "S2", None, "p")]
+    assert c.require_non_null(frame, "SLIDE").count() == 1
+    with pytest.raises(ValueError, match="missing"):
+        c.require_columns(frame, "nothing")
+    written = spark.createDataFrame([("s", "o", "g", 1.0, 2.0)], "sample_id string, obs_id string, gene string, pred double, target double")
+    layers = spark.createDataFrame([("s", "o", "g", None, 5.0)], "sample_id string, obs_id string, gene string, raw double, value double")
+    obs = spark.createDataFrame([("s", "o", 0.0, 0.0), ("s", "p", 1.0, 0.0)], "sample_id string, obs_id string, x double, y double")
+    got = {r["obs_id"]: (r["pred"], r["measured"]) for r in report.spot_table(written, layers, obs, "g").collect()}
+    assert got == {"o": (1.0, 5.0), "p": (None, None)}
+    boxes = {r["layer"]: r["median"] for r in report.prediction_boxes(written.withColumn("split", F.lit(0))).collect()}
+    assert boxes == {"pred": 1.0, "target": 2.0}
