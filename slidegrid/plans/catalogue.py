@@ -170,10 +170,10 @@ def q15_metric_quartiles(s, d):
     return rounded(out, *out.columns)
 
 
-@query("SELECT dataset, encoder, array_to_string(list(CASE WHEN corr IS NULL THEN '-' ELSE printf('%.6f', corr) END ORDER BY fold), ' ') AS folds, CASE WHEN count(corr) = count(*) THEN round(avg(corr), 6) END AS mean, CASE WHEN count(corr) = count(*) THEN round(stddev_pop(corr), 6) END AS std FROM runs GROUP BY ALL", "runs")
+@query("SELECT dataset, encoder, array_to_string(list(CASE WHEN corr IS NULL THEN '-' ELSE CAST(round(corr * 1e9) AS BIGINT)::VARCHAR END ORDER BY fold), ' ') AS folds, CASE WHEN count(corr) = count(*) THEN round(avg(corr), 6) END AS mean, CASE WHEN count(corr) = count(*) THEN round(stddev_pop(corr), 6) END AS std FROM runs GROUP BY ALL", "runs")
 def q16_merge_folds(s, d):
     out = metrics.merge_folds(v.runs(s, d), ("dataset", "encoder"))
-    text = F.array_join(F.transform("values", lambda x: F.when(x.isNull(), "-").otherwise(F.format_string("%.6f", x))), " ")
+    text = F.array_join(F.transform("values", lambda x: F.when(x.isNull(), "-").otherwise(F.round(x * 1e9).cast("long").cast("string"))), " ")
     return rounded(out.select("dataset", "encoder", text.alias("folds"), "mean", "std"), "mean", "std")
 
 
