@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from slidegrid.plans import catalogue
@@ -21,7 +22,7 @@ def duck():
 
 def plain(frame):
     def value(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return "null"
         return round(float(x), 5) if isinstance(x, float) else x if isinstance(x, bool) else str(x)
 
