@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -24,7 +25,7 @@ def plain(frame):
     def value(x):
         if x is None or x is pd.NA or x != x:
             return "null"
-        return round(float(x), 5) if isinstance(x, float) else x if isinstance(x, bool) else str(x)
+        return str(x) if isinstance(x, str | bool | np.bool_) else round(float(x), 5)
 
     frame = frame[sorted(frame.columns)].astype(object)
     return sorted((tuple(map(value, r)) for r in frame.itertuples(index=False)), key=str)
