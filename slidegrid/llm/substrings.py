@@ -195,10 +195,10 @@ def repeated_runs(docs: DataFrame, *, width: int = WIDTH, anchor: int = ANCHOR,
     each = table.select("row", "doc_id", "text_key", "n_words", F.posexplode(F.arrays_zip("anchors", "hashes", "starts")).alias("k", "b"), F.slice(F.concat("starts", F.array(F.greatest(F.lit(0), F.col("n_words") - width + 1))), 2, 1 << 30).alias("ends"))
     each = each.select("row", F.col("b.anchors").alias("anchor"), F.col("b.hashes").alias("hash"), F.col("b.starts").alias("start"), (F.element_at("ends", F.col("k") + 1) - F.col("b.starts")).alias("size"))
     often = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    blocks = stored(each.join(often, "anchor"))
+    blocks = stored(each.join(stored(often), "anchor"))  # sums are written first, so that the join can split a frequent anchor
     kinds = blocks.groupBy("anchor", "hash").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "size")).alias("at"))
     leaves = kinds.groupBy("anchor").agg(F.count("*").alias("leaves"))
-    kinds = stored(kinds.join(leaves, "anchor"))
+    kinds = stored(kinds.join(stored(leaves), "anchor"))
     wanted = kinds.where("leaves > 1").select("at.row", F.struct("anchor", "hash", "n", (F.col("leaves") > most_leaves).alias("large"), "at.start", (F.col("at.size") + width - 1).alias("size")).alias("b"))
     wanted = wanted.groupBy("row").agg(F.collect_list("b").alias("blocks")).join(table.select("row", "doc_id", "text_key"), "row")
     texts = keyed(docs).withColumnRenamed("doc_id", "id")
