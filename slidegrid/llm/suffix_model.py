@@ -1,15 +1,20 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Training counts whole texts. A string of up to DEPTH words is a candidate context if its share of all tokens is at least
-STATE_SHARE, and a next symbol counts after it if the two together reach SYMBOL_SHARE; so a level has at most
-1 / STATE_SHARE contexts and 1 / SYMBOL_SHARE symbols whatever the corpus, and that bound is what may be broadcast. A
-symbol is kept at a context if it diverges from the next shorter context: its probability there is at least RATIO times
-as large, and the counts gain at least GAIN nats. A context without kept symbols is left out of the tree.
+Training counts whole texts. A string of up to DEPTH words that occurs at least LEAST_STATE times is a candidate context,
+and a next symbol counts after it if the two together occur at least LEAST_SYMBOL times. These are counts, not shares, so
+a phrase is modelled the same in a small and in a large corpus, and the tree grows with it. A symbol is kept at a context
+if it diverges from the next shorter context: its probability there is at least RATIO times as large, and the counts gain
+at least GAIN nats. A context without kept symbols is left out of the tree.
 
 The next-symbol distribution of a context s is smoothed with that of its longest proper suffix,
 P(x | s) = (kept(s, x) + (n(s) - kept(s) + MU) P(x | suffix)) / (n(s) + MU), which sums to one; the empty context is the
-base model. Scoring takes the longest suffix in the tree at every place. Counts of words under WORD_SHARE aren't
-broadcast: they are joined by word, and as such words are never kept symbols, their terms add up apart.
+base model. Scoring takes the longest suffix in the tree at every place.
+
+Texts are coded once, in chunks of about CHUNK tokens. Each level is a table of (context, next) counts, added up in the
+chunks before the shuffle; the shorter context's rows are joined to it. The tree is a table too: each chunk asks it for
+its different words and strings, and gets those that it has. Only Bloom filters of bounded size are broadcast; what they
+let through in error is dropped by the joins. `train` and `Tree` hold the same model in one memory, by shares of all
+tokens, for small corpora and tests.
 
 Cases: a null text is empty and has the end token only; null ids are neither learnt from nor held out; repeated rows
 count each; without training rows N and V are 0, the base probability is 1 and all scores are 0.
@@ -29,7 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, pick, stored
 
-DEPTH, WORD_SHARE, STATE_SHARE, SYMBOL_SHARE, RATIO, GAIN, MU = 3, 1e-6, 1e-5, 1e-6, 1.2, 3.0, 5.0
+DEPTH, LEAST_STATE, LEAST_SYMBOL, RATIO, GAIN, MU = 3, 50, 5, 1.2, 3.0, 5.0
+WORD_SHARE, STATE_SHARE, SYMBOL_SHARE = 1e-6, 1e-5, 1e-6  # of `train`
+CHUNK, MOST_BITS = 1 << 21, 1 << 25
+BASE = np.uint64(0x9E3779B97F4A7C15)
 ALPHA, FLUSH = 0.1, 400_000
 END = b""  # no word is empty
 
@@ -229,54 +237,215 @@ def train(texts: DataFrame, *, depth: int = DEPTH, word_share: float = WORD_SHAR
     return tree, words
 
 
-SCORED = "row long, doc_id long, n_tokens long, n_frequent long, base double, score double, rare array<long>, times array<int>"
+CHUNKS = "chunk long, ids array<long>, held array<boolean>, sizes array<int>, codes array<int>, words array<long>"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [x.split()[0] for x in schema.split(", ")])
 
 
-def score(docs: DataFrame, tree: Tree, words: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
+def _coded(docs: DataFrame) -> DataFrame:
+    """One row a chunk of texts: their ids, sizes in tokens, and tokens as positions in the chunk's list of word ids."""
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = sent.value
-        coder, number = Coder(tree.keys), TaskContext.get().partitionId() << 33
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        log_base = np.log10(np.append(tree.base, 1.0))
+        number, known, parts = TaskContext.get().partitionId() << 33, {}, []
+
+        def chunk() -> pa.RecordBatch:
+            ids, held = (pa.concat_arrays([p[i] for p in parts]) for i in (0, 1))
+            sizes, codes = (pa.array(np.concatenate([p[i] for p in parts]), pa.int32()) for i in (2, 3))
+            return _batch(CHUNKS, np.array([number]), one(ids), one(held), one(sizes), one(codes), one(pa.array(_ids(list(known)))))
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 texts = [[*words_of(text), END] for text in part.column(1)]
                 tokens = [w for t in texts for w in t]
-                sizes = np.array([len(t) for t in texts])
-                first = np.cumsum(sizes) - sizes
-                codes = coder(tokens)
-                known = codes >= 0
-                p, factor = tree.probabilities(codes)
-                sums = lambda x, first=first: np.add.reduceat(x, first)
-                spots = np.flatnonzero(~known)
-                ids = _ids([tokens[i] for i in spots.tolist()])
-                owner = np.searchsorted(first, spots, "right") - 1
-                order = np.lexsort((ids, owner))
-                ids, owner = ids[order], owner[order]
-                new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (owner[1:] != owner[:-1]))) if len(ids) else np.zeros(0, np.int64)
-                ends = pa.array(np.searchsorted(owner[new], np.arange(len(texts) + 1)).astype(np.int32))
-                times = np.diff(np.append(new, len(ids))).astype(np.int32)
-                columns = [np.arange(number, number + len(texts)), part.column(0), sizes, sums(known.astype(np.int64)), sums(log_base[codes]), sums(np.log10(np.where(known, p, factor))), pa.ListArray.from_arrays(ends, pa.array(ids[new])), pa.ListArray.from_arrays(ends, pa.array(times))]
-                number += len(texts)
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCORED.split(", ")])
-
-    table = stored(pick(docs, doc_id="doc_id", text="text").mapInArrow(run, SCORED), "zstd")
-    whole = tree.total + ALPHA * (tree.distinct + 1)
-    spread = table.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
-    least = tree.counts.min() if len(tree.counts) else 1
-    met = spread.join(words.where(F.col("n") < int(least)) if len(tree.counts) else words, "key").groupBy("row").agg(F.sum("times").alias("met"), F.sum(F.col("times") * F.log10((F.col("n") + ALPHA) / whole)).alias("gain"))
-    rows = table.drop("rare", "times").join(met, "row", "left")
-    found = F.coalesce("met", F.lit(0))
-    apart = F.coalesce("gain", F.lit(0.0)) + (F.col("n_tokens") - F.col("n_frequent") - found) * F.log10(F.lit(ALPHA / whole))
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_frequent") + found).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + apart).alias("base_score"), (F.col("score") + apart).alias("score"))
+                for w in set(tokens).difference(known):
+                    known[w] = len(known)
+                parts.append((part.column(0), part.column(2), np.array([len(t) for t in texts]), np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))))
+                if sum(len(p[3]) for p in parts) >= CHUNK:
+                    yield chunk()
+                    number, known, parts = number + 1, {}, []
+        if parts:
+            yield chunk()
+
+    return stored(docs.mapInArrow(run, CHUNKS), "zstd")
+
+
+class Chunk:
+    """grams[k - 1]: for each token the key of the k words that end with it, which is sound if its offset in its text is >= k - 1."""
+
+    def __init__(self, row: dict, longest: int):
+        flat = {name: x.values.slice(x.offset and x.offsets[0].as_py(), len(x[0])) if isinstance(x, pa.ListArray) else x for name, x in row.items()}
+        self.ids, self.held = flat["ids"], flat["held"]
+        self.sizes = flat["sizes"].to_numpy()
+        words = flat["words"].to_numpy().view(np.uint64)
+        tokens = words[flat["codes"].to_numpy()]
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.offset = np.arange(len(tokens)) - np.repeat(self.first, self.sizes)
+        self.grams = [tokens]
+        for _ in range(longest - 1):
+            self.grams.append(follow(np.append(np.uint64(0), self.grams[-1][:-1]), tokens))
+
+    @property
+    def learnt(self) -> np.ndarray:
+        each = self.ids.is_valid().to_numpy(False) & ~self.held.to_numpy(False)
+        return np.repeat(each, self.sizes)
+
+
+def follow(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a context and a word."""
+    return context.astype(np.int64).view(np.uint64) * BASE + word.astype(np.int64).view(np.uint64)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[int, Chunk]]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = {name: pa.concat_arrays([batch.column(i).slice(at, 1)]) for i, name in enumerate(batch.schema.names)}
+            yield row["chunk"][0].as_py(), Chunk(row, longest)
+
+
+class Filter:
+    """A Bloom filter of keys, at most MOST_BITS large: with more keys it lets more others pass, but never drops one."""
+
+    def __init__(self, keys: DataFrame):
+        self.bits = bits = 1 << int(np.clip(np.ceil(np.log2(8 * keys.count() + 1)), 16, np.log2(MOST_BITS)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(bits, bool)
+            for batch in batches:
+                key = batch.column(0).to_numpy().view(np.uint64)
+                for place in Filter.places(key, bits):
+                    table[place] = True
+            packed = np.packbits(table, bitorder="little").view(np.int64)
+            at = np.flatnonzero(packed)
+            yield _batch("at long, bits long", at, packed[at])
+
+        rows = keys.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+        table = np.zeros(bits >> 6, np.int64)
+        table[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+        self.table = table.view(np.uint8)
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+        return [(keys & np.uint64(bits - 1)).astype(np.int64), (keys >> np.uint64(36) & np.uint64(bits - 1)).astype(np.int64)]
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        low, high = Filter.places(keys, self.bits)
+        return ((self.table[low >> 3] >> (low & 7)) & (self.table[high >> 3] >> (high & 7)) & 1).astype(bool)
+
+
+GRAMS = "ctx long, x long, n long"
+
+
+def _count(chunks: DataFrame, length: int, states: Filter | None = None, shorter: Filter | None = None) -> DataFrame:
+    """ctx (a key of `length` words), x (the next word), n over the texts that are learnt from."""
+    sent = chunks.sparkSession.sparkContext.broadcast((states, shorter))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states, shorter = sent.value
+        for _, chunk in _chunks(batches, length + 1):
+            at = np.flatnonzero(chunk.learnt & (chunk.offset >= length))
+            if length:
+                at = at[states(chunk.grams[length - 1][at - 1])]
+                at = at[shorter(chunk.grams[length - 1][at])]
+            _, first, n = np.unique(chunk.grams[length][at], return_index=True, return_counts=True)
+            at = at[first]
+            ctx = chunk.grams[length - 1][at - 1] if length else np.zeros(len(at), np.uint64)
+            yield _batch(GRAMS, ctx.view(np.int64), chunk.grams[0][at].view(np.int64), n)
+
+    return chunks.mapInArrow(run, GRAMS).groupBy("ctx", "x").agg(F.sum("n").alias("n"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """Adds key (context and next word) and short (the shorter context and next word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ctx, x, n, of, suffix = (batch.column(name).to_numpy() for name in ("ctx", "x", "n", "of", "suffix"))
+            yield _batch(NAMED, ctx, x, n, of, follow(ctx, x).view(np.int64), follow(suffix, x).view(np.int64))
+
+    return rows.mapInArrow(run, NAMED)
+
+
+NAMED = "ctx long, x long, n long, of long, key long, short long"
+
+
+def grow(chunks: DataFrame, *, depth: int = DEPTH, least_state: int = LEAST_STATE, least_symbol: int = LEAST_SYMBOL, word_share: float = 0.0, state_share: float = 0.0, symbol_share: float = 0.0) -> tuple[int, float, DataFrame, DataFrame]:
+    """Number of tokens, P of an unseen word, the tree (key, value, back), and its keys of two and more words.
+
+    value is the base probability of a word or kept(s, x) / (n(s) + MU) of a longer key; back is the factor of the shorter
+    context if the key is a context of the tree. Shares of all tokens raise the least counts on request.
+    """
+    words = stored(_count(chunks, 0).select(F.col("x").alias("key"), "n"))
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    whole = total + ALPHA * (distinct + 1)
+    base = words.select("key", "n", ((F.col("n") + ALPHA) / F.lit(whole)).alias("p"))
+    least_word, least_state, least_symbol = word_share * total, max(least_state, state_share * total), max(least_symbol, symbol_share * total)
+    end, none = int(_ids([END])[0]), F.lit(None).cast("double")
+    shorter = base.where(F.col("n") >= max(least_word, least_symbol)).select("key", "p")
+    states = base.where((F.col("n") >= max(least_word, least_state)) & (F.col("key") != end)).select(F.col("key").alias("ctx"), F.col("n").alias("of"), F.lit(0).cast("long").alias("suffix"))
+    parts, longer = [base.select("key", F.col("p").alias("value"), none.alias("back"))], []
+    for length in range(1, depth + 1):
+        if states.isEmpty():
+            break
+        counts = stored(_count(chunks, length, Filter(states.select("ctx")), Filter(shorter.select("key"))).where(F.col("n") >= least_symbol))
+        rows = stored(_named(counts.join(states, "ctx")))
+        rows = rows.join(shorter.select(F.col("key").alias("short"), F.col("p").alias("less")), "short")
+        here = F.col("n") / F.col("of")
+        kept = (here >= RATIO * F.col("less")) & (F.col("n") * F.log(here / F.col("less")) >= GAIN)
+        rows = stored(rows.withColumn("kept", F.when(kept, F.col("n")).otherwise(F.lit(0))))
+        mass = rows.groupBy("ctx").agg(F.sum("kept").alias("mass"), F.first("of").alias("of")).where("mass > 0")
+        back = stored(mass.select("ctx", ((F.col("of") - F.col("mass") + MU) / (F.col("of") + MU)).alias("back")))
+        value = F.col("kept") / (F.col("of") + MU)
+        level = stored(rows.join(back, "ctx", "left").select("key", "x", "n", "short", value.alias("value"), (value + F.coalesce("back", F.lit(1.0)) * F.col("less")).alias("p")))
+        gains = level.where("value > 0").select("key", "value", none.alias("back"))
+        backs = back.select(F.col("ctx").alias("key"), none.alias("value"), "back")
+        parts += [gains, backs]
+        longer += [gains.select("key"), *([backs.select("key")] if length > 1 else [])]
+        shorter = level.select("key", "p")
+        states = level.where((F.col("n") >= least_state) & (F.col("x") != end)).select(F.col("key").alias("ctx"), F.col("n").alias("of"), F.col("short").alias("suffix"))
+    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
+    tree = stored(union(parts).groupBy("key").agg(F.max("value").alias("value"), F.max("back").alias("back")))
+    return total, ALPHA / whole, tree, union(longer) if longer else words.select("key").limit(0)
+
+
+def score(chunks: DataFrame, total: int, unseen: float, tree: DataFrame, longer: DataFrame, *, depth: int = DEPTH) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each text."""
+    sent = chunks.sparkSession.sparkContext.broadcast(Filter(longer))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = sent.value
+        for number, chunk in _chunks(batches, depth + 1):
+            grams = [gram[chunk.offset >= k] for k, gram in enumerate(chunk.grams)]
+            keys = np.unique(np.concatenate([grams[0], *(gram[met(gram)] for gram in grams[1:])]))
+            yield _batch("chunk long, key long", np.full(len(keys), number), keys.view(np.int64))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("key")
+        keys, value, back = (right[name].to_numpy() for name in ("key", "value", "back"))
+        out = []
+        for _, chunk in _chunks(left.to_batches(), depth + 1):
+            grams = [gram.view(np.int64) for gram in chunk.grams]
+            at = [find(keys, gram) for gram in grams]
+            take = lambda x, i, other: np.where((i >= 0) & ~np.isnan(x[i]), x[i], other) if len(x) else np.full(len(i), other)
+            p = take(value, at[0], unseen)
+            known, base = at[0] >= 0, np.log10(p)
+            for k in range(1, depth + 1):
+                i = np.flatnonzero(chunk.offset >= k)
+                p[i] = take(value, at[k][i], 0.0) + take(back, at[k - 1][i - 1], 1.0) * p[i]
+            sums = lambda x, first=chunk.first: np.add.reduceat(x, first)
+            out.append(_batch(SCORED, chunk.ids, chunk.held, chunk.sizes.astype(np.int64), sums(known.astype(np.int64)), np.full(len(chunk.sizes), total), sums(base), sums(np.log10(p))))
+        return pa.Table.from_batches(out)
+
+    found = chunks.mapInArrow(ask, "chunk long, key long").join(tree, "key").select("chunk", "key", "value", "back")
+    return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, SCORED)
 
 
 def score_corpus(docs: DataFrame, **options) -> DataFrame:
     """Learn from the rows that aren't held out and score all rows."""
-    texts = pick(docs, doc_id="doc_id", text="text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("text")
-    tree, words = train(texts, **options)
-    return score(docs, tree, words)
+    rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held"))
+    chunks = _coded(rows)
+    return score(chunks, *grow(chunks, **options), depth=options.get("depth", DEPTH))

@@ -50,3 +50,29 @@ def test_empty(spark):
     assert sm.score_corpus(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = sm.score_corpus(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()
     assert (one["n_tokens"], one["n_known"], one["train_tokens"], one["base_score"], one["score"]) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_equals_the_tree_in_memory(spark):
+    docs = [(i, t) for i, t in corpus() if i is not None]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in sm.score_corpus(frame, least_state=20, least_symbol=4).collect()}
+    texts = [t for i, t in docs if zlib.crc32(str(i).encode()) % 10]
+    learnt = spark.createDataFrame([(t,) for t in texts], "text string")
+    total = sum(len((t or "").encode().split()) + 1 for t in texts)
+    tree, words = sm.train(learnt, word_share=0.0, state_share=19.5 / total, symbol_share=3.5 / total)
+    coder, unseen = sm.Coder(tree.keys), 0.1 / (tree.total + 0.1 * (tree.distinct + 1))
+    for i, t in docs:
+        tokens = [*"".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split(), sm.END]
+        codes = coder(tokens)
+        p, factor = tree.probabilities(codes)
+        want = sum(math.log10(a if c >= 0 else f * unseen) for a, f, c in zip(p, factor, codes, strict=True))
+        assert abs(got[i, len(tokens)] - want) < 1e-6
+
+
+def test_least_counts_do_not_rise_with_the_corpus(spark):
+    from pyspark.sql import functions as F
+
+    phrase = spark.range(80).select(F.col("id").alias("doc_id"), F.lit("alpha beta gamma delta").alias("text"))
+    filler = spark.range(1000, 1500).select(F.col("id").alias("doc_id"), F.expr("repeat('z y ', 10000)").alias("text"))
+    rows = sm.score_corpus(phrase.unionByName(filler)).where("doc_id < 80").collect()
+    assert len(rows) == 80 and all(r["score"] > 0.5 * r["base_score"] for r in rows)
