@@ -4,7 +4,9 @@ Equal vectors are one node, which lists the smallest ids that have it. Nodes are
 SHARD nodes. NN-descent builds each node's list of neighbours: from a random start, every round joins the edges (both
 directions, at most SAMPLE a node) with the lists at their other ends, which gives neighbours of neighbours as
 candidates, and keeps the best DEGREE of old and new; it ends when few lists change. Queries are dealt in blocks to
-all shards, walk each shard's graph greedily with a beam of BEAM nodes, and the shards' best are merged.
+all shards, walk each shard's graph greedily with a beam of BEAM nodes, and the shards' best are merged. Edges are walked
+both ways, and a walk starts at fixed nodes, at further nodes such that every node is a start or has an edge to one, and at
+the query's own node; so every node can be reached, also where vectors form tight clusters without edges between them.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id;
 vectors of another length than the longest are left out; repeated rows count once; ties go to the smaller id; a query
@@ -110,16 +112,33 @@ def build_graph(nodes: DataFrame, *, degree: int = DEGREE, sample: int = SAMPLE,
     return graph.select("shard", "node", "near")
 
 
-def walk(x: np.ndarray, around: np.ndarray, queries: np.ndarray, beam: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy search of all queries at once: (nodes, similarities), best first. around: neighbours, filled up with -1."""
+def both_ways(near: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, neighbours) over the edges in both directions, and starts: every node is one or has an edge to one."""
+    n = len(near)
+    a, b = np.repeat(np.arange(n), [len(v) for v in near]), np.concatenate([np.zeros(0, np.int64), *near]).astype(np.int64)
+    a, b = np.divmod(np.unique(np.append(a * n + b, b * n + a)), n)
+    offsets, start, met = np.searchsorted(a, np.arange(n + 1)), np.zeros(n, bool), np.zeros(n, bool)
+    for node in (*np.linspace(0, n - 1, min(n, 48)).astype(np.int64), *range(n)):
+        if not met[node]:
+            start[node] = met[node] = met[b[offsets[node] : offsets[node + 1]]] = True
+    start[np.linspace(0, n - 1, 48).astype(np.int64)] = True
+    return offsets, b, np.flatnonzero(start)
+
+
+def walk(x: np.ndarray, around: tuple[np.ndarray, np.ndarray], queries: np.ndarray, beam: int, start: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy search of all queries at once: (nodes, similarities), best first. around: offsets, neighbours; own: a query's node or -1."""
     m, n = len(queries), len(x)
     beam = min(beam, n)
     seen = np.zeros((m, n + 1), bool)
     seen[:, n] = True  # stands for -1
     rows = np.arange(m)[:, None]
-    found = np.broadcast_to(start, (m, len(start)))
-    seen[rows, found] = True
-    near, done = queries @ x[start].T, np.zeros((m, len(start)), bool)
+    own = np.where(np.isin(own, start), -1, own)
+    found = np.hstack([np.broadcast_to(start, (m, len(start))), np.maximum(own, 0)[:, None]])
+    near = np.hstack([queries @ x[start].T, np.where(own < 0, -np.inf, np.einsum("ij,ij->i", x[own], queries))[:, None]])
+    done = np.isinf(near)
+    seen[:, start] = True
+    seen[np.arange(m), np.where(own < 0, n, own)] = True
+    offsets, flat = around
     while True:
         order = np.argsort(-near, 1, kind="stable")[:, :beam]
         found, near, done = found[rows, order], near[rows, order], done[rows, order]
@@ -129,8 +148,10 @@ def walk(x: np.ndarray, around: np.ndarray, queries: np.ndarray, beam: int, star
         if not live.any():
             return found, near
         done[rows, step] = True
-        ids = np.where(live[:, :, None], around[found[rows, step]], -1).reshape(m, -1)
-        ids = np.where(ids < 0, n, ids)
+        first = offsets[found[rows, step]]
+        size = np.where(live, offsets[found[rows, step] + 1] - first, 0)
+        place = np.arange(max(1, size.max()))
+        ids = np.where(place < size[:, :, None], np.append(flat, n)[np.minimum(first[:, :, None] + place, len(flat))], n).reshape(m, -1)
         ids.sort(1)
         ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = n
         ids = np.where(seen[rows, ids], n, ids)
@@ -150,25 +171,20 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, nearest: i
     blocks = max(1, -(-queries.count() // block))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(blocks)).cast("int")).withColumn("shard", numbers(shards))
-    held = nodes.select("shard", "node", "vector", "ids").join(graph, ["shard", "node"]).withColumn("block", numbers(blocks))
+    held = nodes.select("shard", "node", "key", "vector", "ids").join(graph, ["shard", "node"]).withColumn("block", numbers(blocks))
 
     def run(_: tuple, here: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(here) or not len(asked):
             return pd.DataFrame({"key": [], "scores": [], "ids": []})
         here = here.sort_values("node")
         x, ids = np.array(here["vector"].tolist(), float), here["ids"].tolist()
-        lists: list[list[int]] = [list(v) for v in here["near"]]
-        for k, own in enumerate(here["near"]):
-            for other in own:
-                if len(lists[other]) < 2 * DEGREE:
-                    lists[other].append(k)
-        width = max(1, max(map(len, lists)))
-        around = np.array([v + [-1] * (width - len(v)) for v in lists], np.int64)
-        start = np.unique(np.linspace(0, len(x) - 1, 48).astype(np.int64))
+        *around, start = both_ways(here["near"].tolist())
+        place = {key: node for node, key in enumerate(here["key"])}
+        own_nodes = np.array([place.get(key, -1) for key in asked["key"]])
         q = np.array(asked["vector"].tolist(), float)
         out = []
         for at in range(0, len(q), 128):
-            found, near = walk(x, around, q[at : at + 128], beam, start)
+            found, near = walk(x, around, q[at : at + 128], beam, start, own_nodes[at : at + 128])
             for k, (own, score) in enumerate(zip(found[:, : nearest + 1], near[:, : nearest + 1], strict=True), at):
                 pairs = sorted((-s, i) for f, s in zip(own, score, strict=True) if s > -np.inf for i in ids[f])[: nearest + 1]
                 out.append((asked["key"].iloc[k], [p[0] for p in pairs], [int(p[1]) for p in pairs]))

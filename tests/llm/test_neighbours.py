@@ -37,3 +37,19 @@ def test_few_and_empty(spark):
     assert neighbours.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in neighbours.nearest_neighbours(few).orderBy("rank").collect()] == [(0, 1, 2, 1.0), (0, 2, 1, 0.5)]
+
+
+def test_tight_clusters(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 64))[np.arange(6000) % 60] / 8 + 0.4 * rng.normal(size=(6000, 64)) / 8
+    rows = [(i, [float(c) for c in v / np.linalg.norm(v)]) for i, v in enumerate(x)]
+    x = np.array([v for _, v in rows])
+    got = {}
+    for r in neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=2000).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    queries = range(0, 6000, 20)
+    near = x[::20] @ x.T
+    near[np.arange(300), queries] = -np.inf
+    recall = [len(got[q] & set(np.argsort(-near[k])[:20].tolist())) / 20 for k, q in enumerate(queries)]
+    print("recall", np.mean(recall), min(recall))
+    assert np.mean(recall) > 0.98
