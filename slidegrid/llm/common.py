@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +44,12 @@ def stored(df: DataFrame, compression: str = "lz4") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files whose frames are gone; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucket_of(column: Column, seed: int = 0) -> Column:
     """A uniform number in [0, 1) from a key."""
     return (F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).cast("double")
@@ -92,3 +102,78 @@ def rolling(ids: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> np.n
             block = block[:-size] * np.uint64(power) + block[size:]
             size, power = size * 2, power * power & mask
     return mix(out)
+
+
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+PIECE = 1 << 22
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts one after another, where each begins and the last ends); a null text is empty."""
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    wide = pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def word_hashes(texts: pa.Array, *, lower: bool, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit ids of words, bytes at which they begin, number of words of each text), for all texts at once.
+
+    A word is a run of bytes outside `breaks` within one text; its id depends on its bytes (A-Z lower-cased on request).
+    Bytes are looked at in pieces, so that the working memory is some times PIECE and 16 bytes for each word.
+    """
+    data, offsets = text_bytes(texts)
+    n, at, ids, begins = len(data), 0, [], []
+    edges = np.unique(offsets)
+    while at < n:
+        end = n if n - at <= PIECE else at + PIECE
+        if end < n:  # a piece ends where a text or a word does
+            after = edges[np.searchsorted(edges, end)]
+            space = np.flatnonzero(breaks[data[end : min(after, end + PIECE)]])
+            while not len(space) and end + PIECE < after:
+                end += PIECE
+                space = np.flatnonzero(breaks[data[end : min(after, end + PIECE)]])
+            end = end + int(space[0]) if len(space) else int(after)
+        raw = data[at:end].tobytes()
+        raw = np.frombuffer((raw.translate(LOWER) if lower else raw) + bytes(8), np.uint8)
+        inside = ~breaks[raw[:-8]]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        cuts = edges[np.searchsorted(edges, at, "right") : np.searchsorted(edges, end)] - at
+        first[cuts] = inside[cuts]
+        last[cuts - 1] = inside[cuts - 1]
+        begin = np.flatnonzero(first)
+        ids.append(_hash(raw, begin, np.flatnonzero(last) + 1 - begin))
+        begins.append(begin + at)
+        at = end
+    begin = np.concatenate(begins) if begins else np.zeros(0, np.int64)
+    return np.concatenate(ids) if ids else np.zeros(0, np.uint64), begin, np.diff(np.searchsorted(begin, offsets))
+
+
+def _hash(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    lanes = np.lib.stride_tricks.as_strided(raw[:8].view(np.uint64), (len(raw) - 7,), (1,))
+    out = mix(lanes[begin] & _LANE[np.minimum(size, 8)] ^ size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    long, step = np.flatnonzero(size > 8), 8
+    while len(long):
+        own = lanes[begin[long] + step] & _LANE[np.minimum(size[long] - step, 8)]
+        out[long] = mix(out[long] * np.uint64(0xD1342543DE82EF95) + own)
+        step += 8
+        long = long[size[long] > step]
+    return out
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = PIECE, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about most_bytes of text each, one row at least."""
+    for batch in batches:
+        column = batch.column(text)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            done = sizes[at - 1] if at else 0
+            end = min(max(at + 1, int(np.searchsorted(sizes, done + most_bytes, "right"))), at + most_rows)
+            yield batch.slice(at, end - at)
+            at = end

@@ -1,30 +1,31 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Training counts whole texts. A string of up to DEPTH words that occurs at least LEAST_STATE times is a candidate context,
-and a next symbol counts after it if the two together occur at least LEAST_SYMBOL times. These are counts, not shares, so
-a phrase is modelled the same in a small and in a large corpus, and the tree grows with it. A symbol is kept at a context
-if it diverges from the next shorter context: its probability there is at least RATIO times as large, and the counts gain
-at least GAIN nats. A context without kept symbols is left out of the tree.
+Training counts whole texts. Every string of up to `depth` words that occurs at least LEAST_STATE times is a candidate
+context, and a next symbol counts after it if the two together occur at least LEAST_SYMBOL times. These are absolute
+counts of 2, so a phrase is modelled alike in a small and in a large corpus, and the tree grows with it. The divergence
+test keeps a symbol at a context if its probability there is at least RATIO times that after the next shorter context
+and the counts gain at least GAIN nats; a context without kept symbols is no state of the tree.
 
 The next-symbol distribution of a context s is smoothed with that of its longest proper suffix,
 P(x | s) = (kept(s, x) + (n(s) - kept(s) + MU) P(x | suffix)) / (n(s) + MU), which sums to one; the empty context is the
 base model. Scoring takes the longest suffix in the tree at every place.
 
-Texts are coded once, in chunks of about CHUNK tokens. Each level is a table of (context, next) counts, added up in the
-chunks before the shuffle; the shorter context's rows are joined to it. The tree is a table too: each chunk asks it for
-its different words and strings, and gets those that it has. Only Bloom filters of bounded size are broadcast; what they
-let through in error is dropped by the joins. `train` and `Tree` hold the same model in one memory, by shares of all
-tokens, for small corpora and tests.
+Texts are coded once, in chunks of about CHUNK tokens, and the tree is counted level by level. For each level a chunk
+sends its different strings, sorted by their 64-bit keys and cut at the borders of key ranges, with their counts; each
+range adds up what all chunks send and answers each chunk with the totals, in the order asked. A string is in a chunk's
+message once, so a frequent one is no hot key, and ranges are as large as chunks, whatever the size of the corpus. Longer strings
+are sent only where both the words before the last and those after the first are frequent enough, which loses none; at
+the last level, only where a symbol can still gain GAIN nats. kept(s) is added up in the same messages. Nothing of the
+tree is broadcast, or comes to the driver.
 
 Cases: a null text is empty and has the end token only; null ids are neither learnt from nor held out; repeated rows
-count each; without training rows N and V are 0, the base probability is 1 and all scores are 0.
+count each; without training rows N and V are 0, the base probability is 1 and all scores are 0; an empty table gives no
+rows; other columns, also of clashing names, don't matter.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,420 +33,290 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, pick, stored
+from .common import cleared, mix, pick, small_batches, stored, word_hashes
 
-DEPTH, LEAST_STATE, LEAST_SYMBOL, RATIO, GAIN, MU = 3, 50, 5, 1.2, 3.0, 5.0
-WORD_SHARE, STATE_SHARE, SYMBOL_SHARE = 1e-6, 1e-5, 1e-6  # of `train`
-CHUNK, MOST_BITS = 1 << 21, 1 << 25
+DEPTH, LEAST_STATE, LEAST_SYMBOL, RATIO, GAIN, MU, ALPHA = 3, 2, 2, 1.2, 3.0, 5.0, 0.1
+CHUNK = 1 << 21
 BASE = np.uint64(0x9E3779B97F4A7C15)
-ALPHA, FLUSH = 0.1, 400_000
-END = b""  # no word is empty
-
-
-def words_of(text: pa.Scalar) -> list[bytes]:
-    return text.as_buffer().to_pybytes().translate(LOWER).split() if text.is_valid else []
+END = mix(np.array([0x656E64], np.uint64))[0]  # the id of the end token
+CHUNKS = "chunk long, ids array<long>, held array<boolean>, sizes binary, words binary, codes binary"
+SENT = "range int, chunk long, kind int, keys binary, counts binary"
+ANSWERS = "chunk long, range int, kind int, totals binary, tokens long, words long"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+MASS = 100  # kind k: strings of k words; kind MASS + k: kept(s) of contexts of k words
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
 
 
-def _ids(words) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
-
-
-def _pairs(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "n"])
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """key (a word's 64-bit id), n over whole texts, the end token included."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(words_of(text))
-                seen[END] += 1
-                if len(seen) > FLUSH:
-                    yield _pairs(_ids(list(seen)), np.fromiter(seen.values(), np.int64, len(seen)))
-                    seen.clear()
-        if seen:
-            yield _pairs(_ids(list(seen)), np.fromiter(seen.values(), np.int64, len(seen)))
-
-    return stored(texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-
-
-@dataclass
-class Level:
-    """Contexts of one length: codes are (shorter context, last word); symbols are (context, next word)."""
-
-    codes: np.ndarray
-    counts: np.ndarray  # n(s)
-    back: np.ndarray = field(default_factory=lambda: np.zeros(0))  # (n(s) - kept(s) + MU) / (n(s) + MU), 1 outside the tree
-    symbols: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    gains: np.ndarray = field(default_factory=lambda: np.zeros(0))  # kept(s, x) / (n(s) + MU)
-
-
-@dataclass
-class Tree:
-    total: int
-    distinct: int
-    keys: np.ndarray  # ids of frequent words, ascending
-    counts: np.ndarray
-    levels: list[Level] = field(default_factory=list)
-
-    @property
-    def base(self) -> np.ndarray:
-        return (self.counts + ALPHA) / (self.total + ALPHA * (self.distinct + 1))
-
-    def contexts(self, codes: np.ndarray) -> list[np.ndarray]:
-        """For each level the context that ends at a place, or -1. Texts may follow each other: no context holds an end."""
-        out, before = [], None
-        for level in self.levels:
-            if before is None:
-                table = np.full(len(self.keys) + 1, -1, np.int64)  # the last is for words that aren't frequent
-                table[level.codes] = np.arange(len(level.codes))
-                state = table[codes]
-            else:
-                state = np.full(len(codes), -1, np.int64)
-                at = np.flatnonzero((before >= 0) & (codes >= 0))
-                state[at] = find(level.codes, before[at] * len(self.keys) + codes[at])
-            out.append(state)
-            before = np.append(-1, state[:-1])
-        return out
-
-    def probabilities(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token: P after its longest context for frequent words, and the factor of the base for others."""
-        p, factor = np.append(self.base, 0.0)[codes], np.ones(len(codes))
-        for level, state in zip(self.levels, self.contexts(codes), strict=True):
-            before = np.append(-1, state[:-1])
-            at = np.flatnonzero(before >= 0)
-            at = at[level.back[before[at]] < 1]
-            back = level.back[before[at]]
-            symbol = find(level.symbols, np.where(codes[at] >= 0, before[at] * len(self.keys) + codes[at], -1))
-            p[at] = np.where(symbol >= 0, level.gains[symbol] if len(level.gains) else 0.0, 0.0) + back * p[at]
-            factor[at] *= back
-        return p, factor
-
-
-def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Positions of keys in an ascending table, or -1."""
-    if not len(table):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
-
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [x.split()[0] for x in schema.split(", ")])
 
-class Coder:
-    """Positions of words in the table of frequent words, -1 for others."""
 
-    def __init__(self, keys: np.ndarray, most: int = 300_000):
-        self.keys, self.most, self.known = keys, most, {}
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as many bytes as the largest needs."""
+    wide = np.ascontiguousarray(values, dtype="<u8")
+    width = max(1, (int(wide.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + wide.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        new = list(set(words).difference(known))
-        known.update(zip(new, find(self.keys, _ids(new)).tolist(), strict=True))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    wide = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    return wide.view("<u8").ravel()
 
-def _count_symbols(texts: DataFrame, tree: Tree) -> DataFrame:
-    """key (context of the last level and next word), n."""
-    sent = texts.sparkSession.sparkContext.broadcast(tree)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = sent.value
-        coder, parts, size = Coder(tree.keys), [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                codes = coder([w for text in batch.column(0).slice(at, 256) for w in (*words_of(text), END)])
-                state = tree.contexts(codes)[-1][:-1]
-                keep = (state >= 0) & (codes[1:] >= 0)
-                parts.append(state[keep] * len(tree.keys) + codes[1:][keep])
-                size += len(parts[-1])
-                if size > 8 * FLUSH:
-                    yield _pairs(*np.unique(np.concatenate(parts), return_counts=True))
-                    parts, size = [], 0
-        if parts:
-            yield _pairs(*np.unique(np.concatenate(parts), return_counts=True))
-
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _prune(tree: Tree, keys: np.ndarray, counts: np.ndarray) -> None:
-    """The divergence test for the last level, by the counts of its symbols."""
-    level, width = tree.levels[-1], len(tree.keys)
-    state, word = keys // width, keys % width
-    # the text of context and symbol: what the shorter contexts say of the symbol
-    path, rest = [word], state
-    for deeper in reversed(tree.levels[1:]):
-        path.append(deeper.codes[rest] % width)
-        rest = deeper.codes[rest] // width
-    path.append(tree.levels[0].codes[rest])
-    shorter = _after(tree, path[:-1][::-1])
-    p = counts / level.counts[state]
-    keep = (p >= RATIO * shorter) & (counts * np.log(np.maximum(p, 1e-300) / np.maximum(shorter, 1e-300)) >= GAIN)
-    level.symbols, kept = keys[keep], counts[keep]
-    level.gains = kept / (level.counts[state[keep]] + MU)
-    mass = np.bincount(state[keep], kept, len(level.codes))
-    level.back = np.where(mass > 0, (level.counts - mass + MU) / (level.counts + MU), 1.0)
-
-
-def _after(tree: Tree, words: list[np.ndarray]) -> np.ndarray:
-    """P(last word | the words before it) for parallel arrays of words, by the levels that are ready."""
-    p = tree.base[words[-1]]
-    for depth, level in enumerate(tree.levels[:-1], 1):
-        if depth > len(words) - 1:
-            break
-        before = words[-1 - depth : -1]
-        state = find(tree.levels[0].codes, before[0])
-        for step, word in enumerate(before[1:], 1):
-            state = find(tree.levels[step].codes, np.where(state >= 0, state * len(tree.keys) + word, -1))
-        at = find(level.symbols, np.where(state >= 0, state * len(tree.keys) + words[-1], -1))
-        p = np.where(at >= 0, level.gains[at] if len(level.gains) else 0.0, 0.0) + np.where(state >= 0, level.back[state], 1.0) * p
-    return p
-
-
-def _bounded(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys with at least that count, ascending; at most N / least of them."""
-    frame = counts.where(F.col("n") >= least).toPandas().sort_values("key")
-    return frame["key"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
-
-
-def train(texts: DataFrame, *, depth: int = DEPTH, word_share: float = WORD_SHARE, state_share: float = STATE_SHARE, symbol_share: float = SYMBOL_SHARE) -> tuple[Tree, DataFrame]:
-    """The tree, and the table of word counts."""
-    words = count_words(texts)
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = Tree(total, distinct, *_bounded(words, word_share * total))
-    frequent = np.flatnonzero(tree.counts >= state_share * total)
-    end = find(tree.keys, _ids([END]))
-    codes = frequent[frequent != end[0]]  # nothing follows the end
-    counts = tree.counts[codes]
-    for _ in range(depth):
-        if not len(codes):
-            break
-        tree.levels.append(Level(codes, counts))
-        keys, n = _bounded(_count_symbols(texts, tree), symbol_share * total)
-        _prune(tree, keys, n)
-        longer = (n >= state_share * total) & (keys % max(1, len(tree.keys)) != end[0])
-        codes, counts = keys[longer], n[longer]
-    return tree, words
-
-
-CHUNKS = "chunk long, ids array<long>, held array<boolean>, sizes array<int>, codes array<int>, words array<long>"
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def _planes(values: np.ndarray) -> bytes:
+    """The same, with all low bytes first, compressed."""
+    data = packed(values)
+    return data[:1] + len(values).to_bytes(8, "little") + pa.compress(np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0]).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def _batch(schema: str, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [x.split()[0] for x in schema.split(", ")])
+def _of_planes(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    plain = np.frombuffer(pa.decompress(data[9:], width * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return unpacked(bytes([width]) + plain.reshape(width, n).T.tobytes())
 
 
-def _coded(docs: DataFrame) -> DataFrame:
-    """One row a chunk of texts: their ids, sizes in tokens, and tokens as positions in the chunk's list of word ids."""
-    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+def _coded(docs: DataFrame, chunk_tokens: int) -> DataFrame:
+    """One row a chunk of texts: their ids and sizes in tokens, its different words, and tokens as numbers of words (frequent ones first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, known, parts = TaskContext.get().partitionId() << 33, {}, []
+        number, parts, size = TaskContext.get().partitionId() << 33, [], 0
 
         def chunk() -> pa.RecordBatch:
             ids, held = (pa.concat_arrays([p[i] for p in parts]) for i in (0, 1))
-            sizes, codes = (pa.array(np.concatenate([p[i] for p in parts]), pa.int32()) for i in (2, 3))
-            return _batch(CHUNKS, np.array([number]), one(ids), one(held), one(sizes), one(codes), one(pa.array(_ids(list(known)))))
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = [[*words_of(text), END] for text in part.column(1)]
-                tokens = [w for t in texts for w in t]
-                for w in set(tokens).difference(known):
-                    known[w] = len(known)
-                parts.append((part.column(0), part.column(2), np.array([len(t) for t in texts]), np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))))
-                if sum(len(p[3]) for p in parts) >= CHUNK:
-                    yield chunk()
-                    number, known, parts = number + 1, {}, []
+            sizes, tokens = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+            words, place, n = np.unique(tokens, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return _batch(CHUNKS, [number], one(ids), one(held), [packed(sizes)], [packed(words[order])], [_planes(rank[place])])
+
+        for batch in small_batches(batches, 1):
+            ids, _, sizes = word_hashes(batch.column(1), lower=True)
+            tokens = np.full(len(ids) + len(sizes), END, np.uint64)
+            ends = np.cumsum(sizes + 1) - 1
+            inner = np.ones(len(tokens), bool)
+            inner[ends] = False
+            tokens[inner] = ids
+            parts.append((batch.column(0), batch.column(2), sizes + 1, tokens))
+            size += len(tokens)
+            if size >= chunk_tokens:
+                yield chunk()
+                number, parts, size = number + 1, [], 0
         if parts:
             yield chunk()
 
-    return stored(docs.mapInArrow(run, CHUNKS), "zstd")
+    return stored(docs.mapInArrow(run, CHUNKS))
 
 
-class Chunk:
-    """grams[k - 1]: for each token the key of the k words that end with it, which is sound if its offset in its text is >= k - 1."""
-
-    def __init__(self, row: dict, longest: int):
-        flat = {name: x.values.slice(x.offset and x.offsets[0].as_py(), len(x[0])) if isinstance(x, pa.ListArray) else x for name, x in row.items()}
-        self.ids, self.held = flat["ids"], flat["held"]
-        self.sizes = flat["sizes"].to_numpy()
-        words = flat["words"].to_numpy().view(np.uint64)
-        tokens = words[flat["codes"].to_numpy()]
-        self.first = np.cumsum(self.sizes) - self.sizes
-        self.offset = np.arange(len(tokens)) - np.repeat(self.first, self.sizes)
-        self.grams = [tokens]
-        for _ in range(longest - 1):
-            self.grams.append(follow(np.append(np.uint64(0), self.grams[-1][:-1]), tokens))
+def _followed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The keys of contexts, each with a word after it."""
+    return context * BASE + word
 
-    @property
-    def learnt(self) -> np.ndarray:
-        each = self.ids.is_valid().to_numpy(False) & ~self.held.to_numpy(False)
-        return np.repeat(each, self.sizes)
 
+class Strings:
+    """Different strings among tokens: keys ascending, and where each stands."""
 
-def follow(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The key of a context and a word."""
-    return context.astype(np.int64).view(np.uint64) * BASE + word.astype(np.int64).view(np.uint64)
+    def __init__(self, keys: np.ndarray, at: np.ndarray):
+        order = np.argsort(keys)
+        keys = keys[order]
+        self.first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.at = keys[self.first], at[order]
 
+    def sums(self, marks: np.ndarray) -> np.ndarray:
+        """How many of each string's places are marked; marks by token."""
+        return np.add.reduceat(marks[self.at].astype(np.int64), self.first) if len(self.first) else np.zeros(0, np.int64)
 
-def _chunks(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[int, Chunk]]:
-    for batch in batches:
-        for at in range(batch.num_rows):
-            row = {name: pa.concat_arrays([batch.column(i).slice(at, 1)]) for i, name in enumerate(batch.schema.names)}
-            yield row["chunk"][0].as_py(), Chunk(row, longest)
+    def spread(self, values: np.ndarray, n: int) -> np.ndarray:
+        """Values by string to tokens, 0 elsewhere."""
+        out = np.zeros(n, np.int64)
+        out[self.at] = np.repeat(values, np.diff(self.first, append=len(self.at)))
+        return out
 
 
-class Filter:
-    """A Bloom filter of keys, at most MOST_BITS large: with more keys it lets more others pass, but never drops one."""
+class Chunk:
+    """A chunk with what the ranges have answered: at each token the totals of the strings that end there, and P so far."""
 
-    def __init__(self, keys: DataFrame):
-        self.bits = bits = 1 << int(np.clip(np.ceil(np.log2(8 * keys.count() + 1)), 16, np.log2(MOST_BITS)))
+    def __init__(self, row: dict, answers: dict[int, np.ndarray], total: int, distinct: int, depth: int):
+        self.ids, self.held = row["ids"], row["held"]
+        self.sizes = unpacked(row["sizes"]).astype(np.int64)
+        tokens = unpacked(row["words"])[_of_planes(row["codes"]).astype(np.int64)]
+        self.n, self.depth = len(tokens), depth
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.offset = np.arange(self.n) - np.repeat(self.first, self.sizes)
+        each = ~np.fromiter((h is None for h in self.ids), bool, len(self.ids)) & ~np.array(self.held, bool)
+        self.learnt = np.repeat(each, self.sizes)
+        self.grams = [tokens]
+        self.strings = [Strings(tokens, np.arange(self.n))]
+        self.to_send: list[tuple[int, np.ndarray, np.ndarray]] = []
+        if not answers:
+            self._send_strings(0, self.strings[0])
+            self._send_strings(1, self._longer(np.flatnonzero(self.offset >= 1)))
+            return
+        whole = total + ALPHA * (distinct + 1)
+        self.counts = [self.strings[0].spread(answers[1], self.n)]
+        self.p = (self.counts[0] + ALPHA) / whole
+        self.base = self.p.copy()
+        for k in range(1, depth + 1):
+            # level k: contexts of k words, counts[k - 1] at the place before; symbols are strings of k + 1 words
+            here = self._longer(np.flatnonzero(self.offset >= 1)) if k == 1 else self._candidates(k)
+            self.counts.append(here.spread(answers[k + 1], self.n))
+            at = np.flatnonzero(self.offset >= k)
+            at = at[self.counts[k - 1][at - 1] >= LEAST_STATE]
+            of, n = self.counts[k - 1][at - 1], self.counts[k][at]
+            kept = diverges(n, of, self.p[at])
+            contexts = Strings(self._gram(k - 1)[at - 1], at)
+            if k == depth - 1:
+                self.floor = self.p.copy()  # of P at this level: kept(s) is n(s) at most
+                self.floor[at] = (np.where(kept, n, 0) + MU * self.p[at]) / (of + MU)
+            if MASS + k not in answers:
+                marks = np.zeros(self.n, bool)
+                marks[at] = kept & self.learnt[at]
+                self.to_send.append((MASS + k, contexts.keys, contexts.sums(marks)))
+                if k < depth:
+                    self._send_strings(k + 1, self._candidates(k + 1))
+                return
+            mass = contexts.spread(answers[MASS + k], self.n)[at]
+            back = np.where(mass > 0, (of - mass + MU) / (of + MU), 1.0)
+            self.p[at] = np.where(kept, n / (of + MU), 0.0) + back * self.p[at]
+
+    def _gram(self, k: int) -> np.ndarray:
+        """Keys of the k + 1 words that end at each token, sound where offset >= k."""
+        while len(self.grams) <= k:
+            self.grams.append(_followed(np.append(np.uint64(0), self.grams[-1][:-1]), self.grams[0]))
+        return self.grams[k]
+
+    def _longer(self, at: np.ndarray) -> Strings:
+        return Strings(self._gram(1)[at], at)
+
+    def _candidates(self, k: int) -> Strings:
+        """Strings of k + 1 words whose first k and last k words are frequent enough."""
+        last = self.counts[k - 1]
+        at = np.flatnonzero((self.offset >= k) & (last >= LEAST_SYMBOL))
+        at = at[last[at - 1] >= LEAST_STATE]
+        if k == self.depth > 1:  # no longer one needs them: those that can't pass the test are left out
+            at = at[gain(last[at], 1.0, self.floor[at]) >= GAIN]
+        return Strings(self._gram(k)[at], at)
+
+    def _send_strings(self, k: int, strings: Strings) -> None:
+        self.to_send.append((k + 1, strings.keys, strings.sums(self.learnt)))
+
+
+def gain(n: np.ndarray, here, shorter: np.ndarray) -> np.ndarray:
+    return n * np.log(here / shorter)
+
+
+def diverges(n: np.ndarray, of: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """The divergence test for symbols that occur n times after a context that occurs `of` times."""
+    here = np.maximum(n, 1) / of
+    return (n >= LEAST_SYMBOL) & (here >= RATIO * shorter) & (gain(n, here, shorter) >= GAIN)
+
+
+def _starts(ranges: int) -> np.ndarray:
+    """The smallest key of each range of keys."""
+    return np.array([-(-(k << 32) // ranges) << 32 for k in range(ranges)], np.uint64)
+
+
+def _messages(number: int, kind: int, keys: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> Iterator[tuple]:
+    cuts = np.append(np.searchsorted(keys, starts), len(keys))
+    for k in np.flatnonzero(np.diff(cuts)):
+        own = keys[cuts[k] : cuts[k + 1]]
+        yield int(k), number, kind, packed(np.diff(own, prepend=starts[k])), packed(counts[cuts[k] : cuts[k + 1]])
+
+
+def _answered(starts: np.ndarray):
+    """For one range: the totals of what all chunks have sent, for each message in its order."""
+
+    def run(key: tuple, sent: pa.Table) -> pa.Table:
+        start, out = starts[key[0].as_py()], []
+        rows = list(zip(*(sent.column(name).to_pylist() for name in ("chunk", "kind")), sent.column("keys"), sent.column("counts"), strict=True))
+        for kind in sorted({r[1] for r in rows}):
+            own = [r for r in rows if r[1] == kind]
+            parts = [start + np.cumsum(unpacked(memoryview(r[2].as_buffer())), dtype=np.uint64) for r in own]
+            keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+            totals = np.bincount(place, np.concatenate([unpacked(memoryview(r[3].as_buffer())) for r in own]), len(keys)).astype(np.int64)
+            tokens, words = (int(totals.sum()), int((totals > 0).sum())) if kind == 1 else (0, 0)
+            if 1 < kind < MASS:
+                totals[totals < min(LEAST_STATE, LEAST_SYMBOL)] = 0
+            for r, part in zip(own, np.split(totals[place], np.cumsum([len(p) for p in parts])[:-1]), strict=True):
+                out.append((r[0], key[0].as_py(), kind, packed(part), tokens, words))
+                tokens = words = 0
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in ANSWERS.split(", ")])
+
+    return run
+
+
+def _row(table: pa.Table) -> dict:
+    return {name: table.column(name)[0].as_py() for name in table.column_names}
+
+
+def _answers(table: pa.Table) -> dict[int, np.ndarray]:
+    """kind -> totals in the order of the chunk's keys."""
+    rows = sorted(zip(*(table.column(name).to_pylist() for name in ("kind", "range", "totals")), strict=True))
+    return {kind: np.concatenate([unpacked(r[2]).astype(np.int64) for r in rows if r[0] == kind]) for kind in {r[0] for r in rows}}
+
+
+class _Filled(dict):
+    """Answers to what was sent; a kind of which a chunk had nothing to send was answered with nothing."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = np.zeros(bits, bool)
-            for batch in batches:
-                key = batch.column(0).to_numpy().view(np.uint64)
-                for place in Filter.places(key, bits):
-                    table[place] = True
-            packed = np.packbits(table, bitorder="little").view(np.int64)
-            at = np.flatnonzero(packed)
-            yield _batch("at long, bits long", at, packed[at])
+    def __init__(self, found: dict[int, np.ndarray], asked: set[int]):
+        super().__init__({kind: np.zeros(0, np.int64) for kind in asked} | found)
 
-        rows = keys.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-        table = np.zeros(bits >> 6, np.int64)
-        table[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-        self.table = table.view(np.uint8)
 
-    @staticmethod
-    def places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-        return [(keys & np.uint64(bits - 1)).astype(np.int64), (keys >> np.uint64(36) & np.uint64(bits - 1)).astype(np.int64)]
+def _asked(level: int) -> set[int]:
+    """Kinds that have been sent in the first `level` rounds."""
+    return {*range(1, level + 2)} | {MASS + k for k in range(1, level)} if level else set()
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        low, high = Filter.places(keys, self.bits)
-        return ((self.table[low >> 3] >> (low & 7)) & (self.table[high >> 3] >> (high & 7)) & 1).astype(bool)
 
+def _sender(starts: np.ndarray, level: int, total: int, distinct: int, depth: int):
+    """Functions for the first round, on batches of chunks, and for later ones, on a chunk and its answers."""
 
-GRAMS = "ctx long, x long, n long"
+    def send(row: dict, known: dict[int, np.ndarray]) -> pa.Table:
+        out = [m for kind, keys, counts in Chunk(row, known, total, distinct, depth).to_send for m in _messages(row["chunk"], kind, keys, counts, starts)]
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], [x.split()[0] for x in SENT.split(", ")])
 
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from send(_row(pa.Table.from_batches([batch.slice(k, 1)])), {}).to_batches()
 
-def _count(chunks: DataFrame, length: int, states: Filter | None = None, shorter: Filter | None = None) -> DataFrame:
-    """ctx (a key of `length` words), x (the next word), n over the texts that are learnt from."""
-    sent = chunks.sparkSession.sparkContext.broadcast((states, shorter))
+    def later(left: pa.Table, right: pa.Table) -> pa.Table:
+        return send(_row(left), _Filled(_answers(right), _asked(level)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states, shorter = sent.value
-        for _, chunk in _chunks(batches, length + 1):
-            at = np.flatnonzero(chunk.learnt & (chunk.offset >= length))
-            if length:
-                at = at[states(chunk.grams[length - 1][at - 1])]
-                at = at[shorter(chunk.grams[length - 1][at])]
-            _, first, n = np.unique(chunk.grams[length][at], return_index=True, return_counts=True)
-            at = at[first]
-            ctx = chunk.grams[length - 1][at - 1] if length else np.zeros(len(at), np.uint64)
-            yield _batch(GRAMS, ctx.view(np.int64), chunk.grams[0][at].view(np.int64), n)
+    return first, later
 
-    return chunks.mapInArrow(run, GRAMS).groupBy("ctx", "x").agg(F.sum("n").alias("n"))
 
+def counted(chunks: DataFrame, *, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
+    """(ANSWERS of all levels, N, V): what the corpus says of the strings of each chunk."""
+    starts, answers, total, distinct = _starts(max(1, chunks.count())), None, 0, 0
+    for level in range(depth + 1):
+        first, later = _sender(starts, level, total, distinct, depth)
+        sent = chunks.mapInArrow(first, SENT) if answers is None else chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(later, SENT)
+        found = stored(sent.groupBy("range").applyInArrow(_answered(starts), ANSWERS))
+        cleared(chunks.sparkSession)
+        if answers is None:
+            total, distinct = found.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+        answers = found if answers is None else answers.unionByName(found)
+    return answers, total, distinct
 
-def _named(rows: DataFrame) -> DataFrame:
-    """Adds key (context and next word) and short (the shorter context and next word)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ctx, x, n, of, suffix = (batch.column(name).to_numpy() for name in ("ctx", "x", "n", "of", "suffix"))
-            yield _batch(NAMED, ctx, x, n, of, follow(ctx, x).view(np.int64), follow(suffix, x).view(np.int64))
-
-    return rows.mapInArrow(run, NAMED)
-
-
-NAMED = "ctx long, x long, n long, of long, key long, short long"
-
-
-def grow(chunks: DataFrame, *, depth: int = DEPTH, least_state: int = LEAST_STATE, least_symbol: int = LEAST_SYMBOL, word_share: float = 0.0, state_share: float = 0.0, symbol_share: float = 0.0) -> tuple[int, float, DataFrame, DataFrame]:
-    """Number of tokens, P of an unseen word, the tree (key, value, back), and its keys of two and more words.
-
-    value is the base probability of a word or kept(s, x) / (n(s) + MU) of a longer key; back is the factor of the shorter
-    context if the key is a context of the tree. Shares of all tokens raise the least counts on request.
-    """
-    words = stored(_count(chunks, 0).select(F.col("x").alias("key"), "n"))
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    whole = total + ALPHA * (distinct + 1)
-    base = words.select("key", "n", ((F.col("n") + ALPHA) / F.lit(whole)).alias("p"))
-    least_word, least_state, least_symbol = word_share * total, max(least_state, state_share * total), max(least_symbol, symbol_share * total)
-    end, none = int(_ids([END])[0]), F.lit(None).cast("double")
-    shorter = base.where(F.col("n") >= max(least_word, least_symbol)).select("key", "p")
-    states = base.where((F.col("n") >= max(least_word, least_state)) & (F.col("key") != end)).select(F.col("key").alias("ctx"), F.col("n").alias("of"), F.lit(0).cast("long").alias("suffix"))
-    parts, longer = [base.select("key", F.col("p").alias("value"), none.alias("back"))], []
-    for length in range(1, depth + 1):
-        if states.isEmpty():
-            break
-        counts = stored(_count(chunks, length, Filter(states.select("ctx")), Filter(shorter.select("key"))).where(F.col("n") >= least_symbol))
-        rows = stored(_named(counts.join(states, "ctx")))
-        rows = rows.join(shorter.select(F.col("key").alias("short"), F.col("p").alias("less")), "short")
-        here = F.col("n") / F.col("of")
-        kept = (here >= RATIO * F.col("less")) & (F.col("n") * F.log(here / F.col("less")) >= GAIN)
-        rows = stored(rows.withColumn("kept", F.when(kept, F.col("n")).otherwise(F.lit(0))))
-        mass = rows.groupBy("ctx").agg(F.sum("kept").alias("mass"), F.first("of").alias("of")).where("mass > 0")
-        back = stored(mass.select("ctx", ((F.col("of") - F.col("mass") + MU) / (F.col("of") + MU)).alias("back")))
-        value = F.col("kept") / (F.col("of") + MU)
-        level = stored(rows.join(back, "ctx", "left").select("key", "x", "n", "short", value.alias("value"), (value + F.coalesce("back", F.lit(1.0)) * F.col("less")).alias("p")))
-        gains = level.where("value > 0").select("key", "value", none.alias("back"))
-        backs = back.select(F.col("ctx").alias("key"), none.alias("value"), "back")
-        parts += [gains, backs]
-        longer += [gains.select("key"), *([backs.select("key")] if length > 1 else [])]
-        shorter = level.select("key", "p")
-        states = level.where((F.col("n") >= least_state) & (F.col("x") != end)).select(F.col("key").alias("ctx"), F.col("n").alias("of"), F.col("short").alias("suffix"))
-    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
-    tree = stored(union(parts).groupBy("key").agg(F.max("value").alias("value"), F.max("back").alias("back")))
-    return total, ALPHA / whole, tree, union(longer) if longer else words.select("key").limit(0)
-
-
-def score(chunks: DataFrame, total: int, unseen: float, tree: DataFrame, longer: DataFrame, *, depth: int = DEPTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each text."""
-    sent = chunks.sparkSession.sparkContext.broadcast(Filter(longer))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = sent.value
-        for number, chunk in _chunks(batches, depth + 1):
-            grams = [gram[chunk.offset >= k] for k, gram in enumerate(chunk.grams)]
-            keys = np.unique(np.concatenate([grams[0], *(gram[met(gram)] for gram in grams[1:])]))
-            yield _batch("chunk long, key long", np.full(len(keys), number), keys.view(np.int64))
+def score_corpus(docs: DataFrame, *, depth: int = DEPTH, chunk_tokens: int = CHUNK) -> DataFrame:
+    """SCORED: learn from the rows that aren't held out and score all rows."""
+    rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held"))
+    chunks = _coded(rows, chunk_tokens)
+    answers, total, distinct = counted(chunks, depth=depth)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("key")
-        keys, value, back = (right[name].to_numpy() for name in ("key", "value", "back"))
-        out = []
-        for _, chunk in _chunks(left.to_batches(), depth + 1):
-            grams = [gram.view(np.int64) for gram in chunk.grams]
-            at = [find(keys, gram) for gram in grams]
-            take = lambda x, i, other: np.where((i >= 0) & ~np.isnan(x[i]), x[i], other) if len(x) else np.full(len(i), other)
-            p = take(value, at[0], unseen)
-            known, base = at[0] >= 0, np.log10(p)
-            for k in range(1, depth + 1):
-                i = np.flatnonzero(chunk.offset >= k)
-                p[i] = take(value, at[k][i], 0.0) + take(back, at[k - 1][i - 1], 1.0) * p[i]
-            sums = lambda x, first=chunk.first: np.add.reduceat(x, first)
-            out.append(_batch(SCORED, chunk.ids, chunk.held, chunk.sizes.astype(np.int64), sums(known.astype(np.int64)), np.full(len(chunk.sizes), total), sums(base), sums(np.log10(p))))
-        return pa.Table.from_batches(out)
-
-    found = chunks.mapInArrow(ask, "chunk long, key long").join(tree, "key").select("chunk", "key", "value", "back")
-    return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, SCORED)
-
-
-def score_corpus(docs: DataFrame, **options) -> DataFrame:
-    """Learn from the rows that aren't held out and score all rows."""
-    rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held"))
-    chunks = _coded(rows)
-    return score(chunks, *grow(chunks, **options), depth=options.get("depth", DEPTH))
+        chunk = Chunk(_row(left), _Filled(_answers(right), _asked(depth + 1)), total, distinct, depth)
+        sums = lambda x: np.add.reduceat(x, chunk.first)
+        known = sums((chunk.counts[0] > 0).astype(np.int64))
+        return pa.Table.from_batches([_batch(SCORED, pa.array(chunk.ids, pa.int64()), pa.array(chunk.held, pa.bool_()), chunk.sizes, known, np.full(len(chunk.sizes), total), sums(np.log10(chunk.base)), sums(np.log10(chunk.p)))])
+
+    return chunks.groupBy("chunk").cogroup(answers.select("chunk", "range", "kind", "totals").groupBy("chunk")).applyInArrow(run, SCORED)

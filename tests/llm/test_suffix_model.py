@@ -3,6 +3,8 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
+
 from slidegrid.llm import suffix_model as sm
 
 
@@ -16,7 +18,7 @@ def corpus():
 def test_base_is_exact_and_model_is_better(spark):
     docs = corpus()
     frame = spark.createDataFrame([(a, b, 1, 2.0) for a, b in docs], "doc_id long, text string, row int, score double")
-    out = sm.score_corpus(frame, word_share=2e-3, state_share=1e-3, symbol_share=1e-3).collect()
+    out = sm.score_corpus(frame).collect()
     tokens = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split() + [b"<end>"]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     c = Counter(w for i, t in docs if i is not None and not held(i) for w in tokens(t))
@@ -30,20 +32,74 @@ def test_base_is_exact_and_model_is_better(spark):
     assert sum(r["score"] for r in test) > 0.8 * sum(r["base_score"] for r in test)
 
 
-def test_distributions_sum_to_one(spark):
-    texts = spark.createDataFrame([(t,) for i, t in corpus() if i is not None and i < 300], "text string")
-    tree, words = sm.train(texts, word_share=0.0, state_share=1e-3, symbol_share=0.0)
-    assert len(tree.levels) == 3 and any(len(x.symbols) for x in tree.levels[1:])
-    history = sm.find(tree.keys, sm._ids([b"the", b"quick", b"brown"]))
-    mass = sum(tree.probabilities(np_append(history, k))[0][-1] for k in range(len(tree.keys)))
-    unseen = 0.1 / (tree.total + 0.1 * (tree.distinct + 1)) * tree.probabilities(np_append(history, -1))[1][-1]
-    assert abs(mass + unseen - 1) < 1e-9
+class Brute:
+    """The suffix tree in dictionaries."""
+
+    def __init__(self, texts, depth=3):
+        self.n, self.depth, self.mass_of = Counter(), depth, {}
+        for words in texts:
+            for k in range(1, depth + 2):
+                self.n.update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+        self.after = {}
+        for s in self.n:
+            self.after.setdefault(s[:-1], []).append(s[-1])
+        self.total, self.distinct = sum(self.n[w,] for w in self.after.get((), [])), len(self.after.get((), []))
+
+    def kept(self, s, x):
+        n, of, less = self.n[*s, x], self.n[s], self.p(s[1:], x)
+        return n if n >= 2 and n / of >= 1.2 * less and n * math.log(n / of / less) >= 3 else 0
+
+    def mass(self, s):
+        if s not in self.mass_of:
+            self.mass_of[s] = sum(self.kept(s, x) for x in self.after.get(s, []))
+        return self.mass_of[s]
+
+    def p(self, s, x):
+        s = s[-self.depth :]
+        if not s:
+            return (self.n[x,] + 0.1) / (self.total + 0.1 * (self.distinct + 1))
+        less, of = self.p(s[1:], x), self.n[s]
+        if of < 2 or not self.mass(s):
+            return less
+        return (self.kept(s, x) + (of - self.mass(s) + 5) * less) / (of + 5)
+
+    def score(self, words):
+        return sum(math.log10(self.p(tuple(words[max(0, i - self.depth) : i]), w)) for i, w in enumerate(words))
+
+
+def tokens_of(text):
+    return [*"".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split(), b"<end>"]
 
 
-def np_append(history, k):
-    import numpy as np
+def brute(docs):
+    return Brute([tokens_of(t) for i, t in docs if i is not None and zlib.crc32(str(i).encode()) % 10])
 
-    return np.append(history, k)
+
+def test_distributions_sum_to_one():
+    tree = brute([d for d in corpus() if d[0] is not None and d[0] < 300])
+    for s in [(), (b"the",), (b"quick", b"brown"), (b"the", b"quick", b"brown"), (b"never", b"seen")]:
+        mass = sum(tree.p(s, x) for x in tree.after[()])
+        assert abs(mass + tree.p(s, b"unseen") - 1) < 1e-9
+
+
+@pytest.mark.parametrize("chunk_tokens, depth", [(sm.CHUNK, 3), (500, 3), (2000, 1), (2000, 2)])
+def test_equals_brute_force(spark, chunk_tokens, depth):
+    docs = [(i, t) for i, t in corpus() if i != 903]
+    tree = brute(docs)
+    tree.depth = depth
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_tokens"], round(r["score"], 5)) for r in sm.score_corpus(frame, chunk_tokens=chunk_tokens, depth=depth).collect())
+    assert got == Counter((i, len(tokens_of(t)), round(tree.score(tokens_of(t)), 5)) for i, t in docs)
+
+
+def test_texts_that_occur_twice_are_told_apart(spark):
+    rng = random.Random(5)
+    fresh = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(200))
+    once, twice = [fresh() for _ in range(30)], [fresh() for _ in range(30)]
+    ids = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 10]
+    docs = list(zip(ids, [*once, *twice, *twice], strict=False))
+    out = {r["doc_id"]: (r["score"] - r["base_score"]) / r["n_tokens"] for r in sm.score_corpus(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert max(out[i] for i in ids[:30]) < min(out[i] for i in ids[30:90])
 
 
 def test_empty(spark):
@@ -52,23 +108,6 @@ def test_empty(spark):
     assert (one["n_tokens"], one["n_known"], one["train_tokens"], one["base_score"], one["score"]) == (3, 0, 0, 0.0, 0.0)
 
 
-def test_equals_the_tree_in_memory(spark):
-    docs = [(i, t) for i, t in corpus() if i is not None]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in sm.score_corpus(frame, least_state=20, least_symbol=4).collect()}
-    texts = [t for i, t in docs if zlib.crc32(str(i).encode()) % 10]
-    learnt = spark.createDataFrame([(t,) for t in texts], "text string")
-    total = sum(len((t or "").encode().split()) + 1 for t in texts)
-    tree, words = sm.train(learnt, word_share=0.0, state_share=19.5 / total, symbol_share=3.5 / total)
-    coder, unseen = sm.Coder(tree.keys), 0.1 / (tree.total + 0.1 * (tree.distinct + 1))
-    for i, t in docs:
-        tokens = [*"".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split(), sm.END]
-        codes = coder(tokens)
-        p, factor = tree.probabilities(codes)
-        want = sum(math.log10(a if c >= 0 else f * unseen) for a, f, c in zip(p, factor, codes, strict=True))
-        assert abs(got[i, len(tokens)] - want) < 1e-6
-
-
 def test_least_counts_do_not_rise_with_the_corpus(spark):
     from pyspark.sql import functions as F
 
