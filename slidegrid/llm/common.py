@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -45,9 +46,11 @@ def stored(df: DataFrame, compression: str = "lz4") -> DataFrame:
 
 
 def cleared(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files whose frames are gone; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete shuffle files whose frames are gone; it does so when the driver has collected its garbage twice."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def bucket_of(column: Column, seed: int = 0) -> Column:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import cleared, mix, pick, small_batches, stored, word_hashes
 
 DEPTH, LEAST_STATE, LEAST_SYMBOL, RATIO, GAIN, MU, ALPHA = 3, 2, 2, 1.2, 3.0, 5.0, 0.1
-CHUNK = 1 << 21
+CHUNK = 3 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 END = mix(np.array([0x656E64], np.uint64))[0]  # the id of the end token
 CHUNKS = "chunk long, ids array<long>, held array<boolean>, sizes binary, words binary, codes binary"
