@@ -69,7 +69,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """The same, with all low bytes first, compressed."""
+    """The same, with all low bytes first, compressed: most values are small."""
     data = packed(values)
     return data[:1] + len(values).to_bytes(8, "little") + pa.compress(np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0]).T.tobytes(), codec="zstd", asbytes=True)
 
@@ -89,7 +89,8 @@ def _coded(docs: DataFrame, chunk_tokens: int) -> DataFrame:
         def chunk() -> pa.RecordBatch:
             ids, held = (pa.concat_arrays([p[i] for p in parts]) for i in (0, 1))
             sizes, tokens = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
-            words, place, n = np.unique(tokens, return_inverse=True, return_counts=True)
+            words, place = numbered(tokens)
+            n = np.bincount(place)
             order = np.argsort(-n, kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
@@ -119,23 +120,53 @@ def _followed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return context * BASE + word
 
 
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """An order in which keys ascend. Sorts high bits with places below them; the few keys that differ in low bits only are sorted in full."""
+    bits = np.uint64(max(1, (len(keys) - 1).bit_length()))
+    order = ((keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64))
+    order.sort()
+    order = (order & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    found = keys[order]
+    return order if (found[1:] >= found[:-1]).all() else np.argsort(keys)
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, ascending; the number of each key among them)."""
+    order = ordered(keys)
+    keys = keys[order]
+    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return keys[first], place
+
+
 class Strings:
-    """Different strings among tokens: keys ascending, and where each stands."""
+    """Different strings that end at some tokens: keys ascending, and the number of the string at each of the tokens."""
+
+    def __init__(self, keys: np.ndarray, place: np.ndarray, at: np.ndarray, n: int):
+        self.keys, self.at, self.place, self.n = keys, at, place, n
+
+    @staticmethod
+    def at_tokens(gram: np.ndarray, at: np.ndarray) -> "Strings":
+        return Strings(*numbered(gram[at]), at, len(gram))
 
-    def __init__(self, keys: np.ndarray, at: np.ndarray):
-        order = np.argsort(keys)
-        keys = keys[order]
-        self.first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        self.keys, self.at = keys[self.first], at[order]
+    def before(self, at: np.ndarray) -> "Strings":
+        """Those of these strings that end right before some tokens, as the strings of these tokens."""
+        number = np.zeros(self.n, np.int32)
+        number[self.at] = self.place
+        place = number[at - 1]
+        used = np.zeros(len(self.keys), bool)
+        used[place] = True
+        return Strings(self.keys[used], (np.cumsum(used) - 1)[place], at, self.n)
 
     def sums(self, marks: np.ndarray) -> np.ndarray:
         """How many of each string's places are marked; marks by token."""
-        return np.add.reduceat(marks[self.at].astype(np.int64), self.first) if len(self.first) else np.zeros(0, np.int64)
+        return np.bincount(self.place[marks[self.at]], minlength=len(self.keys))
 
-    def spread(self, values: np.ndarray, n: int) -> np.ndarray:
+    def spread(self, values: np.ndarray) -> np.ndarray:
         """Values by string to tokens, 0 elsewhere."""
-        out = np.zeros(n, np.int64)
-        out[self.at] = np.repeat(values, np.diff(self.first, append=len(self.at)))
+        out = np.zeros(self.n, np.int64)
+        out[self.at] = values[self.place] if len(values) else 0
         return out
 
 
@@ -145,32 +176,34 @@ class Chunk:
     def __init__(self, row: dict, answers: dict[int, np.ndarray], total: int, distinct: int, depth: int):
         self.ids, self.held = row["ids"], row["held"]
         self.sizes = unpacked(row["sizes"]).astype(np.int64)
-        tokens = unpacked(row["words"])[_of_planes(row["codes"]).astype(np.int64)]
+        words, codes = unpacked(row["words"]), _of_planes(row["codes"]).astype(np.int64)
+        tokens = words[codes]
         self.n, self.depth = len(tokens), depth
         self.first = np.cumsum(self.sizes) - self.sizes
         self.offset = np.arange(self.n) - np.repeat(self.first, self.sizes)
         each = ~np.fromiter((h is None for h in self.ids), bool, len(self.ids)) & ~np.array(self.held, bool)
         self.learnt = np.repeat(each, self.sizes)
         self.grams = [tokens]
-        self.strings = [Strings(tokens, np.arange(self.n))]
+        keys, rank = numbered(words)
+        strings = Strings(keys, rank[codes], np.arange(self.n), self.n)
         self.to_send: list[tuple[int, np.ndarray, np.ndarray]] = []
         if not answers:
-            self._send_strings(0, self.strings[0])
+            self._send_strings(0, strings)
             self._send_strings(1, self._longer(np.flatnonzero(self.offset >= 1)))
             return
         whole = total + ALPHA * (distinct + 1)
-        self.counts = [self.strings[0].spread(answers[1], self.n)]
+        self.counts = [strings.spread(answers[1])]
         self.p = (self.counts[0] + ALPHA) / whole
         self.base = self.p.copy()
         for k in range(1, depth + 1):
             # level k: contexts of k words, counts[k - 1] at the place before; symbols are strings of k + 1 words
-            here = self._longer(np.flatnonzero(self.offset >= 1)) if k == 1 else self._candidates(k)
-            self.counts.append(here.spread(answers[k + 1], self.n))
+            shorter, strings = strings, self._longer(np.flatnonzero(self.offset >= 1)) if k == 1 else self._candidates(k)
+            self.counts.append(strings.spread(answers[k + 1]))
             at = np.flatnonzero(self.offset >= k)
             at = at[self.counts[k - 1][at - 1] >= LEAST_STATE]
             of, n = self.counts[k - 1][at - 1], self.counts[k][at]
             kept = diverges(n, of, self.p[at])
-            contexts = Strings(self._gram(k - 1)[at - 1], at)
+            contexts = shorter.before(at)
             if k == depth - 1:
                 self.floor = self.p.copy()  # of P at this level: kept(s) is n(s) at most
                 self.floor[at] = (np.where(kept, n, 0) + MU * self.p[at]) / (of + MU)
@@ -181,7 +214,7 @@ class Chunk:
                 if k < depth:
                     self._send_strings(k + 1, self._candidates(k + 1))
                 return
-            mass = contexts.spread(answers[MASS + k], self.n)[at]
+            mass = contexts.spread(answers[MASS + k])[at]
             back = np.where(mass > 0, (of - mass + MU) / (of + MU), 1.0)
             self.p[at] = np.where(kept, n / (of + MU), 0.0) + back * self.p[at]
 
@@ -192,7 +225,7 @@ class Chunk:
         return self.grams[k]
 
     def _longer(self, at: np.ndarray) -> Strings:
-        return Strings(self._gram(1)[at], at)
+        return Strings.at_tokens(self._gram(1), at)
 
     def _candidates(self, k: int) -> Strings:
         """Strings of k + 1 words whose first k and last k words are frequent enough."""
@@ -201,7 +234,7 @@ class Chunk:
         at = at[last[at - 1] >= LEAST_STATE]
         if k == self.depth > 1:  # no longer one needs them: those that can't pass the test are left out
             at = at[gain(last[at], 1.0, self.floor[at]) >= GAIN]
-        return Strings(self._gram(k)[at], at)
+        return Strings.at_tokens(self._gram(k), at)
 
     def _send_strings(self, k: int, strings: Strings) -> None:
         self.to_send.append((k + 1, strings.keys, strings.sums(self.learnt)))
@@ -226,7 +259,7 @@ def _messages(number: int, kind: int, keys: np.ndarray, counts: np.ndarray, star
     cuts = np.append(np.searchsorted(keys, starts), len(keys))
     for k in np.flatnonzero(np.diff(cuts)):
         own = keys[cuts[k] : cuts[k + 1]]
-        yield int(k), number, kind, packed(np.diff(own, prepend=starts[k])), packed(counts[cuts[k] : cuts[k + 1]])
+        yield int(k), number, kind, packed(np.diff(own, prepend=starts[k])), _planes(counts[cuts[k] : cuts[k + 1]])
 
 
 def _answered(starts: np.ndarray):
@@ -238,13 +271,13 @@ def _answered(starts: np.ndarray):
         for kind in sorted({r[1] for r in rows}):
             own = [r for r in rows if r[1] == kind]
             parts = [start + np.cumsum(unpacked(memoryview(r[2].as_buffer())), dtype=np.uint64) for r in own]
-            keys, place = np.unique(np.concatenate(parts), return_inverse=True)
-            totals = np.bincount(place, np.concatenate([unpacked(memoryview(r[3].as_buffer())) for r in own]), len(keys)).astype(np.int64)
+            keys, place = numbered(np.concatenate(parts))
+            totals = np.bincount(place, np.concatenate([_of_planes(r[3].as_py()) for r in own]), len(keys)).astype(np.int64)
             tokens, words = (int(totals.sum()), int((totals > 0).sum())) if kind == 1 else (0, 0)
             if 1 < kind < MASS:
                 totals[totals < min(LEAST_STATE, LEAST_SYMBOL)] = 0
             for r, part in zip(own, np.split(totals[place], np.cumsum([len(p) for p in parts])[:-1]), strict=True):
-                out.append((r[0], key[0].as_py(), kind, packed(part), tokens, words))
+                out.append((r[0], key[0].as_py(), kind, _planes(part), tokens, words))
                 tokens = words = 0
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in ANSWERS.split(", ")])
@@ -259,7 +292,7 @@ def _row(table: pa.Table) -> dict:
 def _answers(table: pa.Table) -> dict[int, np.ndarray]:
     """kind -> totals in the order of the chunk's keys."""
     rows = sorted(zip(*(table.column(name).to_pylist() for name in ("kind", "range", "totals")), strict=True))
-    return {kind: np.concatenate([unpacked(r[2]).astype(np.int64) for r in rows if r[0] == kind]) for kind in {r[0] for r in rows}}
+    return {kind: np.concatenate([_of_planes(r[2]) for r in rows if r[0] == kind]).astype(np.int64) for kind in {r[0] for r in rows}}
 
 
 class _Filled(dict):
