@@ -122,14 +122,14 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def word_hashes(texts: pa.Array, *, lower: bool, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit ids of words, bytes at which they begin, number of words of each text), for all texts at once.
+def word_hashes(texts: pa.Array, *, lower: bool, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit ids of words, bytes at which they begin and end, number of words of each text), for all texts at once.
 
     A word is a run of bytes outside `breaks` within one text; its id depends on its bytes (A-Z lower-cased on request).
     Bytes are looked at in pieces, so that the working memory is some times PIECE and 16 bytes for each word.
     """
     data, offsets = text_bytes(texts)
-    n, at, ids, begins = len(data), 0, [], []
+    n, at, ids, begins, ends = len(data), 0, [], [], []
     edges = np.unique(offsets)
     while at < n:
         end = n if n - at <= PIECE else at + PIECE
@@ -150,11 +150,13 @@ def word_hashes(texts: pa.Array, *, lower: bool, breaks: np.ndarray = SPACE) ->
         first[cuts] = inside[cuts]
         last[cuts - 1] = inside[cuts - 1]
         begin = np.flatnonzero(first)
-        ids.append(_hash(raw, begin, np.flatnonzero(last) + 1 - begin))
+        after = np.flatnonzero(last) + 1
+        ids.append(_hash(raw, begin, after - begin))
         begins.append(begin + at)
+        ends.append(after + at)
         at = end
-    begin = np.concatenate(begins) if begins else np.zeros(0, np.int64)
-    return np.concatenate(ids) if ids else np.zeros(0, np.uint64), begin, np.diff(np.searchsorted(begin, offsets))
+    begin, end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begins, ends))
+    return np.concatenate(ids) if ids else np.zeros(0, np.uint64), begin, end, np.diff(np.searchsorted(begin, offsets))
 
 
 def _hash(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:

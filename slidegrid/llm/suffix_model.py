@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import cleared, mix, pick, small_batches, stored, word_hashes
 
 DEPTH, LEAST_STATE, LEAST_SYMBOL, RATIO, GAIN, MU, ALPHA = 3, 2, 2, 1.2, 3.0, 5.0, 0.1
-CHUNK = 3 << 19
+CHUNK = 5 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 END = mix(np.array([0x656E64], np.uint64))[0]  # the id of the end token
 CHUNKS = "chunk long, ids array<long>, held array<boolean>, sizes binary, words binary, codes binary"
@@ -98,7 +98,7 @@ def _coded(docs: DataFrame, chunk_tokens: int) -> DataFrame:
             return _batch(CHUNKS, [number], one(ids), one(held), [packed(sizes)], [packed(words[order])], [_planes(rank[place])])
 
         for batch in small_batches(batches, 1):
-            ids, _, sizes = word_hashes(batch.column(1), lower=True)
+            ids, _, _, sizes = word_hashes(batch.column(1), lower=True)
             tokens = np.full(len(ids) + len(sizes), END, np.uint64)
             ends = np.cumsum(sizes + 1) - 1
             inner = np.ones(len(tokens), bool)

@@ -20,7 +20,7 @@ def brute(docs, width):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most", [2000, 2])
+@pytest.mark.parametrize("most", [2000, 2, 6])
 def test_equals_brute_force(spark, most):
     rng = random.Random(3)
     words = lambda n: " ".join(rng.choices([f"w{i}" for i in range(200)] + ["é x", "the"], k=n))
@@ -42,3 +42,20 @@ def test_strip_keeps_columns(spark):
 
 def test_empty(spark):
     assert substrings.removal(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_depths_of_internal_nodes():
+    leaf = lambda right, left="": (right.encode().split(), left.encode().split())
+    tree = substrings.Subtree([leaf("a b c d", "x y"), leaf("a b c e", "x z"), leaf("a b q", "x y"), leaf("a b c d", "w")])
+    assert sorted(tree.depths) == [2, 3, 4]
+    assert [(d, sorted(below)) for d, below in tree.nodes()] == [(4, [0, 3]), (3, [0, 1, 3]), (2, [0, 1, 2, 3])]
+    # maximal repeats: a b c d (4 words), x a b c (4), y x a b read forwards (4), a b c (3)
+    assert tree.repeats(4) == {0: {0, 1, 2}, 3: {0}, 1: {1}, 2: {2}}
+
+
+def test_strip_with_clashing_names_and_blank_texts(spark):
+    body = " ".join(f"p{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, "one " + body, "T", "r", "k", None), (2, body, None, "r", "k", "i"), (3, " \n\t", "T", None, "k", "i"), (None, "left  alone", "T", "r", None, "i")], "doc_id long, text string, Text string, _runs string, text_key string, id string")
+    out = substrings.strip(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "one", "T", "r", "k", None), (None, "left  alone", "T", "r", None, "i")], key=str)
