@@ -12,6 +12,10 @@ def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def urls_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.listed_only(table(spark, sf_dir, "pages"))
+
+
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -48,12 +52,19 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op3_packing": op3_packing, "op2_neighbours": op2_neighbours, "op8_html_text": op8_html_text, "op4_suffix_model": op4_suffix_model, "op5_near_duplicates": op5_near_duplicates, "op6_substrings": op6_substrings, "op1_urls": op1_urls, "op9_decontaminate": op9_decontaminate, "op7_quality": op7_quality, "op10_warc": op10_warc}
+QUERIES = {"op3_packing": op3_packing, "op2_neighbours": op2_neighbours, "op8_html_text": op8_html_text, "op4_suffix_model": op4_suffix_model, "op5_near_duplicates": op5_near_duplicates, "op6_substrings": op6_substrings, "op1_urls": op1_urls, "op9_decontaminate": op9_decontaminate, "op7_quality": op7_quality, "op10_warc": op10_warc, "urls_listed": urls_listed}
 
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = f"translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}')"
 
 ORACLES: dict[str, str] = {
+    "urls_listed": rf"""
+        WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_AZ}', '{_AZ.lower()}') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        r(listed, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        f AS (SELECT page_id, host, path, listed, h || p AS rule FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+        b AS (SELECT page_id, host, path, max_by(rule, length(rule)) AS rule, max_by(listed, length(rule)) AS listed FROM f GROUP BY ALL)
+        SELECT u.page_id, u.host, u.path, b.rule, b.listed FROM u LEFT JOIN b ON u.page_id = b.page_id""",
     "op5_near_duplicates": rf"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),

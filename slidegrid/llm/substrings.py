@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, pick, rolling, small_batches, stored, text_bytes, word_hashes
 
-WIDTH, ANCHOR, MOST_LEAVES = 35, 8, 2000
+WIDTH, ANCHOR, MOST_LEAVES = 35, 8, 500
 SPLITS = 2  # times that a large group is halved before whole windows decide
 #: A row for each text (anchor null) and for each of its blocks (sha null).
 BLOCKS = "row long, doc_id long, text_key binary, n_words int, sha string, anchor long, hash long, start int, size int, before int"
