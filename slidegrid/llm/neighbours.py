@@ -1,16 +1,22 @@
-"""Approximate nearest neighbours by inner product: NN-descent graphs and greedy search.
+"""Approximate nearest neighbours by inner product: one NN-descent graph and greedy search, both by joins.
 
-Equal vectors are one node, which lists the smallest ids that have it. Nodes are dealt at random to shards of about
-SHARD nodes. NN-descent builds each node's list of neighbours: from a random start, every round joins the edges (both
-directions, at most SAMPLE a node) with the lists at their other ends, which gives neighbours of neighbours as
-candidates, and keeps the best DEGREE of old and new; it ends when few lists change. Queries are dealt in blocks to
-all shards, walk each shard's graph greedily with a beam of BEAM nodes, and the shards' best are merged. Edges are walked
-both ways, and a walk starts at fixed nodes, at further nodes such that every node is a start or has an edge to one, and at
-the query's own node; so every node can be reached, also where vectors form tight clusters without edges between them.
+Equal vectors are one node, which lists the smallest ids that have it. NN-descent builds each node's list of its DEGREE
+best neighbours, by the inner product of directions: by that of the vectors themselves, all lists would hold the few
+longest vectors, and the graph would fall apart. Lists begin with the best of DEALS random groups of about GROUP nodes. In every round the ends of edges meet
+at the node between them: the vectors of a node's neighbours, in both directions, are joined to it, and of two that
+meet, where one of the edges is new, each is proposed to the other if it beats the worst of its list. Edges of nodes
+that very many lists hold are sampled down to about 2 * SAMPLE a node, so no node is a hot key and each round sends
+about DEGREE + 2 * SAMPLE vectors a node, whatever the number of nodes. It ends when few lists change.
+
+A query walks the graph greedily by the inner product of the vectors, all queries at once: it begins at its own node and some random ones, and in
+every step expands the STEP best nodes of its beam that are not expanded yet, by a join with their lists and one with
+the vectors of the neighbours it hasn't seen. It ends when its beam of BEAM nodes is expanded. What a query visits
+depends on beam and degree, not on the number of nodes.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id;
-vectors of another length than the longest are left out; repeated rows count once; ties go to the smaller id; a query
-with fewer candidates gets all of them; an empty table gives no rows.
+vectors of different lengths are not neighbours; repeated rows count once, and of different vectors with one id that
+with the smallest hash counts; ties go to the smaller id; a query with fewer candidates gets all of them; an empty table
+gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -19,22 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import pick, stored
 
-NEAREST, SHARD, DEGREE, SAMPLE, ROUNDS, LEAST_CHANGE, BEAM, BLOCK, STEP = 20, 4096, 24, 14, 8, 0.02, 160, 2048, 4
+NEAREST, DEGREE, SAMPLE, GROUP, DEALS, ROUNDS, LEAST_CHANGE, BEAM, STEP, ENTRIES = 20, 24, 12, 32, 3, 10, 0.01, 96, 16, 32
+LISTS = "node long, near array<long>, scores array<double>, fresh array<boolean>, changed int"
+OFFERS = "node long, near array<long>, scores array<double>, old boolean"
+STATE = "node long, key binary, vector array<double>, found array<long>, scores array<double>, done array<boolean>, seen array<long>, expand array<long>"
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """vec_id, vector (doubles) of the rows that take part."""
+    """vec_id, key, vector (doubles) of the rows that take part, one for each id."""
     out = pick(rows, vec_id="vec_id", v="embedding").select("vec_id", F.col("v").cast("array<double>").alias("vector"))
     sound = F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0), F.lit(False))
-    out = out.where(F.col("vec_id").isNotNull() & sound)
-    length = out.agg(F.max(F.size("vector"))).first()[0] or 0
-    return out.where(F.size("vector") == length).withColumn("key", _key("vector"))
+    out = out.where(F.col("vec_id").isNotNull() & sound).withColumn("key", _key("vector"))
+    return out.groupBy("vec_id").agg(F.min(F.struct("key", "vector")).alias("x")).select("vec_id", "x.key", "x.vector")
 
 
 def _key(column: str):
@@ -42,168 +50,234 @@ def _key(column: str):
     return F.unhex(F.md5(bits))
 
 
-def _nodes(rows: DataFrame, ids: int, shard_size: int) -> DataFrame:
-    """shard, node (its number there), key, vector, ids: distinct vectors with their smallest ids."""
+def nodes_of(rows: DataFrame, ids: int) -> DataFrame:
+    """node, key, vector, ids: distinct vectors with their smallest ids."""
 
     def some(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:  # fewer rows before the shuffle: of each batch, a vector's smallest ids only
-            frame = frame.sort_values("vec_id").drop_duplicates("vec_id")
+            frame = frame.sort_values("vec_id")
             first = frame.groupby("key")
-            out = frame[first.cumcount() < ids].groupby("key", sort=False).agg(vector=("vector", "first"), ids=("vec_id", list)).reset_index()
-            yield out
+            yield frame[first.cumcount() < ids].groupby("key", sort=False).agg(vector=("vector", "first"), ids=("vec_id", list)).reset_index()
 
     merged = rows.select("key", "vector", "vec_id").mapInPandas(some, "key binary, vector array<double>, ids array<long>")
-    merged = merged.groupBy("key").agg(F.first("vector").alias("vector"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, ids).alias("ids"))
-    merged = stored(merged)
-    shards = max(1, -(-merged.count() // shard_size))
-    dealt = merged.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    place = F.row_number().over(Window.partitionBy("shard").orderBy("key")) - 1
-    return stored(dealt.withColumn("node", place))
+    merged = merged.groupBy("key").agg(F.first("vector").alias("vector"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, ids).alias("ids"))
+    return stored(merged.select(F.monotonically_increasing_id().alias("node"), "key", "vector", "ids"))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(a table of whole groups, where each begins and the last ends); rows of a group follow each other, named by column 0."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if not table.num_rows:
+            continue
+        name = table.column(0).to_numpy()
+        cuts = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+        if cuts[-1]:
+            yield table.slice(0, cuts[-1]).combine_chunks(), cuts
+        rest = table.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), np.array([0, rest.num_rows])
+
 
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, where each row's begin and the last end)."""
+    own = column.combine_chunks()
+    own = own if isinstance(own, pa.ListArray) else own.chunk(0)
+    return own.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(own.value_lengths().to_numpy()))
 
-def _ordered(frame: pd.DataFrame) -> np.ndarray:
-    return np.array(frame.sort_values("node")["vector"].tolist(), float)
 
+def _as_lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    flat = pa.array(np.concatenate(values) if values else np.zeros(0), kind)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(v) for v in values])).astype(np.int32)), flat)
 
-def _best(x: np.ndarray, node: int, others: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
-    others = others[others != node]
-    near = x[others] @ x[node]
-    keep = np.argsort(-near, kind="stable")[:degree]
-    return others[keep].astype(np.int32), near[keep]
 
+def _directions(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # else squares may overflow
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
-GRAPH = "shard int, node int, near array<int>, changed int"
 
+def _best(scores: np.ndarray, degree: int) -> np.ndarray:
+    return np.argsort(-scores, kind="stable")[:degree]
 
-def _start(nodes: DataFrame, degree: int) -> DataFrame:
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        x, rng = _ordered(frame), np.random.default_rng(key[0] + 1)
-        lists = [_best(x, k, rng.choice(len(x), min(len(x), degree + 1), replace=False), degree)[0] for k in range(len(x))]
-        return pd.DataFrame({"shard": key[0], "node": np.arange(len(x)), "near": lists, "changed": [len(v) for v in lists]})
 
-    return nodes.select("shard", "node", "vector").groupBy("shard").applyInPandas(run, GRAPH)
+def _start(nodes: DataFrame, degree: int, group: int) -> DataFrame:
+    groups = max(1, nodes.count() // group)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _whole_groups(batches):
+            name, near, scores = table.column("node").to_numpy(), [], []
+            flat, ends = _lists(table.column("vector"))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                x = _directions(flat[ends[a] : ends[b]].reshape(b - a, -1))
+                product = x @ x.T
+                np.fill_diagonal(product, -np.inf)
+                for k in range(b - a):
+                    keep = _best(product[k], min(degree, b - a - 1))
+                    near.append(name[a:b][keep])
+                    scores.append(product[k][keep])
+            yield pa.RecordBatch.from_arrays([pa.array(name), _as_lists(near, pa.int64()), _as_lists(scores, pa.float64()), pa.array([False] * len(name), pa.bool_())], [x.split()[0] for x in OFFERS.split(", ")])
 
-def build_graph(nodes: DataFrame, *, degree: int = DEGREE, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
-    """shard, node, near: the NN-descent lists."""
+    # several random groups a node, so that lists lead from each group into others
+    own = F.xxhash64(F.size("vector"), "deal", F.pmod(F.xxhash64("key", "deal"), F.lit(groups)))
+    dealt = nodes.select("node", "key", "vector", F.explode(F.sequence(F.lit(1), F.lit(DEALS))).alias("deal")).select(own.alias("group"), "node", "vector")
+    return _merged(dealt.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, OFFERS), degree)
 
-    def improve(key: tuple, vectors: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        x, out = _ordered(vectors), []
-        for node, near, more in zip(candidates["node"], candidates["near"], candidates["more"], strict=True):
-            old = np.asarray(near, np.int64)
-            new = _best(x, node, np.union1d(old, np.asarray(more, np.int64)) if more is not None else old, degree)[0]
-            out.append((key[0], node, new, len(np.setdiff1d(new, old))))
-        return pd.DataFrame(out, columns=["shard", "node", "near", "changed"])
 
-    graph = stored(_start(nodes, degree))
+def _sampled(edges: DataFrame, sample: int, turn: int) -> DataFrame:
+    """Of the edges (node, other, ...) those that stay if a node that more than 2 * sample lists hold keeps about so many."""
+    most = 2 * sample
+    often = stored(edges.groupBy("other").agg(F.count("*").alias("lists")).where(F.col("lists") > most))
+    chance = F.pmod(F.xxhash64("node", "other", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
+    return edges.join(often, "other", "left").where(F.col("lists").isNull() | (chance < most / F.col("lists"))).drop("lists")
+
+
+def build_graph(nodes: DataFrame, *, degree: int = DEGREE, sample: int = SAMPLE, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+    """LISTS: the NN-descent lists, best first."""
+    lists = stored(_start(nodes, degree, group))
     for turn in range(rounds):
-        forward = graph.select("shard", "node", F.explode("near").alias("other"))
-        edges = forward.unionByName(forward.select("shard", F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
-        order = F.row_number().over(Window.partitionBy("shard", "node").orderBy(F.xxhash64("other", F.lit(turn))))
-        edges = edges.withColumn("n", order).where(F.col("n") <= sample).drop("n")
-        lists = edges.groupBy("shard", "node").agg(F.collect_list("other").alias("list"))
-        reached = edges.join(lists.withColumnRenamed("node", "other"), ["shard", "other"])
-        more = reached.groupBy("shard", "node").agg(F.array_distinct(F.flatten(F.collect_list("list"))).alias("more"))
-        candidates = graph.select("shard", "node", "near").join(more, ["shard", "node"], "left")
-        graph = stored(nodes.select("shard", "node", "vector").groupBy("shard").cogroup(candidates.groupBy("shard")).applyInPandas(improve, GRAPH))
-        changed, size = graph.agg(F.sum("changed"), F.sum(F.size("near"))).first()
+        lists = stored(_round(nodes, lists, degree, sample, turn))
+        changed, size = lists.agg(F.sum("changed"), F.sum(F.size("near"))).first()
         if not size or changed <= LEAST_CHANGE * size:
             break
-    return graph.select("shard", "node", "near")
-
-
-def both_ways(near: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, neighbours) over the edges in both directions, and starts: every node is one or has an edge to one."""
-    n = len(near)
-    a, b = np.repeat(np.arange(n), [len(v) for v in near]), np.concatenate([np.zeros(0, np.int64), *near]).astype(np.int64)
-    a, b = np.divmod(np.unique(np.append(a * n + b, b * n + a)), n)
-    offsets, start, met = np.searchsorted(a, np.arange(n + 1)), np.zeros(n, bool), np.zeros(n, bool)
-    for node in (*np.linspace(0, n - 1, min(n, 48)).astype(np.int64), *range(n)):
-        if not met[node]:
-            start[node] = met[node] = met[b[offsets[node] : offsets[node + 1]]] = True
-    start[np.linspace(0, n - 1, 48).astype(np.int64)] = True
-    return offsets, b, np.flatnonzero(start)
-
-
-def walk(x: np.ndarray, around: tuple[np.ndarray, np.ndarray], queries: np.ndarray, beam: int, start: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy search of all queries at once: (nodes, similarities), best first. around: offsets, neighbours; own: a query's node or -1."""
-    m, n = len(queries), len(x)
-    beam = min(beam, n)
-    seen = np.zeros((m, n + 1), bool)
-    seen[:, n] = True  # stands for -1
-    rows = np.arange(m)[:, None]
-    own = np.where(np.isin(own, start), -1, own)
-    found = np.hstack([np.broadcast_to(start, (m, len(start))), np.maximum(own, 0)[:, None]])
-    near = np.hstack([queries @ x[start].T, np.where(own < 0, -np.inf, np.einsum("ij,ij->i", x[own], queries))[:, None]])
-    done = np.isinf(near)
-    seen[:, start] = True
-    seen[np.arange(m), np.where(own < 0, n, own)] = True
-    offsets, flat = around
-    while True:
-        order = np.argsort(-near, 1, kind="stable")[:, :beam]
-        found, near, done = found[rows, order], near[rows, order], done[rows, order]
-        open_ = np.where(done, np.iinfo(np.int64).max, np.arange(found.shape[1]))
-        step = np.sort(np.argpartition(open_, min(STEP, found.shape[1]) - 1, 1)[:, :STEP], 1)
-        live = ~done[rows, step]
-        if not live.any():
-            return found, near
-        done[rows, step] = True
-        first = offsets[found[rows, step]]
-        size = np.where(live, offsets[found[rows, step] + 1] - first, 0)
-        place = np.arange(max(1, size.max()))
-        ids = np.where(place < size[:, :, None], np.append(flat, n)[np.minimum(first[:, :, None] + place, len(flat))], n).reshape(m, -1)
-        ids.sort(1)
-        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = n
-        ids = np.where(seen[rows, ids], n, ids)
-        seen[rows, ids] = True
-        width = max(1, int((ids < n).sum(1).max()))
-        ids = np.sort(ids, 1)[:, :width]
-        real = ids < n
-        own = np.full(ids.shape, -np.inf)
-        which = np.nonzero(real)
-        own[which] = np.einsum("ij,ij->i", x[ids[which]], queries[which[0]])
-        found, near, done = np.hstack([found, np.where(real, ids, 0)]), np.hstack([near, own]), np.hstack([done, ~real])
-
-
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, nearest: int, beam: int = BEAM, block: int = BLOCK) -> DataFrame:
-    """key, found: for each query vector (key, vector), structs (-score, id) of the nearest + 1 nodes' ids, best first."""
-    shards = nodes.agg(F.coalesce(F.max("shard"), F.lit(-1))).first()[0] + 1
-    blocks = max(1, -(-queries.count() // block))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(blocks)).cast("int")).withColumn("shard", numbers(shards))
-    held = nodes.select("shard", "node", "key", "vector", "ids").join(graph, ["shard", "node"]).withColumn("block", numbers(blocks))
-
-    def run(_: tuple, here: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(here) or not len(asked):
-            return pd.DataFrame({"key": [], "scores": [], "ids": []})
-        here = here.sort_values("node")
-        x, ids = np.array(here["vector"].tolist(), float), here["ids"].tolist()
-        *around, start = both_ways(here["near"].tolist())
-        place = {key: node for node, key in enumerate(here["key"])}
-        own_nodes = np.array([place.get(key, -1) for key in asked["key"]])
-        q = np.array(asked["vector"].tolist(), float)
+    return lists
+
+
+def _round(nodes: DataFrame, lists: DataFrame, degree: int, sample: int, turn: int) -> DataFrame:
+    edges = lists.select("node", F.explode(F.arrays_zip("near", "fresh")).alias("x")).select("node", F.col("x.near").alias("other"), F.col("x.fresh").alias("fresh"))
+    edges = stored(_sampled(edges, sample, turn))
+    meet = edges.select(F.col("node").alias("middle"), F.col("other").alias("node"), "fresh").unionByName(edges.select(F.col("other").alias("middle"), "node", "fresh"))
+    meet = meet.groupBy("middle", "node").agg(F.max("fresh").alias("fresh"))
+    worst = F.when(F.size("near") >= degree, F.element_at("scores", -1)).otherwise(F.lit(float("-inf")))
+    held = nodes.select("node", "vector").join(lists.select("node", worst.alias("worst")), "node")
+    dealt = meet.join(held, "node").select("middle", "node", "fresh", "worst", "vector").repartition("middle").sortWithinPartitions("middle")
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _whole_groups(batches):
+            name, fresh, worst = (table.column(c).to_numpy() for c in ("node", "fresh", "worst"))
+            flat, ends = _lists(table.column("vector"))
+            out, near, scores = [], [], []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                x, new = _directions(flat[ends[a] : ends[b]].reshape(b - a, -1)), fresh[a:b]
+                product = x @ x.T
+                fits = (product > worst[a:b, None]) & (new[:, None] | new)
+                np.fill_diagonal(fits, False)
+                for k in np.flatnonzero(fits.any(1)):
+                    out.append(name[a + k])
+                    near.append(name[a:b][fits[k]])
+                    scores.append(product[k][fits[k]])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), _as_lists(near, pa.int64()), _as_lists(scores, pa.float64()), pa.array([False] * len(out), pa.bool_())], [x.split()[0] for x in OFFERS.split(", ")])
+
+    return _merged(dealt.mapInArrow(propose, OFFERS).unionByName(lists.select("node", "near", "scores", F.lit(True).alias("old"))), degree)
+
+
+def _merged(offers: DataFrame, degree: int) -> DataFrame:
+    """LISTS: the best of each node's old list and what was offered."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _whole_groups(batches):
+            old = table.column("old").to_numpy()
+            ids, ends = _lists(table.column("near"))
+            values, _ = _lists(table.column("scores"))
+            near, scores, fresh = [], [], []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # the old list comes first
+                known = ends[a + 1] - ends[a] if old[a] else 0
+                own, first = np.unique(ids[ends[a] : ends[b]], return_index=True)
+                keep = _best(values[ends[a] : ends[b]][first], degree)
+                near.append(own[keep])
+                scores.append(values[ends[a] : ends[b]][first][keep])
+                fresh.append(first[keep] >= known)
+            node = table.column("node").to_numpy()[cuts[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(node), _as_lists(near, pa.int64()), _as_lists(scores, pa.float64()), _as_lists(fresh, pa.bool_()), pa.array([int(f.sum()) for f in fresh], pa.int32())], [x.split()[0] for x in LISTS.split(", ")])
+
+    return offers.repartition("node").sortWithinPartitions("node", F.col("old").desc()).mapInArrow(merge, LISTS)
+
+
+def _products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products row by row, each by the same sum whatever rows stand beside it."""
+    return (x * query).sum(1)
+
+
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, nearest: int = NEAREST, beam: int = BEAM, step: int = STEP, entries: int = ENTRIES) -> DataFrame:
+    """STATE after the walks of queries (node, key, vector); seen has the nodes that a query has visited."""
+    beam = max(beam, nearest + 1)
+    share = min(1.0, entries / max(1, nodes.count()))
+    chosen = nodes.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) / float(1 << 30) < share).select("node", "vector").collect()  # about `entries` rows
+    first = {}
+    for r in chosen:
+        first.setdefault(len(r["vector"]), []).append((r["node"], r["vector"]))
+    forward = graph.select("node", F.explode("near").alias("other"))
+    back = _sampled(forward, SAMPLE, -1).select(F.col("other").alias("node"), F.col("node").alias("other"))
+    around = stored(forward.unionByName(back).groupBy("node").agg(F.collect_set("other").alias("around")))
+
+    def advance(found: np.ndarray, scores: np.ndarray, done: np.ndarray) -> tuple:
+        keep = np.lexsort((found, -scores))[:beam]
+        found, scores, done = found[keep], scores[keep], done[keep].copy()
+        ahead = np.flatnonzero(~done)[:step]
+        done[ahead] = True
+        return found, scores, done, found[ahead]
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for node, key, vector in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                start = {node: vector} | dict(first.get(len(vector), []))
+                found = np.array(list(start), np.int64)
+                state = advance(found, _products(np.array(list(start.values()), float), np.array(vector)), np.zeros(len(found), bool))
+                out.append((node, key, vector, *state[:3], found, state[3]))
+            yield _state(out)
+
+    def go_on(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for at in range(0, len(q), 128):
-            found, near = walk(x, around, q[at : at + 128], beam, start, own_nodes[at : at + 128])
-            for k, (own, score) in enumerate(zip(found[:, : nearest + 1], near[:, : nearest + 1], strict=True), at):
-                pairs = sorted((-s, i) for f, s in zip(own, score, strict=True) if s > -np.inf for i in ids[f])[: nearest + 1]
-                out.append((asked["key"].iloc[k], [p[0] for p in pairs], [int(p[1]) for p in pairs]))
-        return pd.DataFrame(out, columns=["key", "scores", "ids"])
-
-    parts = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(run, "key binary, scores array<double>, ids array<long>")
-    best = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("scores", "ids")))), 1, nearest + 1)
-    return parts.groupBy("key").agg(best.alias("found"))
-
-
-def nearest_neighbours(rows: DataFrame, *, nearest: int = NEAREST, every: int = 20, shard: int = SHARD, beam: int = BEAM) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose id is divisible by `every`, against all rows."""
-    known = usable(rows)
-    nodes = _nodes(known, nearest + 1, shard)
+        for r in left.to_pylist():
+            query, ids = np.array(r["vector"]), right.column("other").to_numpy()
+            flat, _ = _lists(right.column("near")) if len(ids) else (np.zeros(0), None)
+            new = _products(flat.reshape(len(ids), -1), query) if len(ids) else np.zeros(0)
+            state = advance(np.append(np.array(r["found"], np.int64), ids), np.append(r["scores"], new), np.append(np.array(r["done"], bool), np.zeros(len(ids), bool)))
+            out.append((r["node"], r["key"], r["vector"], *state[:3], np.append(np.array(r["seen"], np.int64), ids), state[3]))
+        return pa.Table.from_batches([_state(out)])
+
+    ended, state = [], stored(queries.select("node", "key", "vector").mapInArrow(begin, STATE))
+    while True:
+        open_ = state.where("size(expand) > 0")
+        ended.append(state.where("size(expand) = 0"))
+        if open_.isEmpty():
+            break
+        asked = open_.select(F.col("node").alias("query"), F.explode("expand").alias("node")).join(around, "node")
+        met = asked.groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("met"))
+        new = met.join(open_.select(F.col("node").alias("query"), "seen"), "query").select("query", F.explode(F.array_except("met", "seen")).alias("other"))
+        near = new.join(nodes.select(F.col("node").alias("other"), F.col("vector").alias("near")), "other").select(F.col("query").alias("node"), "other", "near")
+        state = stored(open_.groupBy("node").cogroup(near.groupBy("node")).applyInArrow(go_on, STATE))
+    out = ended[0]
+    for more in ended[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _state(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], [x.split()[0] for x in STATE.split(", ")])
+
+
+def visited(state: DataFrame, nodes: DataFrame) -> float:
+    """The mean share of all nodes that a query has visited."""
+    return (state.agg(F.avg(F.size("seen"))).first()[0] or 0.0) / max(1, nodes.count())
+
+
+def nearest_neighbours(rows: DataFrame, *, nearest: int = NEAREST, every: int = 20, beam: int = BEAM, shares: list | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows whose id is divisible by `every`, against all rows; shares gets the share visited."""
+    known = stored(usable(rows))
+    nodes = nodes_of(known, nearest + 1)
     graph = build_graph(nodes)
-    asked = known.where(F.col("vec_id") % every == 0)
-    queries = stored(asked.dropDuplicates(["key"]).select("key", "vector"))
-    found = search(nodes, graph, queries, nearest=nearest, beam=beam)
-    each = asked.select(F.col("vec_id").alias("query_id"), "key").distinct().join(found, "key")
-    own = F.slice(F.filter("found", lambda x: x["ids"] != F.col("query_id")), 1, nearest)
-    out = each.select("query_id", F.posexplode(own).alias("rank", "x"))
-    return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.ids").alias("vec_id"), (-F.col("x.scores")).alias("score"))
+    asked = known.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "key")
+    queries = nodes.select("node", "key", "vector").join(asked.select("key").distinct(), "key", "left_semi")
+    state = search(nodes, graph, queries, nearest=nearest, beam=beam)
+    if shares is not None:
+        shares.append(visited(state, nodes))
+    best = state.select("key", F.explode(F.slice(F.arrays_zip("found", "scores"), 1, nearest + 1)).alias("x")).select("key", F.col("x.found").alias("node"), F.col("x.scores").alias("score"))
+    each = best.join(nodes.select("node", "ids"), "node").select("key", "score", F.explode("ids").alias("vec_id"))
+    pairs = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, nearest + 1)
+    found = stored(each.groupBy("key").agg(pairs.alias("found")))  # written first, so that the join can split a frequent vector
+    own = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, nearest)
+    out = asked.join(found, "key").select("query_id", F.posexplode(own).alias("rank", "x"))
+    return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))

@@ -21,7 +21,7 @@ def test_recall_ties_and_odd_rows(spark):
     rows += [(2000, None), (2020, [0.0] * 24), (2040, [float("nan")] * 24), (2060, [None] + [1.0] * 23), (2080, [float("inf")] * 24), (None, rows[0][1]), rows[0]]
     frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, label int, key string")
     got = {}
-    for r in neighbours.nearest_neighbours(frame, shard=400).collect():
+    for r in neighbours.nearest_neighbours(frame).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     want = brute(rows)
     assert set(got) == set(want)
@@ -45,7 +45,7 @@ def test_tight_clusters(spark):
     rows = [(i, [float(c) for c in v / np.linalg.norm(v)]) for i, v in enumerate(x)]
     x = np.array([v for _, v in rows])
     got = {}
-    for r in neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=2000).collect():
+    for r in neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     queries = range(0, 6000, 20)
     near = x[::20] @ x.T
@@ -53,3 +53,26 @@ def test_tight_clusters(spark):
     recall = [len(got[q] & set(np.argsort(-near[k])[:20].tolist())) / 20 for k, q in enumerate(queries)]
     print("recall", np.mean(recall), min(recall))
     assert np.mean(recall) > 0.98
+
+
+def test_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)] + [(60, [1.0] * 9), (61, [2.0] * 9), (80, [1.0] * 3)]
+    rows += [(7, [9.0] * 8), (7, [9.0] * 8), (20, [9.0] * 8), (20, [9.0] * 8)]
+    out = neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert {q: sorted(r for r, *_ in v) for q, v in got.items()} == {0: list(range(1, 21)), 20: list(range(1, 21)), 40: list(range(1, 21)), 60: [1]}
+    assert got[60] == [(1, 61, 18.0)]
+    assert all(len({i for _, i, _ in v}) == len(v) for v in got.values())
+
+
+def test_share_visited_falls_with_the_number_of_nodes(spark):
+    rng = np.random.default_rng(3)
+    shares = []
+    for n in (1500, 6000):
+        frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(n, 16)))], "vec_id long, embedding array<double>")
+        neighbours.nearest_neighbours(frame, shares=shares).count()
+    print("visited", shares)
+    assert shares[1] < 0.5 * shares[0]
