@@ -182,3 +182,23 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int
             end = min(max(at + 1, int(np.searchsorted(sizes, done + most_bytes, "right"))), at + most_rows)
             yield batch.slice(at, end - at)
             at = end
+
+
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """The stable order in which keys ascend. Sorts high bits with places below them; the few keys that differ in low bits only are sorted in full."""
+    bits = np.uint64(max(1, (len(keys) - 1).bit_length()))
+    order = (keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order = (order & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    found = keys[order]
+    return order if (found[1:] >= found[:-1]).all() else np.argsort(keys, kind="stable")
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, ascending; the number of each key among them)."""
+    order = ordered(keys)
+    keys = keys[order]
+    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return keys[first], place

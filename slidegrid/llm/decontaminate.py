@@ -1,17 +1,16 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is partitioned by document: each row (a shard of bounded size) holds its documents, and for each term the
-ascending list of the shard's positions at which it stands. Benchmark windows are looked up in every shard: the
-lists of a window's terms are intersected after adjustment by their offsets, beginning with the term that is rarest
-in the whole corpus, so most windows end at the first or second list. The same lists give proximity matches.
-
-The benchmark is read in blocks of about BLOCK_WORDS words, and only one block at a time is on the driver and with
-the tasks. While one block holds the whole benchmark, the index stores the benchmark's terms only; beyond that, it
-stores all terms.
+The index is partitioned by document: each row (a shard of about SHARD_WORDS words) holds its documents, and for every term
+of its texts the ascending list of the positions at which it stands. Terms are words' 64-bit ids. The benchmark's windows
+are a table too: each gets the corpus counts of its terms and is joined, by the rarest of them, with the shards that
+hold that term; a window with a word that the corpus lacks goes. A shard's lists are then intersected after adjustment
+by their offsets, rarest terms first, so most windows end at the first or second list. The same lists give proximity
+matches. Index and benchmark may both be of any size; neither is collected or broadcast.
 
 Cases: a null or empty text has no words and no hits; an item without words has no windows, and one with fewer than
 `width` words is one window; a null item id is written as the empty string; repeated rows are judged each; empty
-tables give no rows or no hits.
+tables give no rows or no hits; other columns, also of clashing names, don't matter. `clean` judges texts, so a null or
+repeated id never takes other texts with it.
 """
 
 from __future__ import annotations
@@ -27,94 +26,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import pick, stored
+from .common import ordered, pick, small_batches, stored, word_hashes
 
-WIDTH, SHARD_WORDS, BLOCK_WORDS, SHARE = 13, 250_000, 200_000, 20
+WIDTH, SHARD_WORDS, SHARE = 13, 250_000, 20
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z: digits, letters and everything beyond ASCII.
-_WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-INDEX = "shard long, doc_ids array<long>, sizes array<int>, terms array<binary>, counts array<int>, gaps array<int>"
+BREAKS = np.array([not (48 <= c <= 57 or 97 <= c <= 122 or c > 127) for c in range(256)])
+INDEX = "shard long, doc_ids array<long>, doc_keys array<long>, sizes array<int>, terms array<long>, counts array<int>, gaps array<int>"
+WINDOWS = "item string, number long, term long, place int, size int"
+MATCHES = "shard long, doc int, ids array<string>, places array<int>, lengths array<int>"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, doc_key (of the text), text."""
+    text = F.coalesce("text", F.lit(""))
+    return pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_key"), text.alias("text"))
 
 
-def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, *, shard_words: int = SHARD_WORDS) -> DataFrame:
+def build_index(docs: DataFrame, *, shard_words: int = SHARD_WORDS) -> DataFrame:
     """INDEX rows. Positions of a shard leave one place free after each document; `gaps` are their differences."""
-    known = docs.sparkSession.sparkContext.broadcast(None if vocabulary is None else {w: i for i, w in enumerate(sorted(vocabulary))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed, at, number = known.value, 0, TaskContext.get().partitionId() << 32
-        ids, sizes, parts = [], [], []
-        terms: dict[bytes, int] = {} if fixed is None else fixed
+        number, size, parts = TaskContext.get().partitionId() << 32, 0, []
 
         def row() -> pa.RecordBatch:
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            places = np.flatnonzero(flat >= 0)
-            order = np.argsort(flat[places], kind="stable")
-            places, own = places[order], flat[places][order]
-            found, first, counts = np.unique(own, return_index=True, return_counts=True)
+            ids, keys = (pa.concat_arrays([p[i] for p in parts]) for i in (0, 1))
+            sizes, terms = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+            places = np.arange(len(terms)) + np.repeat(np.arange(len(sizes)), sizes)
+            order = ordered(terms)
+            terms, places = terms[order], places[order]
+            first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
             gaps = np.diff(places, prepend=0)
             gaps[first] = places[first]
-            names = list(terms)
-            values = ([number], [ids], [sizes], [[names[i] for i in found]], [counts.astype(np.int32)], [gaps.astype(np.int32)])
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["shard", "doc_ids", "sizes", "terms", "counts", "gaps"])
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
-                if fixed is None:
-                    own = [terms.setdefault(w, len(terms)) for w in words]
-                else:
-                    own = [fixed.get(w, -1) for w in words]
-                own.append(-1)
-                parts.append(np.array(own, np.int64))
-                ids.append(doc_id)
-                sizes.append(len(words))
-                at += len(own)
-                if at >= shard_words:
-                    yield row()
-                    number, at, ids, sizes, parts = number + 1, 0, [], [], []
-                    if fixed is None:
-                        terms = {}
-        if ids:
+            counts = np.diff(first, append=len(terms))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            values = (ids, keys, pa.array(sizes, pa.int32()), pa.array(terms[first].view(np.int64)), pa.array(counts, pa.int32()), pa.array(gaps, pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array([number]), *map(one, values)], _names(INDEX))
+
+        for batch in small_batches(batches, 2, 1 << 20):
+            terms, _, _, sizes = word_hashes(batch.column(2), lower=True, breaks=BREAKS)
+            parts.append((batch.column(0), batch.column(1), sizes, terms))
+            size += len(terms) + len(sizes)
+            if size >= shard_words:
+                yield row()
+                number, size, parts = number + 1, 0, []
+        if parts:
             yield row()
 
-    return stored(pick(docs, doc_id="doc_id", text="text").mapInArrow(run, INDEX), "zstd")
+    return stored(keyed(docs).mapInArrow(run, INDEX), "zstd")
 
 
 class Shard:
     """One row of the index with its lists."""
 
-    def __init__(self, row: dict):
-        self.sizes = np.asarray(row["sizes"], np.int64)
+    def __init__(self, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, gaps: np.ndarray):
+        self.sizes, self.terms, self.gaps = sizes.astype(np.int64), terms, gaps
         self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
-        ends = np.cumsum(np.asarray(row["counts"], np.int64))
-        gaps = np.asarray(row["gaps"], np.int64)
-        self.lists = {t: np.cumsum(gaps[e - c : e]) for t, e, c in zip(row["terms"], ends, row["counts"], strict=True)}
+        self.ends = np.append(0, np.cumsum(counts))
+        self.lists: dict[int, np.ndarray] = {}
 
-    def phrase(self, terms: list[tuple[bytes, int]]) -> np.ndarray:
+    def list_of(self, term: int) -> np.ndarray:
+        if term not in self.lists:
+            at = int(np.searchsorted(self.terms.view(np.uint64), np.int64(term).view(np.uint64)))
+            held = at < len(self.terms) and self.terms[at] == term
+            self.lists[term] = np.cumsum(self.gaps[self.ends[at] : self.ends[at + 1]].astype(np.int64)) if held else np.zeros(0, np.int64)
+        return self.lists[term]
+
+    def phrase(self, terms: list[tuple[int, int]]) -> np.ndarray:
         """Starts at which all (term, offset) stand; rarest term first."""
-        if any(t not in self.lists for t, _ in terms):
-            return np.zeros(0, np.int64)
         term, offset = terms[0]
-        found = self.lists[term] - offset
+        found = self.list_of(term) - offset
         for term, offset in terms[1:]:
-            if not len(found):
-                break
-            places = self.lists[term]
+            places = self.list_of(term)
+            if not len(found) or not len(places):
+                return np.zeros(0, np.int64)
             at = np.searchsorted(places, found + offset)
             found = found[places[np.minimum(at, len(places) - 1)] == found + offset]
         return found
 
-    def near(self, terms: list[bytes], span: int) -> np.ndarray:
+    def near(self, terms: list[int], span: int) -> np.ndarray:
         """Ends of the stretches of at most `span` words of one document that hold all terms."""
-        if any(t not in self.lists for t in terms):
+        lists = [self.list_of(t) for t in set(terms)]
+        if not all(map(len, lists)):
             return np.zeros(0, np.int64)
-        ends = np.sort(np.concatenate([self.lists[t] for t in set(terms)]))
+        ends = np.sort(np.concatenate(lists))
         first = ends.copy()
-        for t in set(terms):
-            places = self.lists[t]
+        for places in lists:
             at = np.searchsorted(places, ends, "right") - 1
             first = np.minimum(first, np.where(at >= 0, places[at], -(1 << 40)))
         fits = ends - first < span
@@ -124,49 +124,53 @@ class Shard:
         return np.searchsorted(self.starts, places, "right") - 1
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> list:
-    """The benchmark as DataFrames of about block_words words each."""
-    items = pick(benchmark, item_id="item_id", text="text")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-size // (5 * block_words)))
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+def windows(items: DataFrame, width: int) -> DataFrame:
+    """WINDOWS: the terms of each window of items (item_id, text), with their places in it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for batch in small_batches(batches, 1, 1 << 18, 256):
+            terms, _, _, sizes = word_hashes(batch.column(1), lower=True, breaks=BREAKS)
+            for item, own in zip(batch.column(0).to_pylist(), np.split(terms.view(np.int64), np.cumsum(sizes)[:-1]), strict=True):
+                size = min(width, len(own))
+                for at in range(0, max(0, len(own) - size + 1) if size else 0, 4096):
+                    seen = np.lib.stride_tricks.sliding_window_view(own, size)[at : at + 4096]
+                    n = len(seen)
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * (n * size), pa.string()), pa.array(np.repeat(np.arange(number, number + n), size)), pa.array(seen.ravel()), pa.array(np.tile(np.arange(size), n), pa.int32()), pa.array(np.full(n * size, size), pa.int32())], _names(WINDOWS))
+                    number += n
 
-def term_counts(index: DataFrame, terms: list[bytes]) -> dict[bytes, int]:
-    """How often the whole corpus holds each of a block's terms."""
-    wanted = F.broadcast(index.sparkSession.createDataFrame([(t,) for t in terms], "term binary"))
-    pairs = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").cast("long").alias("n"))
-    return {bytes(r[0]): r[1] for r in pairs.join(wanted, "term").groupBy("term").agg(F.sum("n")).collect()}
+    texts = pick(items, item_id="item_id", text="text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    return stored(texts.mapInArrow(run, WINDOWS))
 
 
-def search(index: DataFrame, phrases: list[tuple[str, list[bytes]]], *, span: int | None = None) -> DataFrame:
-    """Matches of (id, words) phrases: shard, doc (its number there), ids, places and lengths, one row a document.
+def search(index: DataFrame, asked: DataFrame, *, span: int | None = None) -> DataFrame:
+    """MATCHES of windows, one row a document (by its number in the shard).
 
-    Exact phrases by default; with `span`, stretches of at most so many words that hold all of a phrase's words.
+    Exact phrases by default; with `span`, stretches of at most so many words that hold all of a window's words.
     """
-    counts = term_counts(index, sorted({w for _, ws in phrases for w in ws}))
-    rare = lambda t: (counts.get(t[0], 0), t[1])
-    # a window with a word that the corpus lacks can't match
-    plan = [(k, sorted(((w, i) for i, w in enumerate(ws)), key=rare)) for k, ws in phrases if ws and all(w in counts for w in ws)]
-    sent = index.sparkSession.sparkContext.broadcast(plan)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.to_dict("records"):
-                shard, out = Shard(row), {}
-                for key, terms in sent.value:
-                    places = shard.phrase(terms) if span is None else shard.near([t for t, _ in terms], span)
-                    for doc, place in zip(shard.doc_of(places), places, strict=True):
-                        out.setdefault(int(doc), []).append((key, int(place - shard.starts[doc]), len(terms)))
-                rows = [(row["shard"], doc, *map(list, zip(*found, strict=True))) for doc, found in out.items()]
-                yield pd.DataFrame(rows, columns=["shard", "doc", "ids", "places", "lengths"])
-
-    return index.mapInPandas(run, "shard long, doc int, ids array<string>, places array<int>, lengths array<int>")
-
-
-def windows(item_id, text: str | None, width: int) -> list[tuple[str, list[bytes]]]:
-    words, key = words_of(text), "" if item_id is None else str(item_id)
-    return [(key, words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    held = index.select("shard", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("shard", F.col("x.terms").alias("term"), F.col("x.counts").cast("long").alias("n"))
+    held = stored(held.join(stored(asked.select("term").distinct()), "term", "left_semi"))
+    counts = stored(held.groupBy("term").agg(F.sum("n").alias("n")))  # written first, so that joins can split a frequent term
+    plans = asked.join(counts, "term").groupBy("item", "number", "size").agg(F.array_sort(F.collect_list(F.struct("n", "place", "term"))).alias("plan")).where(F.size("plan") == F.col("size"))
+    plans = stored(plans.select("item", "plan.term", "plan.place", F.element_at("plan", 1)["term"].alias("rarest")))
+    found = plans.join(held.select("shard", F.col("term").alias("rarest")), "rarest").select("shard", "item", "term", "place")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            flat = lambda name: left.column(name).combine_chunks().flatten().to_numpy()
+            shard, hits = Shard(flat("sizes"), flat("terms"), flat("counts"), flat("gaps")), {}
+            for item, terms, places in zip(*(right.column(c).to_pylist() for c in ("item", "term", "place")), strict=True):
+                at = shard.phrase(list(zip(terms, places, strict=True))) if span is None else shard.near(terms, span)
+                for doc, place in zip(shard.doc_of(at).tolist(), at.tolist(), strict=True):
+                    hits.setdefault(doc, []).append((item, place - int(shard.starts[doc]), len(terms)))
+            number = left.column("shard")[0].as_py()
+            out = [(number, doc, *map(list, zip(*own, strict=True))) for doc, own in hits.items()]
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], _names(MATCHES))
+
+    lists = index.select("shard", "sizes", "terms", "counts", "gaps")
+    return lists.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(run, MATCHES)
 
 
 @F.pandas_udf(StructType([StructField("n_hit", LongType()), StructField("n_items", LongType()), StructField("items_sha256", StringType())]))
@@ -182,24 +186,26 @@ def _digest(sizes: pd.Series, ids: pd.Series, places: pd.Series, lengths: pd.Ser
     return pd.DataFrame(out, columns=["n_hit", "n_items", "items_sha256"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, share: int = SHARE, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def judged(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, share: int = SHARE, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, doc_key, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
+    index = build_index(docs, shard_words=shard_words)
+    matches = search(index, windows(benchmark, width))
+    each = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "doc_keys", "sizes")).alias("doc", "x"))
+    each = each.select("shard", "doc", F.col("x.doc_ids").alias("doc_id"), F.col("x.doc_keys").alias("doc_key"), F.col("x.sizes").alias("n_words"))
+    digest = each.join(matches, ["shard", "doc"], "left").select("doc_id", "doc_key", F.col("n_words").cast("long").alias("n_words"), _digest("n_words", "ids", "places", "lengths").alias("d"))
+    return digest.select("doc_id", "doc_key", "n_words", "d.*", ((F.col("d.n_hit") > 0) & (share * F.col("d.n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
-    index, matches = None, None
-    blocks = _blocks(benchmark, block_words)
-    for block in blocks:
-        phrases = [x for r in block.collect() for x in windows(r["item_id"], r["text"], width)]
-        if index is None:
-            index = build_index(docs, {w for _, ws in phrases for w in ws} if len(blocks) == 1 else None, shard_words=shard_words)
-        found = search(index, phrases)
-        matches = found if matches is None else matches.unionByName(found)
-    if len(blocks) > 1:
-        matches = matches.groupBy("shard", "doc").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("ids", "places", "lengths")])
-    each = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "sizes")).alias("doc", "x")).select("shard", "doc", F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes").alias("n_words"))
-    digest = each.join(matches, ["shard", "doc"], "left").select("doc_id", F.col("n_words").cast("long").alias("n_words"), _digest("n_words", "ids", "places", "lengths").alias("d"))
-    return digest.select("doc_id", "n_words", "d.*", ((F.col("d.n_hit") > 0) & (share * F.col("d.n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return judged(docs, benchmark, **options).drop("doc_key")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that aren't contaminated; ids that repeat go together if one of their texts is contaminated."""
-    judged = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(judged, docs["doc_id"].eqNullSafe(judged["_bad"]), "left_anti")
+    """The rows of docs, all their columns, whose texts aren't contaminated."""
+    names = docs.columns
+    bad = stored(judged(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("doc_key").alias("bad_key")).distinct())
+    flat = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    text, doc_id = F.col(f"_{names.index('text')}"), F.col(f"_{names.index('doc_id')}")
+    gone = (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("bad_key")) & doc_id.eqNullSafe(F.col("bad_id"))
+    return flat.join(bad, gone, "left_anti").toDF(*names)

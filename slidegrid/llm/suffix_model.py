@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleared, mix, pick, small_batches, stored, word_hashes
+from .common import cleared, mix, numbered, pick, small_batches, stored, word_hashes
 
 DEPTH, LEAST_STATE, LEAST_SYMBOL, RATIO, GAIN, MU, ALPHA = 3, 2, 2, 1.2, 3.0, 5.0, 0.1
 CHUNK = 5 << 18
@@ -120,26 +120,6 @@ def _followed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return context * BASE + word
 
 
-def ordered(keys: np.ndarray) -> np.ndarray:
-    """An order in which keys ascend. Sorts high bits with places below them; the few keys that differ in low bits only are sorted in full."""
-    bits = np.uint64(max(1, (len(keys) - 1).bit_length()))
-    order = ((keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64))
-    order.sort()
-    order = (order & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    found = keys[order]
-    return order if (found[1:] >= found[:-1]).all() else np.argsort(keys)
-
-
-def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(different keys, ascending; the number of each key among them)."""
-    order = ordered(keys)
-    keys = keys[order]
-    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(first) - 1
-    return keys[first], place
-
-
 class Strings:
     """Different strings that end at some tokens: keys ascending, and the number of the string at each of the tokens."""
 

@@ -22,8 +22,8 @@ def brute(docs, items, width=13, share=20):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_words", [200_000, 5])
-def test_equals_brute_force(spark, block_words):
+@pytest.mark.parametrize("shard_words", [250_000, 300])
+def test_equals_brute_force(spark, shard_words):
     pick = random.Random(5).choices
     vocabulary = ["the", "Of", "ÉTÉ", "x9", "cat", "dog", "a-b", "über"]
     docs = [(i, " ".join(pick(vocabulary, k=60))) for i in range(40)]
@@ -31,7 +31,7 @@ def test_equals_brute_force(spark, block_words):
     docs += [(50, None), (51, ""), (52, "the"), (3, docs[3][1]), (None, docs[4][1]), (53, "zz " * 30_000 + docs[2][1]), (54, "...")]
     d = spark.createDataFrame([(a, b, "x") for a, b in docs], "doc_id long, text string, n_words string")
     b = spark.createDataFrame([(a, b, 1) for a, b in items], "item_id long, text string, doc_id int")
-    got = dc.contamination(d, b, width=5, shard_words=300, block_words=block_words)
+    got = dc.contamination(d, b, width=5, shard_words=shard_words)
     assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items, 5)
 
 
@@ -44,8 +44,26 @@ def test_empty_tables_and_clean(spark):
     assert [r["doc_id"] for r in dc.clean(some, bench).collect()] == [2]
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "a x b x c"), (2, "a x x x x b c"), (3, "c b a"), (4, "b c"), (5, "a")], "doc_id long, text string")
-    index = dc.build_index(docs)
-    found = dc.search(index, [("k", [b"a", b"b", b"c"])], span=5).collect()
-    assert sorted((r["doc"], r["places"]) for r in found) == sorted([(0, [4]), (2, [2])]) or len(found) == 2
+def test_clean_with_null_and_repeated_ids_and_clashing_names(spark):
+    docs = [(None, "a b c d", "x", 1), (None, "q r s t", None, 2), (3, "A, b c", "x", 3), (3, "fine", "x", 4), (None, None, "x", 5)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, Text string, bad_key long")
+    out = dc.clean(frame, spark.createDataFrame([(1, "A, b c")], "item_id long, text string"))
+    assert out.columns == frame.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([docs[1], docs[3], docs[4]], key=str)
+
+
+@pytest.mark.parametrize("shard_words", [250_000, 1])
+def test_proximity(spark, shard_words):
+    texts = ["a x b x c", "a x x x x b c", "c b a", "b c", "a", "a b x c x a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    index = dc.build_index(docs, shard_words=shard_words)
+    names = {(r["shard"], r["doc"]): r["id"] for r in index.selectExpr("shard", "posexplode(doc_ids) as (doc, id)").collect()}
+    asked = dc.windows(spark.createDataFrame([("k", "a b c")], "item_id string, text string"), 3)
+    found = {names[r["shard"], r["doc"]]: sorted(r["places"]) for r in dc.search(index, asked, span=5).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        w = text.split()
+        ends = [e for e in range(len(w)) if w[e] in "abc" and {"a", "b", "c"} <= set(w[max(0, e - 4) : e + 1])]
+        if ends:
+            want[i] = ends
+    assert found == want and len(want) == 3
