@@ -30,9 +30,11 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """A new name in the shared folder of the cluster (spark.checkpoint.dir); in local mode a temporary folder will do."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="slidegrid-")
         spark.sparkContext.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/slidegrid-{uuid.uuid4().hex}"

@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, label (the smallest node of its component) for all nodes of links (a, b); nothing leaves the executors."""
+def components(links: DataFrame) -> DataFrame:
+    """node, label (the smallest node of its component) for all nodes of links (a, b); nothing leaves the executors.
+
+    Smallest neighbours are written before they are joined, so that the joins can split a node with very many links.
+    """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(least.withColumnRenamed("m", "v").unionByName(small).where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         before = now
-    raise RuntimeError("the components did not settle")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import LOWER, WordIds, mix, pick, rolling, stored
+from .common import LOWER, WordIds, mix, pick, rolling, small_batches, stored, word_hashes
 from .components import components
 
 SHINGLE, PERCENT, TREES, LEVELS, NODE, SKETCH_LEAST = 5, 85, 12, 5, 128, 40
@@ -45,9 +45,13 @@ _SEEDS = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64)) | np.uint64(1)
 
 def shingle_set(words: list[bytes], ids: WordIds, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit shingles of lower-cased words."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(rolling(ids(words), min(shingle, len(words))) + np.uint64(min(shingle, len(words))))
+    return shingles_of(ids(words) if words else np.zeros(0, np.uint64), shingle)
+
+
+def shingles_of(ids: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit shingles of words given by their ids."""
+    size = min(shingle, len(ids))
+    return np.unique(rolling(ids, size) + np.uint64(size)) if size else np.zeros(0, np.uint64)
 
 
 def minwise(own: np.ndarray) -> np.ndarray:
@@ -67,18 +71,18 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        ids, number = WordIds(), TaskContext.get().partitionId() << 33
+        number = TaskContext.get().partitionId() << 33
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         names = [x.split()[0] for x in SKETCHES.split(", ")]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, out = batch.slice(at, 512), []
-                for doc_id, key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    own = shingle_set(text.as_buffer().to_pybytes().translate(LOWER).split(), ids, shingle)
-                    least = minwise(own)
-                    out.append((number, doc_id, key, len(own), xxhash.xxh3_128_digest(own.tobytes()), (least & np.uint64(255)).astype(np.uint8).tobytes(), least[: TREES * LEVELS].view(np.int64)))
-                    number += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        for part in small_batches(batches, 2):
+            out = []
+            ids, _, _, sizes = word_hashes(part.column(2), lower=True)
+            for doc_id, key, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                own = shingles_of(words, shingle)
+                least = minwise(own)
+                out.append((number, doc_id, key, len(own), xxhash.xxh3_128_digest(own.tobytes()), (least & np.uint64(255)).astype(np.uint8).tobytes(), least[: TREES * LEVELS].view(np.int64)))
+                number += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return stored(keyed(docs).mapInArrow(run, SKETCHES), "zstd")
 
@@ -291,7 +295,10 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, one document of each group; rows that repeat an id and its text stay together."""
-    gone = groups(docs, **options).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    source = docs.withColumn("_text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    return source.join(gone, (source["_text_key"] == gone["_key"]) & source["doc_id"].eqNullSafe(gone["_id"]), "left_anti").drop("_text_key")
+    """The rows of docs that stay, all columns, one document of each group; rows that repeat an id and its text stay together."""
+    names = docs.columns
+    gone = stored(groups(docs, **options).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
+    flat = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    text, doc_id = F.col(f"_{names.index('text')}"), F.col(f"_{names.index('doc_id')}")
+    same = (F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))) == F.col("gone_key")) & doc_id.eqNullSafe(F.col("gone_id"))
+    return flat.join(gone, same, "left_anti").toDF(*names)

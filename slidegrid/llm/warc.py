@@ -39,13 +39,17 @@ def digest_text(data: bytes) -> str:
     return "sha256:" + base64.b32encode(hashlib.sha256(data).digest()).decode()
 
 
-def record_bytes(kind: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
+def record_id(page_id: int | None, url: str | None) -> str:
+    name = f"{page_id}:{url}" if page_id is not None else f"null:{uuid.uuid4()}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def record_bytes(kind: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, refers_url: str | None = None) -> bytes:
     """One record as a gzip member."""
     body = payload if kind == "response" else b""
-    name = f"{page_id}:{url}" if page_id is not None else f"null:{uuid.uuid4()}"
     head = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>",
+        "WARC-Record-ID": record_id(page_id, url),
         "WARC-Date": STAMP,
         "WARC-Target-URI": "".join(c if c > " " else "%%%02X" % ord(c) for c in url or ""),
         "WARC-Payload-Digest": digest_text(payload),
@@ -54,7 +58,7 @@ def record_bytes(kind: str, page_id: int | None, url: str | None, payload: bytes
         "X-Page-ID": "" if page_id is None else str(page_id),
     }
     if kind == "revisit":
-        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-ID": str(refers_to)}
+        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to, refers_url), "X-Refers-To-Page-ID": str(refers_to)}
     head |= {"Content-Type": "text/html", "Content-Length": str(len(body))}
     block = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n"
     return gzip.compress(block.encode("utf-8", "surrogatepass") + body + b"\r\n\r\n", 6, mtime=0)
@@ -124,14 +128,18 @@ def read_records(file) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def with_roles(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html with kind and refers_to."""
+    """page_id, url, html with kind, refers_to and refers_url.
+
+    Repeated digests are written before the join, so that it sends them out if they are few, or splits a frequent one.
+    """
     rows = pick(pages, page_id="page_id", url="url", html="html").withColumn("html", F.coalesce(F.col("html").cast("binary"), F.lit(b"")))
     rows = rows.withColumn("digest", F.unhex(F.sha2("html", 256)))
     long = F.length("html") >= min_revisit
-    first = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    joined = rows.join(first, "digest", "left")
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = rows.where(long).groupBy("digest").agg(F.min(known).alias("x"), F.count("*").alias("n")).where("n > 1 and x is not null")
+    joined = rows.join(stored(first.select("digest", F.col("x.page_id").alias("first"), F.col("x.url").alias("first_url"))), "digest", "left")
     again = long & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
 
 
 def writer(folder: str, file_bytes: int) -> Callable:
@@ -143,7 +151,7 @@ def writer(folder: str, file_bytes: int) -> Callable:
         store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         sink, size, names, counts = None, 0, [], []
         for batch in batches:
-            for page_id, url, html, kind, refers_to in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for page_id, url, html, kind, refers_to, refers_url in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if sink is None or size >= file_bytes:
                     if sink is not None:
                         sink.close()
@@ -151,7 +159,7 @@ def writer(folder: str, file_bytes: int) -> Callable:
                     sink, size = store.open_output_stream(f"{base}/{name}", compression=None), 0
                     names.append(name)
                     counts.append(0)
-                data = record_bytes(kind, page_id, url, html, refers_to)
+                data = record_bytes(kind, page_id, url, html, refers_to, refers_url)
                 sink.write(data)
                 size += len(data)
                 counts[-1] += 1

@@ -61,3 +61,12 @@ def test_distinct_documents(spark):
 
 def test_empty(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_distinct_documents_with_clashing_names(spark):
+    body = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, body, "T", "k", None), (2, body + " end", None, "k", "i"), (3, None, "T", None, "i"), (None, "other words stand here alone", "T", "k", None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, Text string, _text_key string, gone_id string")
+    out = nd.distinct_documents(frame)
+    assert out.columns == frame.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([docs[0], docs[2], docs[3]], key=str)
