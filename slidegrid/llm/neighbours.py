@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import cleared, pick, stored
 
-NEAREST, DEGREE, SAMPLE, GROUP, DEALS, ROUNDS, LEAST_CHANGE, BEAM, STEP, ENTRIES = 20, 24, 12, 32, 3, 10, 0.01, 96, 16, 32
+NEAREST, DEGREE, SAMPLE, GROUP, DEALS, ROUNDS, LEAST_CHANGE, BEAM, STEP, ENTRIES = 20, 24, 12, 32, 3, 7, 0.03, 96, 64, 32
 LISTS = "node long, near array<long>, scores array<double>, fresh array<boolean>, changed int"
 OFFERS = "node long, near array<long>, scores array<double>, old boolean"
 STATE = "node long, key binary, vector array<double>, found array<long>, scores array<double>, done array<boolean>, seen array<long>, expand array<long>"
@@ -137,6 +137,7 @@ def build_graph(nodes: DataFrame, *, degree: int = DEGREE, sample: int = SAMPLE,
     lists = stored(_start(nodes, degree, group))
     for turn in range(rounds):
         lists = stored(_round(nodes, lists, degree, sample, turn))
+        cleared(nodes.sparkSession)
         changed, size = lists.agg(F.sum("changed"), F.sum(F.size("near"))).first()
         if not size or changed <= LEAST_CHANGE * size:
             break
@@ -248,6 +249,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, nearest: i
         new = met.join(open_.select(F.col("node").alias("query"), "seen"), "query").select("query", F.explode(F.array_except("met", "seen")).alias("other"))
         near = new.join(nodes.select(F.col("node").alias("other"), F.col("vector").alias("near")), "other").select(F.col("query").alias("node"), "other", "near")
         state = stored(open_.groupBy("node").cogroup(near.groupBy("node")).applyInArrow(go_on, STATE))
+        cleared(nodes.sparkSession)
     out = ended[0]
     for more in ended[1:]:
         out = out.unionByName(more)
