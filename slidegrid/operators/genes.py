@@ -26,15 +26,26 @@ def min_cells(pct: float, n_obs: Column) -> Column:
     return F.ceil(F.lit(float(pct)) * n_obs)
 
 
-def gene_sets(expression: DataFrame, obs: DataFrame, min_cells_pct: float = 0.10, *, keywords=CONTROL_KEYWORDS) -> DataFrame:
-    """gene, in_union, in_common, in_filtered_common. One pass: counts by sample and gene, then by gene."""
+#: Names that the filtered list leaves out; the common list leaves out all control keywords. Fixed values.
+FILTERED_KEYWORDS = ("BLANK", "Control")
+
+
+def gene_sets(expression: DataFrame, obs: DataFrame, min_cells_pct: float = 0.10, *, keywords=CONTROL_KEYWORDS, panel: DataFrame | None = None) -> DataFrame:
+    """gene, in_union, in_common, in_filtered_common. One pass: counts by sample and gene, then by gene.
+
+    panel: sample_id, gene of what each sample measured; without it, a gene is in a sample where it has rows.
+    """
     sizes = obs.groupBy("sample_id").agg(F.count("*").alias("n_obs"))
-    cells = expression.groupBy("sample_id", "gene").agg(F.count_if(F.col("value") > 0).alias("cells"))
+    seen = expression.select("sample_id", "gene", F.when(F.col("value") > 0, 1).otherwise(0).alias("cell"))
+    if panel is not None:
+        listed = panel.select("sample_id", "gene").distinct()
+        seen = seen.join(listed, ["sample_id", "gene"], "left_semi").unionByName(listed.withColumn("cell", F.lit(0)))
+    cells = seen.groupBy("sample_id", "gene").agg(F.sum("cell").alias("cells"))
     judged = cells.join(sizes, "sample_id").withColumn("enough", F.col("cells") >= min_cells(min_cells_pct, F.col("n_obs")))
     per_gene = judged.groupBy("gene").agg(F.count("*").alias("n"), F.count_if("enough").alias("n_enough"))
     samples = obs.agg(F.countDistinct("sample_id").alias("samples"))
-    common = F.col("n") == F.col("samples")
-    kept = common & (F.col("n_enough") == F.col("samples")) & ~is_control(F.col("gene"), keywords)
+    common = (F.col("n") == F.col("samples")) & ~is_control(F.col("gene"), keywords)
+    kept = (F.col("n_enough") == F.col("samples")) & ~is_control(F.col("gene"), FILTERED_KEYWORDS)
     return per_gene.crossJoin(F.broadcast(samples)).select("gene", F.lit(True).alias("in_union"), common.alias("in_common"), kept.alias("in_filtered_common"))  # one row
 
 

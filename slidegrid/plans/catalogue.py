@@ -56,7 +56,8 @@ def q04_qc_genes(s, d):
 @query(
     """, n AS (SELECT sample_id, count(*) AS n_obs FROM obs GROUP BY ALL), g AS (SELECT sample_id, gene, count(*) AS cells FROM spots GROUP BY ALL),
     j AS (SELECT gene, count(*) AS n, count_if(cells >= ceil(0.95 * n_obs)) AS e FROM g JOIN n USING (sample_id) GROUP BY gene)
-    SELECT gene, true AS in_union, n = (SELECT count(*) FROM n) AS in_common, n = (SELECT count(*) FROM n) AND e = (SELECT count(*) FROM n) AS in_filtered_common FROM j""",
+    SELECT gene, true AS in_union, n = (SELECT count(*) FROM n) AND NOT regexp_matches(gene, 'NegControl|Codeword|Intergenic_Region|Control|BLANK') AS in_common,
+        e = (SELECT count(*) FROM n) AND NOT regexp_matches(gene, 'BLANK|Control') AS in_filtered_common FROM j""",
     "points spots obs",
 )
 def q05_gene_sets(s, d):

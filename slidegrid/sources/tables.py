@@ -29,15 +29,17 @@ def read_expression(spark: SparkSession, path: str, *, genes: DataFrame | None =
 
 
 def read_splits(spark: SparkSession, folder: str) -> DataFrame:
-    """split, part, sample_id, patches_path, expr_path from train_<n>.csv and test_<n>.csv."""
-    rows = spark.read.schema("sample_id string, patches_path string, expr_path string").csv(f"{folder}/*.csv", header=True)
-    name = F.col("_metadata.file_name")
-    rows = rows.select(F.regexp_extract(name, r"(train|test)_(\d+)", 2).alias("split"), F.regexp_extract(name, r"(train|test)_(\d+)", 1).alias("part"), "sample_id", "patches_path", "expr_path")
-    return rows.where("part <> ''").withColumn("split", F.col("split").cast("int"))
+    """split, part, sample_id, patches_path, expr_path from train_<n>.csv and test_<n>.csv, or from what write_splits wrote."""
+    reader = spark.read.schema("sample_id string, patches_path string, expr_path string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    rows = reader.csv(folder, header=True)
+    found = lambda k: F.coalesce(*[F.nullif(F.regexp_extract("_metadata.file_path", p, k), F.lit("")) for p in (r"/(train|test)_(\d+)\.csv$", r"/part=(train|test)/split=(\d+)/[^/]*$")])
+    rows = rows.select(found(2).cast("int").alias("split"), found(1).alias("part"), "sample_id", "patches_path", "expr_path")
+    return rows.where("part is not null")
 
 
 def write_splits(splits: DataFrame, folder: str) -> None:
-    splits.write.partitionBy("part", "split").csv(folder, header=True, mode="overwrite")
+    columns = splits.select("split", "part", "sample_id", "patches_path", "expr_path")
+    columns.write.partitionBy("part", "split").csv(folder, header=True, mode="overwrite")
 
 
 def _json(spark: SparkSession, pattern: str, schema: str) -> DataFrame:

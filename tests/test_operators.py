@@ -80,9 +80,13 @@ def test_pooling_conserves_counts_and_smoothing_keeps_constants(spark):
 def test_min_cells_and_gene_sets(spark):
     assert one(spark, genes.min_cells(0.10, F.lit(11))) == 2
     obs = spark.createDataFrame([(s, o) for s in "ab" for o in range(10)], "sample_id string, obs_id int")
-    rows = [(s, o, "common", 1) for s in "ab" for o in range(10)] + [("a", 0, "rare", 1), ("b", 0, "rare", 1), ("a", 1, "only", 1)] + [(s, o, "BLANK_1", 1) for s in "ab" for o in range(10)]
+    rows = [(s, o, "common", 1) for s in "ab" for o in range(10)] + [("a", 0, "rare", 1), ("b", 0, "rare", 1), ("a", 1, "only", 1)] + [(s, o, g, 1) for s in "ab" for o in range(10) for g in ("BLANK_1", "NegControl_1", "Intergenic_Region_1", "Codeword_1")]
     got = {r["gene"]: (r["in_common"], r["in_filtered_common"]) for r in genes.gene_sets(spark.createDataFrame(rows, "sample_id string, obs_id int, gene string, value int"), obs, 0.2).collect()}
-    assert got == {"common": (True, True), "rare": (True, False), "only": (False, False), "BLANK_1": (True, False)}
+    assert got == {"common": (True, True), "rare": (True, False), "only": (False, False), "BLANK_1": (False, False), "NegControl_1": (False, False), "Intergenic_Region_1": (False, True), "Codeword_1": (False, True)}
+    panel = spark.createDataFrame([(s, g) for s in "ab" for g in ("common", "only", "silent")], "sample_id string, gene string")
+    frame = spark.createDataFrame(rows, "sample_id string, obs_id int, gene string, value int")
+    got = {r["gene"]: (r["in_common"], r["in_filtered_common"]) for r in genes.gene_sets(frame, obs, 0.2, panel=panel).collect()}
+    assert got == {"common": (True, True), "only": (True, False), "silent": (True, False)}
     with pytest.raises(ValueError, match="criteria"):
         genes.top_k_genes(obs, obs, criteria="max")
 
@@ -319,3 +323,9 @@ def test_knn_with_cells_is_exact_on_sparse_samples(spark):
     seeds = spark.createDataFrame(seeds, "sample_id string, seed string, seed_x double, seed_y double")
     rows = lambda df: sorted(map(str, df.select("sample_id", "seed", "seq", "rank").collect()))
     assert rows(spatial.knn(patches, seeds, 3, cell=1.0)) == rows(spatial.knn(patches, seeds, 3))
+
+
+def test_splits_round_trip(spark, tmp_path):
+    rows = [(0, "train", "a", "p/a", "e/a"), (0, "test", "b", "p/b", "e/b"), (11, "test", "a", None, "e/a")]
+    tables.write_splits(spark.createDataFrame(rows, "split int, part string, sample_id string, patches_path string, expr_path string"), f"{tmp_path}/s")
+    assert sorted(map(tuple, tables.read_splits(spark, f"{tmp_path}/s").collect()), key=str) == sorted(rows, key=str)
