@@ -40,3 +40,28 @@ def test_held_out_rows_are_never_learnt_from(spark):
     turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (quality.fit(docs, x) for x in (labels, turned))
     assert np.array_equal(a.means, b.means) and a.prior == b.prior
+
+
+def test_scores_equal_plain_densities():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(90, 4)), rng.normal(0.7, 2.0, size=(60, 4))])
+    y = np.repeat([0, 1], [90, 60])
+    got = quality.QuadraticDiscriminant.fit(x, y, pooled=0.2, diagonal=0.1).score(x)
+
+    def shrunk(own):
+        return 0.9 * own + 0.1 * np.diag(np.maximum(np.diag(pooled), 1e-4))
+
+    parts = [x[y == k] for k in (0, 1)]
+    pooled = sum(np.cov(p.T, bias=True) * len(p) for p in parts) / len(x)
+    density = []
+    for p in parts:
+        weight = len(p) / (len(p) + 4)
+        cov = 0.8 * (weight * shrunk(np.cov(p.T, bias=True)) + (1 - weight) * shrunk(pooled)) + 0.2 * shrunk(pooled)
+        inverse, det = np.linalg.inv(cov), np.linalg.det(cov)
+        density.append([math.exp(-0.5 * (v - p.mean(0)) @ inverse @ (v - p.mean(0))) / math.sqrt(det) * len(p) for v in x])
+    want = np.array(density[1]) / (np.array(density[0]) + np.array(density[1]))
+    assert np.allclose(got, want)
