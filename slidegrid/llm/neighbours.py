@@ -2,7 +2,10 @@
 
 Equal vectors are one node, which lists the smallest ids that have it. NN-descent builds each node's list of its DEGREE
 best neighbours, by the inner product of directions: by that of the vectors themselves, all lists would hold the few
-longest vectors, and the graph would fall apart. Lists begin with the best of DEALS random groups of about GROUP nodes. In every round the ends of edges meet
+longest vectors, and the graph would fall apart. Lists begin with the best of DEALS groups of GROUP nodes: a node's code
+says on which sides of BITS planes its direction lies, each halfway between two nodes drawn at random (at most
+2 * BITS * DEALS of them come to the driver), and in the order of codes each GROUP nodes that follow each other are a
+group, however many have one code. In every round the ends of edges meet
 at the node between them: the vectors of a node's neighbours, in both directions, are joined to it, and of two that
 meet, where one of the edges is new, each is proposed to the other if it beats the worst of its list. Edges of nodes
 that very many lists hold are sampled down to about 2 * SAMPLE a node, so no node is a hot key and each round sends
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import cleared, pick, stored
 
-NEAREST, DEGREE, SAMPLE, GROUP, DEALS, ROUNDS, LEAST_CHANGE, BEAM, STEP, ENTRIES = 20, 24, 12, 32, 3, 7, 0.03, 96, 64, 32
+NEAREST, DEGREE, SAMPLE, GROUP, DEALS, BITS, ROUNDS, LEAST_CHANGE, BEAM, STEP, ENTRIES = 20, 24, 12, 64, 4, 16, 4, 0.05, 96, 64, 32
+CODES = "deal int, length int, code long, node long, vector array<double>"
 LISTS = "node long, near array<long>, scores array<double>, fresh array<boolean>, changed int"
 OFFERS = "node long, near array<long>, scores array<double>, old boolean"
 STATE = "node long, key binary, vector array<double>, found array<long>, scores array<double>, done array<boolean>, seen array<long>, expand array<long>"
@@ -101,8 +105,37 @@ def _best(scores: np.ndarray, degree: int) -> np.ndarray:
     return np.argsort(-scores, kind="stable")[:degree]
 
 
+def _drawn(nodes: DataFrame, about: int, seed: int) -> list[tuple[int, list[float]]]:
+    """(node, vector) of about so many nodes, the same ones each time."""
+    share = min(1.0, about / max(1, nodes.count()))
+    rows = nodes.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < share).select("node", "vector").limit(2 * about)
+    return [(r["node"], r["vector"]) for r in rows.collect()]
+
+
 def _start(nodes: DataFrame, degree: int, group: int) -> DataFrame:
-    groups = max(1, nodes.count() // group)
+    ends: dict[int, list] = {}
+    for _, vector in sorted(_drawn(nodes, 2 * BITS * DEALS, 5)):
+        ends.setdefault(len(vector), []).append(vector)
+    planes = {}
+    for length, rows in ends.items():
+        x, rng = _directions(np.array(rows, float)), np.random.default_rng(length)
+        a, b = (x[rng.integers(len(x), size=BITS * DEALS)] for _ in range(2))
+        planes[length] = (a - b, ((a - b) * (a + b)).sum(1) / 2)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        for batch in batches:
+            lengths = batch.column("vector").value_lengths().to_numpy()
+            for length in np.unique(lengths):
+                own = batch.filter(pa.array(lengths == length))
+                sides = np.zeros((own.num_rows, BITS * DEALS), bool)
+                if int(length) in planes:
+                    normal, offset = planes[int(length)]
+                    sides = _directions(own.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)) @ normal.T > offset
+                for deal in range(DEALS):
+                    codes = sides[:, deal * BITS : (deal + 1) * BITS] @ weights
+                    alike = [pa.array(np.full(own.num_rows, v, np.int32)) for v in (deal, length)]
+                    yield pa.RecordBatch.from_arrays([*alike, pa.array(codes.astype(np.int64)), own.column("node"), own.column("vector")], [x.split()[0] for x in CODES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in _whole_groups(batches):
@@ -118,10 +151,23 @@ def _start(nodes: DataFrame, degree: int, group: int) -> DataFrame:
                     scores.append(product[k][keep])
             yield pa.RecordBatch.from_arrays([pa.array(name), _as_lists(near, pa.int64()), _as_lists(scores, pa.float64()), pa.array([False] * len(name), pa.bool_())], [x.split()[0] for x in OFFERS.split(", ")])
 
-    # several random groups a node, so that lists lead from each group into others
-    own = F.xxhash64(F.size("vector"), "deal", F.pmod(F.xxhash64("key", "deal"), F.lit(groups)))
-    dealt = nodes.select("node", "key", "vector", F.explode(F.sequence(F.lit(1), F.lit(DEALS))).alias("deal")).select(own.alias("group"), "node", "vector")
-    return _merged(dealt.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, OFFERS), degree)
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Numbers each `group` rows that follow each other, from a new one where deal or length change."""
+        last, held, number = None, 0, 0
+        for batch in batches:
+            out = np.empty(batch.num_rows, np.int64)
+            for i, kind in enumerate(zip(batch.column("deal").to_pylist(), batch.column("length").to_pylist(), strict=True)):
+                if kind != last or held == group:
+                    last, held, number = kind, 0, number + 1
+                held += 1
+                out[i] = number
+            yield pa.RecordBatch.from_arrays([pa.array(out), batch.column("node"), batch.column("vector")], ["group", "node", "vector"])
+
+    # the node ends the key, so that also equal codes are dealt over partitions
+    order = ["deal", "length", "code", "node"]
+    coded = stored(nodes.select("node", "vector").mapInArrow(code, CODES))
+    ranged = coded.repartitionByRange(*order).sortWithinPartitions(*order)
+    return _merged(ranged.mapInArrow(lambda batches: run(groups(batches)), OFFERS), degree)
 
 
 def _sampled(edges: DataFrame, sample: int, turn: int) -> DataFrame:
@@ -202,11 +248,9 @@ def _products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, nearest: int = NEAREST, beam: int = BEAM, step: int = STEP, entries: int = ENTRIES) -> DataFrame:
     """STATE after the walks of queries (node, key, vector); seen has the nodes that a query has visited."""
     beam = max(beam, nearest + 1)
-    share = min(1.0, entries / max(1, nodes.count()))
-    chosen = nodes.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) / float(1 << 30) < share).select("node", "vector").collect()  # about `entries` rows
     first = {}
-    for r in chosen:
-        first.setdefault(len(r["vector"]), []).append((r["node"], r["vector"]))
+    for node, vector in _drawn(nodes, entries, 3):
+        first.setdefault(len(vector), []).append((node, vector))
     forward = graph.select("node", F.explode("near").alias("other"))
     back = _sampled(forward, SAMPLE, -1).select(F.col("other").alias("node"), F.col("node").alias("other"))
     around = stored(forward.unionByName(back).groupBy("node").agg(F.collect_set("other").alias("around")))
