@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.columns import find_column, numeric_column, require_columns
+from ..functions.columns import find_column, nan_to_null, numeric_column, require_columns
 
 
 def count_patches(patches: DataFrame, *, total: bool = False) -> DataFrame:
@@ -105,20 +105,43 @@ def refresh_meta(cells: DataFrame) -> DataFrame:
     return cells.groupBy("sample_id").agg(F.count("*").alias("n_cells"), column("transcript_counts", F.avg).alias("mean_transcripts"), column("cell_area", F.sum).alias("total_area"))
 
 
-def suffix_match(ids: DataFrame, metadata: DataFrame, key: str = "sample_id", full: str = "id") -> DataFrame:
-    """For each id, the first metadata id (by pos) that ends with it, else the first with the same part before `_`.
+def suffix_match(ids: DataFrame, metadata: DataFrame, key: str = "sample_id", full: str = "id", patient: str = "patient") -> DataFrame:
+    """key, full, patient, how of each id: the patient of the equal metadata id, else of the first one (by pos) that
+    ends with the id, else the id's own part before `_`, with no metadata id. Of repeated metadata ids the last patient counts.
 
     An id can only end with another if it ends with its last characters: both sides meet in an equi-join on the ids'
     suffixes as long as some id, instead of a nested loop.
     """
-    lengths = ids.select(F.length(key).alias("_n")).distinct()
-    tails = metadata.select(F.col(full), "pos").crossJoin(F.broadcast(lengths)).where(F.length(full) >= F.col("_n")).select(full, "pos", F.expr(f"right({full}, _n)").alias("_tail"))  # as many rows as ids have lengths
-    first = lambda df: df.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy("pos"))).where("_rn = 1").drop("_rn", "pos")
-    ended = first(ids.select(key).distinct().join(tails, F.col(key) == F.col("_tail")).drop("_tail"))
-    rest = ids.select(key).distinct().join(ended, key, "left_anti")
-    heads = metadata.select(full, "pos", F.split(full, "_")[0].alias("_head"))
-    headed = first(rest.join(heads, F.split(F.col(key), "_")[0] == F.col("_head")).drop("_head"))
-    return ended.withColumn("how", F.lit("suffix")).unionByName(headed.withColumn("how", F.lit("prefix")))
+    asked = ids.select(key).distinct()
+    known = metadata.groupBy(full).agg(F.min("pos").alias("pos"), F.max_by(patient, "pos").alias("patient"))
+    exact = asked.join(known.where("patient is not null"), F.col(key) == F.col(full)).select(key, full, "patient", F.lit("exact").alias("how"))
+    rest = asked.join(exact, key, "left_anti")
+    lengths = rest.select(F.length(key).alias("_n")).distinct()
+    tails = known.crossJoin(F.broadcast(lengths)).where(F.length(full) >= F.col("_n")).withColumn("_tail", F.expr(f"right(`{full}`, _n)"))  # as many rows as ids have lengths
+    ended = rest.join(tails, F.col(key) == F.col("_tail")).groupBy(key).agg(F.min_by(F.struct(full, "patient"), "pos").alias("_m"))
+    ended = ended.select(key, "_m.*", F.lit("suffix").alias("how")).where("patient is not null")
+    own = rest.join(ended, key, "left_anti").select(key, F.lit(None).cast("string").alias(full), F.split(key, "_")[0].alias("patient"), F.lit("own").alias("how"))
+    return exact.unionByName(ended).unionByName(own)
+
+
+def value_counts(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows for each combination of values, null included, the most frequent first."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *columns)
+
+
+def numeric_summary(df: DataFrame, *columns: str, quantiles=(), accuracy: int = 10_000) -> DataFrame:
+    """column, n, mean, std, min, max of each column in one aggregate; NaN counts as null. Quantiles (q_<percent>) are approximate, to 1/accuracy of the rows."""
+    value = {c: nan_to_null(F.col(c).cast("double")) for c in columns}
+    names = ["n", "mean", "std", "min", "max", *[f"q_{round(100 * q)}" for q in quantiles]]
+    of = lambda x: [F.count(x).cast("double"), F.avg(x), F.stddev_samp(x), F.min(x), F.max(x), *[F.percentile_approx(x, q, accuracy) for q in quantiles]]
+    rows = df.agg(*[F.struct(*[e.alias(n) for e, n in zip(of(x), names, strict=True)]).alias(f"_{i}") for i, x in enumerate(value.values())])
+    listed = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("v")) for i, c in enumerate(columns)])
+    return rows.select(F.inline(listed)).select("column", "v.*").withColumn("n", F.col("n").cast("long"))
+
+
+def first_patches(patches: DataFrame, n: int, order: str = "seq") -> DataFrame:
+    """The patches of each sample with a place below n."""
+    return patches.where(F.col(order) < n)
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

@@ -65,12 +65,12 @@ def top_k_genes(expression: DataFrame, obs: DataFrame, k: int | str = "auto", cr
 
 
 def qc_spots(expression: DataFrame, percent_top=(50, 100, 200, 500), *, by=("sample_id", "obs_id"), fallback: int | None = None) -> DataFrame:
-    """n_genes, total and the share of the N largest counts. N over the number of genes are dropped; if none is left, min(fallback, genes) is used, or no share at all."""
+    """n_genes, total and the percentage of the N largest counts. N over the number of genes are dropped; if none is left, min(fallback, genes) is used, or none at all."""
     n_vars = expression.agg(F.countDistinct("gene")).first()[0]
     tops = [n for n in percent_top if n <= n_vars] or ([min(fallback, n_vars)] if fallback and n_vars else [])
     rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("value"), "gene"))
     ranked = expression.where("value > 0").withColumn("rn", rank) if tops else expression.where("value > 0")
-    shares = [ratio(F.sum(F.when(F.col("rn") <= n, F.col("value"))), F.sum("value")).alias(f"pct_counts_in_top_{n}") for n in tops]
+    shares = [(100 * ratio(F.sum(F.when(F.col("rn") <= n, F.col("value"))), F.sum("value"))).alias(f"pct_counts_in_top_{n}") for n in tops]
     return ranked.groupBy(*by).agg(F.count("*").alias("n_genes"), F.sum("value").alias("total_counts"), *shares)
 
 

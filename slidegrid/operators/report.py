@@ -38,8 +38,8 @@ def ordered_groups(results: DataFrame, group: str, member: str, value: str = "co
     """group_rank by group mean and member_rank by the member's own mean inside it, largest first."""
     members = results.groupBy(group, member).agg(F.avg(value).alias("member_mean"))
     groups = results.groupBy(group).agg(F.avg(value).alias("group_mean"))
+    groups = groups.withColumn("group_rank", F.dense_rank().over(W.orderBy(F.desc_nulls_last("group_mean"), group)))  # as many rows as groups
     out = members.join(groups, group)
-    out = out.withColumn("group_rank", F.dense_rank().over(W.orderBy(F.desc_nulls_last("group_mean"), group)))  # as many rows as members
     return out.withColumn("member_rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc_nulls_last("member_mean"), member)))
 
 

@@ -138,12 +138,14 @@ def _nearest(patches: DataFrame, seeds: DataFrame, k: int, cell: float | None =
     return ranked.withColumn("rank", rank).where(F.col("rank") <= k).drop("gx", "gy")
 
 
-def reading_order(patches: DataFrame, height: Column | None = None) -> DataFrame:
-    """position: row by row, a row being as high as the median step of y."""
+def reading_order(patches: DataFrame, patch_height: float = 1.0) -> DataFrame:
+    """position: row by row from the least y of a sample's patches, then by x and seq. Give the chosen patches only: a row is as
+    high as the median step of their y, in whole units and at least 1, or patch_height if all have one y."""
     steps = patches.select("sample_id", "y").distinct().withColumn("step", F.col("y") - F.lag("y").over(W.partitionBy("sample_id").orderBy("y")))
-    rows = steps.groupBy("sample_id").agg(F.coalesce(F.median("step"), F.lit(1.0)).alias("row_height"))
-    at = F.row_number().over(W.partitionBy("sample_id").orderBy(F.floor(F.col("y") / (height if height is not None else F.col("row_height"))), "x", "seq"))
-    return patches.join(rows, "sample_id").withColumn("position", at).drop("row_height")
+    rows = steps.groupBy("sample_id").agg(F.min("y").alias("_top"), F.coalesce(F.greatest(F.lit(1.0), F.floor(F.median("step"))), F.lit(float(patch_height))).alias("_height"))
+    row = F.floor((F.col("y") - F.col("_top")) / F.col("_height"))
+    at = F.row_number().over(W.partitionBy("sample_id").orderBy(row, "x", "seq"))
+    return patches.join(rows, "sample_id").withColumn("position", at).drop("_top", "_height")
 
 
 def grid_block(patches: DataFrame, x0: int, y0: int, size: int) -> DataFrame:
@@ -167,8 +169,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, *, cell: float, x
 def densify(expression: DataFrame, obs: DataFrame, genes: DataFrame) -> DataFrame:
     """Every spot with every listed gene, 0 where there is no value; joined by name. `genes` is a list, not data."""
     keys = [c for c in ("sample_id", "obs_id", "array_row", "array_col") if c in obs.columns and c in expression.columns]
-    listed = [r["gene"] for r in genes.select("gene").distinct().orderBy("gene").collect()]
-    spread = obs.select(*keys).withColumn("gene", F.explode(F.array(*[F.lit(g) for g in listed]) if listed else F.array().cast("array<string>")))
+    listed = genes.agg(F.collect_set("gene").alias("_genes"))
+    spread = obs.select(*keys).crossJoin(F.broadcast(listed)).withColumn("gene", F.explode("_genes")).drop("_genes")  # one row
     return spread.join(expression.select(*keys, "gene", "value"), [*keys, "gene"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
 
 

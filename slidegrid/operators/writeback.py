@@ -85,23 +85,28 @@ def resolve_samples(predictions: DataFrame, obs: DataFrame) -> DataFrame:
 def match_spots(predictions: DataFrame, obs: DataFrame) -> DataFrame:
     """sample_id, seq, obs_id, tier: how predictions (sample_id, seq, barcode) meet spots (sample_id, seq, obs_id, ...).
 
-    A sample uses the first tier that matches anything: 1 barcode = obs_id, 2 the spots' first barcode-like column,
-    3 by position if both have the same number of rows, 4 by position as far as both go.
+    A sample uses the first tier that matches anything: 1 barcode = obs_id, 2 the spots' first barcode-like column (of
+    spots with one code the last). Only where spots have no such column: 3 by position if both have the same number of
+    rows, 4 by position as far as both go.
     """
     held = next((c for c in BARCODE_COLUMNS if c in obs.columns), None)
     spots = obs.select("sample_id", F.col("seq").alias("obs_seq"), "obs_id", *([F.col(held).alias("_code")] if held else []))
-    unique = lambda df, by: df.withColumn("_rn", F.row_number().over(W.partitionBy("sample_id", by).orderBy("obs_seq"))).where("_rn = 1").drop("_rn")
     asked = predictions.select("sample_id", "seq", "barcode").distinct()
-    by_key = lambda key, tier: asked.join(unique(spots, key).select("sample_id", "obs_id", F.col(key).alias("barcode") if key != "obs_id" else F.col("obs_id").alias("barcode")), ["sample_id", "barcode"]).select("sample_id", "seq", "obs_id", F.lit(tier).alias("tier"))
-    tiers = [by_key("obs_id", 1)] + ([by_key("_code", 2)] if held else [])
+
+    def by_key(key: str, tier: int, of: DataFrame, to: DataFrame) -> DataFrame:
+        last = of.groupBy("sample_id", F.col(key).alias("barcode")).agg(F.max_by("obs_id", "obs_seq").alias("obs_id"))
+        return to.join(last, ["sample_id", "barcode"]).select("sample_id", "seq", "obs_id", F.lit(tier).alias("tier"))
+
+    one = by_key("obs_id", 1, spots, asked)
+    unmatched = lambda df: df.join(one.select("sample_id").distinct(), "sample_id", "left_anti")
+    spots, asked, obs = unmatched(spots), unmatched(asked), unmatched(obs)
+    if held:
+        return one.unionByName(by_key("_code", 2, spots, asked))
     sizes = asked.groupBy("sample_id").agg(F.count("*").alias("_np")).join(obs.groupBy("sample_id").agg(F.count("*").alias("_no")), "sample_id")
     tier = F.when(F.col("_np") == F.col("_no"), 3).otherwise(4)
     place = lambda df, order, out: df.withColumn(out, F.row_number().over(W.partitionBy("sample_id").orderBy(order)))
     ordered = place(asked, "seq", "_at").join(place(spots, "obs_seq", "_at"), ["sample_id", "_at"]).join(sizes, "sample_id")
-    tiers.append(ordered.select("sample_id", "seq", "obs_id", tier.alias("tier")))
-    every = reduce(lambda a, b: a.unionByName(b), tiers)
-    chosen = every.groupBy("sample_id").agg(F.min("tier").alias("tier"))
-    return every.join(chosen, ["sample_id", "tier"]).select("sample_id", "seq", "obs_id", "tier")
+    return one.unionByName(ordered.select("sample_id", "seq", "obs_id", tier.alias("tier")))
 
 
 def write_back(predictions: DataFrame, obs: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def q02_spot_totals(s, d):
     return rounded(spatial.spot_totals(v.spots(s, d)), "log1p_total_counts")
 
 
-@query("SELECT sample_id, array_row, array_col, count(*) AS n_genes, sum(value)::BIGINT AS total_counts, round(sum(CASE WHEN rn <= 5 THEN value ELSE 0 END) / sum(value), 6) AS pct_counts_in_top_5, round(sum(CASE WHEN rn <= 10 THEN value ELSE 0 END) / sum(value), 6) AS pct_counts_in_top_10 FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, array_row, array_col ORDER BY value DESC, gene) AS rn FROM spots) GROUP BY ALL", "points spots")
+@query("SELECT sample_id, array_row, array_col, count(*) AS n_genes, sum(value)::BIGINT AS total_counts, round(100.0 * sum(CASE WHEN rn <= 5 THEN value ELSE 0 END) / sum(value), 6) AS pct_counts_in_top_5, round(100.0 * sum(CASE WHEN rn <= 10 THEN value ELSE 0 END) / sum(value), 6) AS pct_counts_in_top_10 FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, array_row, array_col ORDER BY value DESC, gene) AS rn FROM spots) GROUP BY ALL", "points spots")
 def q03_qc_spots(s, d):
     return rounded(genes.qc_spots(v.spots(s, d), (5, 10, 500), by=("sample_id", "array_row", "array_col")), "pct_counts_in_top_5", "pct_counts_in_top_10")
 
@@ -249,31 +249,30 @@ def q25_overlap_matrix(s, d):
     return genes.overlap_matrix(v.panels(s, d), "sample_id").withColumn("genes", F.array_join("genes", ","))
 
 
-_COUNTS = ", n AS (SELECT l_suppkey AS sample_id, count(*) AS num_patches FROM lineitem WHERE l_quantity > 25 GROUP BY ALL), m AS (SELECT l_suppkey AS sample_id, count(DISTINCT l_partkey) AS num_parts FROM lineitem WHERE l_tax > 0.07 AND l_suppkey % 3 = 0 GROUP BY ALL)"
+_COUNTS = ", n AS (SELECT l_suppkey AS sample_id, count(*) AS num_patches FROM lineitem GROUP BY ALL), m AS (SELECT o_custkey AS sample_id, count(DISTINCT o_orderdate) AS num_dates FROM orders GROUP BY ALL)"
 
 
 def _supplier_counts(s, d, name):
-    items = v.table(s, d, "lineitem").withColumnRenamed("l_suppkey", "sample_id")
     if name == "patches":
-        return items.where("l_quantity > 25").groupBy("sample_id").agg(F.count("*").alias("num_patches"))
-    return items.where("l_tax > 0.07 AND sample_id % 3 = 0").groupBy("sample_id").agg(F.countDistinct("l_partkey").alias("num_parts"))
+        return v.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample_id")).agg(F.count("*").alias("num_patches"))
+    return v.table(s, d, "orders").groupBy(F.col("o_custkey").alias("sample_id")).agg(F.countDistinct("o_orderdate").alias("num_dates"))
 
 
-@query(f"{_COUNTS} SELECT sample_id, patient, num_patches, num_parts FROM meta LEFT JOIN n USING (sample_id) LEFT JOIN m USING (sample_id)", "meta")
+@query(f"{_COUNTS} SELECT sample_id, patient, num_patches, num_dates FROM meta LEFT JOIN n USING (sample_id) LEFT JOIN m USING (sample_id)", "meta")
 def q26_merge_counts(s, d):
-    specs = {"num_patches": "patches", "num_parts": "parts", "unused": ""}
-    return catalog.merge_counts(v.meta(s, d), specs, lambda name: _supplier_counts(s, d, name)).select("sample_id", "patient", "num_patches", "num_parts")
+    specs = {"num_patches": "patches", "num_dates": "dates", "unused": ""}
+    return catalog.merge_counts(v.meta(s, d), specs, lambda name: _supplier_counts(s, d, name)).select("sample_id", "patient", "num_patches", "num_dates")
 
 
-@query(f"{_COUNTS} SELECT sample_id, coalesce(m.num_parts, meta.patient)::BIGINT AS patient FROM meta LEFT JOIN m USING (sample_id)", "meta")
+@query(f"{_COUNTS} SELECT sample_id, coalesce(m.num_dates, meta.patient)::BIGINT AS patient FROM meta LEFT JOIN m USING (sample_id)", "meta")
 def q27_update_join(s, d):
-    new = _supplier_counts(s, d, "parts").withColumnRenamed("num_parts", "patient")
+    new = _supplier_counts(s, d, "dates").withColumnRenamed("num_dates", "patient")
     return catalog.update_column(v.meta(s, d).select("sample_id", F.col("patient").cast("long").alias("patient")), new, "sample_id", "patient")
 
 
-@query(f"{_COUNTS} SELECT sample_id, m.num_parts, dataset_title FROM m RIGHT JOIN meta USING (sample_id)", "meta")
+@query(f"{_COUNTS} SELECT sample_id, m.num_dates, dataset_title FROM m RIGHT JOIN meta USING (sample_id)", "meta")
 def q28_right_join(s, d):
-    return catalog.attach_right(_supplier_counts(s, d, "parts"), v.meta(s, d)).select("sample_id", "num_parts", "dataset_title")
+    return catalog.attach_right(_supplier_counts(s, d, "dates"), v.meta(s, d)).select("sample_id", "num_dates", "dataset_title")
 
 
 @query("WITH a AS (SELECT upper(trim(p_name)) AS k, min(p_type) AS label FROM part WHERE p_size <= 20 GROUP BY ALL), b AS (SELECT upper(trim(p_brand)) AS k, max(p_size) AS label FROM part WHERE p_size > 30 GROUP BY ALL) SELECT p_partkey, p_name AS gene, a.label AS kind, CAST(b.label AS VARCHAR) AS biggest FROM part LEFT JOIN a ON upper(trim(p_name)) = a.k LEFT JOIN b ON upper(trim(p_name)) = b.k")
@@ -328,13 +327,24 @@ def _label_predictions(s, d):
 
 _MATCHED = """WITH docs AS (SELECT doc_id, source, CAST(substr(source, 4) AS INTEGER) % 3 AS k FROM documents), p AS (SELECT docs.*, quality, toxic, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS np FROM labels JOIN docs USING (doc_id)),
     o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS no FROM docs),
-    w AS (SELECT source, doc_id, doc_id AS obs, CASE k WHEN 0 THEN 1 ELSE 2 END AS tier, quality, toxic FROM p WHERE k < 2 UNION ALL SELECT p.source, p.doc_id, o.doc_id, CASE WHEN np = no THEN 3 ELSE 4 END, quality, toxic FROM p JOIN o ON p.source = o.source AND p.rn = o.rn WHERE k = 2)"""
+    w AS (SELECT source, doc_id, doc_id AS obs, k + 1 AS tier, quality, toxic FROM p WHERE k < 2),
+    placed AS (SELECT source, doc_id, doc_id AS obs, 1 AS tier, quality, toxic FROM p WHERE k = 0 UNION ALL SELECT p.source, p.doc_id, o.doc_id, CASE WHEN np = no THEN 3 ELSE 4 END, quality, toxic FROM p JOIN o ON p.source = o.source AND p.rn = o.rn WHERE k > 0)"""
+_WRITTEN = "SELECT source AS sample_id, 'd' || obs AS obs_id, 'quality' AS gene, quality::DOUBLE AS pred, toxic::DOUBLE AS target, CAST(tier AS INTEGER) AS tier FROM"
 
 
-@query(f"{_MATCHED} SELECT source AS sample_id, 'd' || obs AS obs_id, 'quality' AS gene, quality::DOUBLE AS pred, toxic::DOUBLE AS target, CAST(tier AS INTEGER) AS tier FROM w")
+def _written(preds, spots):
+    return writeback.write_back(preds, spots).withColumns({"pred": F.col("pred").cast("double"), "target": F.col("target").cast("double")})
+
+
+@query(f"{_MATCHED} {_WRITTEN} w")
 def q34_write_back(s, d):
-    out = writeback.write_back(*_label_predictions(s, d))
-    return out.withColumns({"pred": F.col("pred").cast("double"), "target": F.col("target").cast("double")})
+    return _written(*_label_predictions(s, d))
+
+
+@query(f"{_MATCHED} {_WRITTEN} placed")
+def q34_write_back_by_order(s, d):
+    preds, spots = _label_predictions(s, d)
+    return _written(preds, spots.drop("barcode"))
 
 
 @query("""WITH o AS (SELECT o_custkey % 7 AS split, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) - 1 AS seq FROM orders), c AS (SELECT c_custkey % 7 AS split, c_custkey AS b, row_number() OVER (PARTITION BY c_custkey % 7 ORDER BY c_custkey) - 1 AS seq FROM customer)
@@ -361,12 +371,12 @@ def q36_slice_by_offset(s, d):
     return writeback.slice_split(p, _order_slices(s, d)).select("sample_id", "split", "seq", "o_orderkey", "sample_seq")
 
 
-@query(""", a AS (SELECT sample_id AS p, gene FROM panels WHERE sample_id < 10), o AS (SELECT l_returnflag || l_linestatus AS sample_id, p_brand AS gene FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity < 2 AND l_suppkey < 5 GROUP BY ALL),
-    n AS (SELECT p, sample_id, count(*) AS n FROM a JOIN o USING (gene) GROUP BY ALL) SELECT 'n' || p AS pred_sample, sample_id, 'barcodes' AS how FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY n DESC, sample_id) AS rn FROM n) WHERE rn = 1""", "panels")
+@query("""WITH a AS (SELECT DISTINCT s_nationkey AS p, l_partkey AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), o AS (SELECT DISTINCT l_returnflag || l_linestatus AS sample_id, l_partkey AS b FROM lineitem),
+    n AS (SELECT p, sample_id, count(*) AS n FROM a JOIN o USING (b) GROUP BY ALL) SELECT 'n' || p AS pred_sample, sample_id, 'barcodes' AS how FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY n DESC, sample_id) AS rn FROM n) WHERE rn = 1""")
 def q37_overlap_resolution(s, d):
-    asked = v.panels(s, d).where("sample_id < 10").select(F.concat(F.lit("n"), F.col("sample_id").cast("string")).alias("sample_id"), F.col("gene").alias("barcode"))
-    have = v.table(s, d, "lineitem").where("l_quantity < 2 AND l_suppkey < 5").join(v.table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.concat("l_returnflag", "l_linestatus").alias("sample_id"), F.col("p_brand").alias("barcode"))
-    return writeback.resolve_samples(asked, have)
+    items, owners = v.table(s, d, "lineitem"), v.table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    asked = items.join(owners, "l_suppkey").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("sample_id"), F.col("l_partkey").alias("barcode"))
+    return writeback.resolve_samples(asked, items.select(F.concat("l_returnflag", "l_linestatus").alias("sample_id"), F.col("l_partkey").alias("barcode")))
 
 
 @query(f"{_MATCHED} SELECT d.source AS sample_id, count(*) AS spots, coalesce(any_value(m.n), 0)::BIGINT AS matched, CAST(any_value(m.tier) AS INTEGER) AS tier, CASE WHEN any_value(m.n) IS NULL THEN 0 ELSE 1 END::BIGINT AS genes, coalesce(any_value(m.n), 0)::BIGINT AS with_prediction, round(coalesce(any_value(m.n), 0)::DOUBLE / count(*), 6) AS fraction FROM documents d LEFT JOIN (SELECT source, count(DISTINCT obs) AS n, min(tier) AS tier FROM w GROUP BY ALL) m ON d.source = m.source GROUP BY d.source")
@@ -424,11 +434,15 @@ def q46_histogram(s, d):
     return metrics.histogram(v.table(s, d, "lineitem"), "l_quantity", 7, ("l_returnflag",)).select("l_returnflag", "bin", "n")
 
 
-@query("WITH m AS (SELECT 'x' || c_mktsegment || '_' || (c_custkey % 400) AS id, c_custkey AS pos FROM customer), k AS (SELECT DISTINCT (s_suppkey * 3)::VARCHAR AS sample_id FROM supplier UNION SELECT DISTINCT 'x' || c_mktsegment || '_none' FROM customer), e AS (SELECT sample_id, id, row_number() OVER (PARTITION BY sample_id ORDER BY pos) AS rn FROM k JOIN m ON ends_with(id, sample_id)), h AS (SELECT sample_id, id, row_number() OVER (PARTITION BY sample_id ORDER BY pos) AS rn FROM k JOIN m ON split_part(sample_id, '_', 1) = split_part(id, '_', 1) WHERE sample_id NOT IN (SELECT sample_id FROM e)) SELECT sample_id, id, 'suffix' AS how FROM e WHERE rn = 1 UNION ALL SELECT sample_id, id, 'prefix' FROM h WHERE rn = 1")
+@query("""WITH m AS (SELECT id, min(pos) AS pos, arg_max(patient, pos) AS patient FROM (SELECT 'x' || c_mktsegment || '_' || (c_custkey % 400) AS id, c_custkey AS pos, c_nationkey::VARCHAR AS patient FROM customer) GROUP BY id),
+    k AS (SELECT (s_suppkey * 3)::VARCHAR AS sample_id FROM supplier UNION SELECT 'x' || c_mktsegment || '_' || (c_custkey % 500) FROM customer UNION SELECT 'x' || c_mktsegment || '_none' FROM customer),
+    e AS (SELECT sample_id, id, patient, 'exact' AS how FROM k JOIN m ON sample_id = id), f AS (SELECT sample_id, id, patient, 'suffix' AS how FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY pos) AS rn FROM k JOIN m ON ends_with(id, sample_id) WHERE sample_id NOT IN (SELECT sample_id FROM e)) WHERE rn = 1)
+    FROM e UNION ALL FROM f UNION ALL SELECT sample_id, NULL, split_part(sample_id, '_', 1), 'own' FROM k WHERE sample_id NOT IN (SELECT sample_id FROM e UNION SELECT sample_id FROM f)""")
 def q47_suffix_match(s, d):
     k = v.table(s, d, "customer")
-    meta = k.select(F.concat(F.lit("x"), "c_mktsegment", F.lit("_"), (F.col("c_custkey") % 400).cast("string")).alias("id"), F.col("c_custkey").alias("pos"))
-    ids = v.table(s, d, "supplier").select((F.col("s_suppkey") * 3).cast("string").alias("sample_id")).union(k.select(F.concat(F.lit("x"), "c_mktsegment", F.lit("_none"))))
+    named = lambda n: F.concat(F.lit("x"), "c_mktsegment", F.lit("_"), (F.col("c_custkey") % n).cast("string"))
+    meta = k.select(named(400).alias("id"), F.col("c_custkey").alias("pos"), F.col("c_nationkey").cast("string").alias("patient"))
+    ids = v.table(s, d, "supplier").select((F.col("s_suppkey") * 3).cast("string").alias("sample_id")).union(k.select(named(500))).union(k.select(F.concat(F.lit("x"), "c_mktsegment", F.lit("_none"))))
     return catalog.suffix_match(ids, meta)
 
 
@@ -568,3 +582,29 @@ def q67_embed(s, d):
 @query("SELECT gene, CAST(dense_rank() OVER (ORDER BY gene) - 1 AS INTEGER) AS color_index, count(*) AS n FROM points GROUP BY gene", "points")
 def q68_overlay_points(s, d):
     return report.overlay_points(v.points(s, d), "gene").groupBy("gene", "color_index").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")
+def q69_value_counts(s, d):
+    return catalog.value_counts(v.table(s, d, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+_SUMMARY = "SELECT '{0}' AS \"column\", count({0}) AS n, round(avg({0}), 6) AS mean, round(stddev_samp({0}), 6) AS std, min({0})::DOUBLE AS min, max({0})::DOUBLE AS max FROM lineitem"
+
+
+@query(" UNION ALL ".join(_SUMMARY.format(k) for k in ("l_quantity", "l_extendedprice", "l_tax")))
+def q70_numeric_summary(s, d):
+    return rounded(catalog.numeric_summary(v.table(s, d, "lineitem"), "l_quantity", "l_extendedprice", "l_tax"), "mean", "std")
+
+
+@query("SELECT sample_id, x, y FROM obs WHERE array_row * 1000 + array_col < 3000", "points spots obs")
+def q71_first_patches(s, d):
+    return catalog.first_patches(_patches(s, d), 3000).select("sample_id", "x", "y")
+
+
+_READ = "t AS (SELECT sample_id, min(y) AS top FROM obs GROUP BY ALL), g AS (SELECT sample_id, y - lag(y) OVER (PARTITION BY sample_id ORDER BY y) AS step FROM (SELECT DISTINCT sample_id, y FROM obs)), h AS (SELECT sample_id, coalesce(greatest(1, floor(median(step))), 1) AS height FROM g GROUP BY ALL)"
+
+
+@query(f", {_READ} SELECT sample_id, x, y, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY floor((y - top) / height), x, array_row * 1000 + array_col) AS INTEGER) AS position FROM obs JOIN t USING (sample_id) JOIN h USING (sample_id)", "points spots obs")
+def q72_reading_order(s, d):
+    return spatial.reading_order(_patches(s, d)).select("sample_id", "x", "y", "position")

@@ -329,3 +329,31 @@ def test_splits_round_trip(spark, tmp_path):
     rows = [(0, "train", "a", "p/a", "e/a"), (0, "test", "b", "p/b", "e/b"), (11, "test", "a", None, "e/a")]
     tables.write_splits(spark.createDataFrame(rows, "split int, part string, sample_id string, patches_path string, expr_path string"), f"{tmp_path}/s")
     assert sorted(map(tuple, tables.read_splits(spark, f"{tmp_path}/s").collect()), key=str) == sorted(rows, key=str)
+
+
+def test_spots_with_a_code_column_are_not_placed_by_order(spark):
+    obs = spark.createDataFrame([("a", i, f"o{i}", f"c{i // 2}") for i in range(4)] + [("b", i, f"p{i}", f"x{i}") for i in range(2)], "sample_id string, seq int, obs_id string, cell_id string")
+    preds = spark.createDataFrame([("a", 0, "c0"), ("a", 1, "c1"), ("b", 0, "?"), ("b", 1, "p")], "sample_id string, seq int, barcode string")
+    got = {tuple(r) for r in writeback.match_spots(preds, obs).collect()}
+    assert got == {("a", 0, "o1", 2), ("a", 1, "o3", 2)}  # the last spot of a code; nothing for b
+    placed = {tuple(r) for r in writeback.match_spots(preds, obs.drop("cell_id")).collect()}
+    assert placed == {("a", 0, "o0", 4), ("a", 1, "o1", 4), ("b", 0, "p0", 3), ("b", 1, "p1", 3)}
+
+
+def test_patients_of_ids(spark):
+    meta = spark.createDataFrame([("XR1S1", 0, "p1"), ("R1S1", 1, "p2"), ("Q_7", 2, "p3"), ("Q_7", 3, "p4"), ("N9", 4, None)], "id string, pos int, patient string")
+    ids = spark.createDataFrame([("R1S1",), ("S1",), ("7",), ("Z_3",), ("N9",), ("R1S1",)], "sample_id string")
+    got = {r["sample_id"]: (r["id"], r["patient"], r["how"]) for r in catalog.suffix_match(ids, meta).collect()}
+    assert got == {"R1S1": ("R1S1", "p2", "exact"), "S1": ("XR1S1", "p1", "suffix"), "7": ("Q_7", "p4", "suffix"), "Z_3": (None, "Z", "own"), "N9": (None, "N9", "own")}
+
+
+def test_summaries(spark):
+    df = spark.createDataFrame([(1.0, "a"), (3.0, None), (float("nan"), "a"), (None, "b")], "x double, k string")
+    assert [tuple(r) for r in catalog.numeric_summary(df, "x", quantiles=(0.5,)).collect()] == [("x", 2, 2.0, 2**0.5, 1.0, 3.0, 1.0)]
+    assert [tuple(r) for r in catalog.value_counts(df, "k").collect()] == [("a", 2), (None, 1), ("b", 1)]
+
+
+def test_reading_order_begins_at_the_least_y(spark):
+    patches = spark.createDataFrame([("s", 0, 30.0, 7.0), ("s", 1, 10.0, 16.0), ("s", 2, 10.0, 7.5), ("s", 3, 20.0, 17.0)], "sample_id string, seq int, x double, y double")
+    # steps of 0.5, 8.5 and 1: rows are 1 high and begin at 7
+    assert [r["seq"] for r in spatial.reading_order(patches).orderBy("position").collect()] == [2, 0, 1, 3]
