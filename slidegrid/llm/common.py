@@ -47,6 +47,44 @@ def stored(df: DataFrame, compression: str = "lz4") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Integer vectors have a square sum below this, so that inner products and squared distances fit 64 bits.
+MOST_SQUARES = 1 << 60
+
+
+def integer_vectors(rows: DataFrame, scale: int) -> DataFrame:
+    """vec_id, vector array<int>, norm long (square sum): floor(scale * x) of each component x of `embedding`, as double.
+
+    Vectors that are null or hold null or non-finite components are left out; one whose square sum reaches MOST_SQUARES raises.
+    """
+    out = pick(rows, vec_id="vec_id", v="embedding").select("vec_id", F.col("v").cast("array<double>").alias("v"))
+    out = out.where(F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)))
+    whole = F.transform("v", lambda x: F.floor(scale * x))
+    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.pow(scale * F.abs(x) + 1, F.lit(2)))
+    fits = F.when(squares < float(MOST_SQUARES), whole).otherwise(F.raise_error(F.concat(F.lit("too large components in vector "), F.coalesce(F.col("vec_id").cast("string"), F.lit("null")))))
+    out = out.select("vec_id", fits.cast("array<int>").alias("vector"))
+    return out.withColumn("norm", F.aggregate("vector", F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x))
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, kind=np.int64) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    n = len(column)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(n, -1) if n else np.zeros((0, 0), kind)
+
+
+def exact_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b of 64-bit integers: by doubles where each sum of absolute products stays below 2**53, else by integers."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[-1]
+    return (a.astype(np.float64) @ b.astype(np.float64)).astype(np.int64) if most < 1 << 53 else a @ b
+
+
 def cleared(spark: SparkSession) -> None:
     """Let Spark delete shuffle files whose frames are gone; it does so when the driver has collected its garbage twice."""
     for _ in range(2):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, near_duplicates, neighbours, packing, quality, substrings, suffix_model, urls, warc
+from . import centroids, decontaminate, html_text, near_duplicates, neighbours, packing, pivots, quality, ranked, substrings, suffix_model, urls, warc
 from .common import table
 
 
@@ -52,12 +52,57 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op3_packing": op3_packing, "op2_neighbours": op2_neighbours, "op8_html_text": op8_html_text, "op4_suffix_model": op4_suffix_model, "op5_near_duplicates": op5_near_duplicates, "op6_substrings": op6_substrings, "op1_urls": op1_urls, "op9_decontaminate": op9_decontaminate, "op7_quality": op7_quality, "op10_warc": op10_warc, "urls_listed": urls_listed}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.nearest_exact(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op3_packing": op3_packing, "op2_neighbours": op2_neighbours, "op8_html_text": op8_html_text, "op4_suffix_model": op4_suffix_model, "op5_near_duplicates": op5_near_duplicates, "op6_substrings": op6_substrings, "op1_urls": op1_urls, "op9_decontaminate": op9_decontaminate, "op7_quality": op7_quality, "op10_warc": op10_warc, "op11_centroids": op11_centroids, "op12_ranked_search": op12_ranked_search, "op13_exact_search": op13_exact_search, "urls_listed": urls_listed}
 
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = f"translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}')"
+_SOUND = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _cluster_sql(centroids: int = 40, rounds: int = 5) -> str:
+    """Whole distances in each round, without increments."""
+    near = """(SELECT * FROM (SELECT v.vec_id, v.x, c.k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, {c} c)
+               QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)"""
+    steps = [f"""v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND {_SOUND}),
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1 AS k, x FROM v ORDER BY sha256('2:' || vec_id::VARCHAR) LIMIT {centroids})"""]
+    for r in range(rounds):
+        steps.append(f"""a{r} AS MATERIALIZED {near.format(c=f"c{r}")},
+        m{r} AS (SELECT k, list(m ORDER BY i) AS x FROM (SELECT k, i, (sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*) AS m
+               FROM (SELECT k, unnest(x) AS e, unnest(range(64)) AS i FROM a{r}) GROUP BY k, i) GROUP BY k),
+        c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (k))""")
+    return f"""WITH {", ".join(steps)}, z AS {near.format(c=f"c{rounds}")}
+        SELECT vec_id, k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+               sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM z JOIN c{rounds} c USING (k)"""
+
 
 ORACLES: dict[str, str] = {
+    "op11_centroids": _cluster_sql(),
+    "op12_ranked_search": r"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM documents),
+        p AS (SELECT doc_id, {low} AS w, count(*) AS tf FROM t GROUP BY ALL),
+        n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+        g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM n),
+        m AS (SELECT doc_id, 75 + (25 * n * docs) // len AS m FROM n, g),
+        f AS (SELECT w, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, g GROUP BY w, docs),
+        q AS (SELECT item_id, {low} AS w, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY ALL),
+        s AS (SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN f USING (w) JOIN p USING (w) JOIN m USING (doc_id) GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20""".replace("{low}", f"translate(w, '{_AZ}', '{_AZ.lower()}')"),
+    "op13_exact_search": f"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings WHERE {_SOUND})
+        SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.x, c.x) DESC, c.vec_id)::INTEGER AS rank, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 20""",
     "urls_listed": rf"""
         WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_AZ}', '{_AZ.lower()}') AS host,
                    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
