@@ -4,7 +4,7 @@
 smallest id is a `response` and the others are `revisit` records without a body that name it. Equal payloads meet
 through an aggregate by digest (partial sums first) and a join on digests that occur more than once. Tasks write
 files of bounded size straight to the shared folder under names of their own attempt and report them in a manifest;
-only files of the manifest are read, so a task that is lost and run again leaves no double records.
+only files of the manifest are read, so a task that is lost and run again leaves no double records, and each of them must be there.
 
 `read_records` is the sequential reader: incremental zlib decompression member by member, header lines, then exactly
 Content-Length bytes, then the two empty lines; block digests are verified and a mismatch raises.
@@ -25,7 +25,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick, scratch, stored
@@ -148,7 +148,7 @@ def writer(folder: str, file_bytes: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, base = fs.FileSystem.from_uri(folder)
         sink, size, names, counts = None, 0, [], []
         for batch in batches:
             for page_id, url, html, kind, refers_to, refers_url in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
@@ -170,19 +170,30 @@ def writer(folder: str, file_bytes: int) -> Callable:
     return run
 
 
+def whole_uri(spark: SparkSession, folder: str) -> str:
+    """The folder with scheme and host, by the cluster's default file system; writers and readers then mean the same one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def write(pages: DataFrame, folder: str, *, min_revisit: int = MIN_REVISIT, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the archives; returns the manifest (name, records) of the finished files."""
     spark = pages.sparkSession
+    folder = whole_uri(spark, folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     return stored(with_roles(pages, min_revisit).mapInArrow(writer(folder, file_bytes), "name string, records long"))
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """FOUND for each record of the manifest's files; their counts are checked."""
+    """FOUND for each record of the manifest's files; a missing file raises, and so does another number of records."""
     spark = manifest.sparkSession
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(manifest, "name")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(whole_uri(spark, folder))
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    if lost := manifest.join(files.select("name"), "name", "left_anti").select("name").first():  # reads names only
+        raise FileNotFoundError(f"missing archive {lost['name']}")
+    files = files.join(manifest, "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,3 +33,18 @@ def test_reader_is_sequential_and_verifies():
         list(warc.read_records(io.BytesIO(gzip.compress(plain.replace(b"\r\n\r\nabc", b"\r\n\r\nabd")))))
     with pytest.raises(ValueError, match="ends inside"):
         list(warc.read_records(io.BytesIO(data[:-20])))
+
+
+def test_missing_archive_raises(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" * 40) for i in range(300)], "page_id long, url string, html string").repartition(3)
+    manifest = warc.write(pages, str(tmp_path / "a"))
+    assert warc.read(manifest, str(tmp_path / "a")).count() == 300
+    files = sorted((tmp_path / "a").glob("*.warc.gz"))
+    assert len(files) == 3
+    files[1].unlink()
+    with pytest.raises(FileNotFoundError, match=f"missing archive {files[1].name}"):
+        warc.read(manifest, str(tmp_path / "a")).count()
+
+
+def test_folder_without_scheme_is_resolved(spark, tmp_path):
+    assert warc.whole_uri(spark, str(tmp_path)) == f"file://{tmp_path}" == warc.whole_uri(spark, f"file://{tmp_path}") == warc.whole_uri(spark, f"file:{tmp_path}")
