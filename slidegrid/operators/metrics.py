@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import finite, nan_to_null, pearson_from_sums, ratio
+from .quantiles import exact_quantiles
 
 
 def gene_metrics(pairs: DataFrame, by=("gene",), *, pred: str = "pred", target: str = "target") -> DataFrame:
@@ -70,12 +71,17 @@ def wide_results(enc: DataFrame, encoders: list[str], *, dataset: str = "dataset
 
 
 def box_stats(df: DataFrame, value: str, by=()) -> DataFrame:
-    """n, q1, median, q3 and whiskers: the extreme values within 1.5 interquartile ranges."""
-    values = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    q = values.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile(value, p).alias(a) for a, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
-    joined = values.select(*by, value).join(q, list(by)) if by else values.select(value).crossJoin(F.broadcast(q))  # one row
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = F.when(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach), F.col(value))
+    """n, q1, median, q3 and whiskers: the extreme values within 1.5 interquartile ranges. Finite values count; null is a group.
+
+    Quartiles are exact and no task holds a group (see quantiles).
+    """
+    reach = 1.5 * (F.col("q2") - F.col("q0"))
+    named = [F.col(a).alias(b) for a, b in (("q0", "q1"), ("q1", "median"), ("q2", "q3"))]
+    fences = exact_quantiles(df, value, by).select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], "n", *named, (F.col("q0") - reach).alias("_low"), (F.col("q2") + reach).alias("_high"))
+    fences = fences if by else F.broadcast(fences)  # one row
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)], F.lit(True))
+    inside = F.when(F.col(value).between(F.col("_low"), F.col("_high")), F.col(value))
+    joined = df.where(finite(F.col(value).cast("double"))).select(*by, value).join(fences, same)
     return joined.groupBy(*by, "n", "q1", "median", "q3").agg(F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"))
 
 

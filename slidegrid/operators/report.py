@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .metrics import best_row, box_stats, histogram
+from .quantiles import exact_quantiles
 
 
 def run_summary(encoders: DataFrame, *, by=("run", "dataset"), mean: str = "pearson_mean", std: str = "pearson_std") -> DataFrame:
@@ -83,7 +84,8 @@ def overlay_points(points: DataFrame, category: str) -> DataFrame:
 
 def size_legend(points: DataFrame, size_by: str) -> DataFrame:
     """Smallest, median and largest value for a legend of sizes."""
-    return points.agg(F.min(size_by).alias("low"), F.percentile(size_by, 0.5).alias("middle"), F.max(size_by).alias("high"))
+    q = exact_quantiles(points, size_by, (), (0.0, 0.5, 1.0))
+    return q.select(F.col("q0").alias("low"), F.col("q1").alias("middle"), F.col("q2").alias("high"))
 
 
 def compare_encoders(encoders: DataFrame, gene_lists: DataFrame, *, mean: str = "pearson_mean", std: str = "pearson_std") -> DataFrame:

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import finite, normalised_name, ratio
+from .numbering import numbered, running_sum
 
 BARCODE_COLUMNS = ("barcode", "barcodes", "cell_barcode", "cell_id", "patch_barcode")
 
 
 def offsets(counts: DataFrame, *, by=("split",), order: str = "pos", count: str = "n") -> DataFrame:
     """start and stop of each sample's rows, from the counts before it."""
-    before = F.coalesce(F.sum(count).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("start", before).withColumn("stop", F.col("start") + F.col(count))
+    return running_sum(counts, by, [order], count, "start").withColumn("stop", F.col("start") + F.col(count))
 
 
 def allocate(counts: DataFrame, totals: DataFrame) -> DataFrame:
@@ -99,13 +99,11 @@ def match_spots(predictions: DataFrame, obs: DataFrame) -> DataFrame:
 
     one = by_key("obs_id", 1, spots, asked)
     unmatched = lambda df: df.join(one.select("sample_id").distinct(), "sample_id", "left_anti")
-    spots, asked, obs = unmatched(spots), unmatched(asked), unmatched(obs)
+    spots, asked = unmatched(spots), unmatched(asked)
     if held:
         return one.unionByName(by_key("_code", 2, spots, asked))
-    sizes = asked.groupBy("sample_id").agg(F.count("*").alias("_np")).join(obs.groupBy("sample_id").agg(F.count("*").alias("_no")), "sample_id")
     tier = F.when(F.col("_np") == F.col("_no"), 3).otherwise(4)
-    place = lambda df, order, out: df.withColumn(out, F.row_number().over(W.partitionBy("sample_id").orderBy(order)))
-    ordered = place(asked, "seq", "_at").join(place(spots, "obs_seq", "_at"), ["sample_id", "_at"]).join(sizes, "sample_id")
+    ordered = numbered(asked, ["sample_id"], ["seq", "barcode"], "_at", size="_np").join(numbered(spots, ["sample_id"], ["obs_seq", "obs_id"], "_at", size="_no"), ["sample_id", "_at"])
     return one.unionByName(ordered.select("sample_id", "seq", "obs_id", tier.alias("tier")))
 
 
@@ -127,8 +125,7 @@ def attach_patch_metadata(spots: DataFrame, patches: DataFrame) -> DataFrame:
         out.append(two)
         rest = rest.join(two.select("sample_id", "seq"), ["sample_id", "seq"], "left_anti").select(*spots.columns)
     free = patches.join(reduce(lambda a, b: a.unionByName(b), [o.select("sample_id", "_pseq") for o in out]), ["sample_id", "_pseq"], "left_anti")
-    place = lambda df, order: df.withColumn("_at", F.row_number().over(W.partitionBy("sample_id").orderBy(order)))
-    three = place(rest, "seq").join(place(free, "_pseq"), ["sample_id", "_at"]).select(*spots.columns, "coord_x", "coord_y", "_pseq", F.lit(3).alias("tier"))
+    three = numbered(rest, ["sample_id"], ["seq"], "_at").join(numbered(free, ["sample_id"], ["_pseq"], "_at"), ["sample_id", "_at"]).select(*spots.columns, "coord_x", "coord_y", "_pseq", F.lit(3).alias("tier"))
     return reduce(lambda a, b: a.unionByName(b), [*out, three]).drop("_pseq")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from ..functions import columns as c
 from ..functions.polygons import point_in_polygon
 from ..operators import catalog, genes, metrics, models, report, spatial, splits, writeback
+from ..operators.numbering import numbered
 from ..sources import tables
 from . import views as v
 
@@ -350,10 +351,9 @@ def q34_write_back_by_order(s, d):
 @query("""WITH o AS (SELECT o_custkey % 7 AS split, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) - 1 AS seq FROM orders), c AS (SELECT c_custkey % 7 AS split, c_custkey AS b, row_number() OVER (PARTITION BY c_custkey % 7 ORDER BY c_custkey) - 1 AS seq FROM customer)
     SELECT split AS sample_id, seq AS sample_seq, k AS o_orderkey, b AS barcode FROM o JOIN c USING (split, seq)""")
 def q35_positional_match(s, d):
-    place = lambda df, key: (F.row_number().over(W.partitionBy("sample_id").orderBy(key)) - 1).cast("long")
     o = v.table(s, d, "orders").select((F.col("o_custkey") % 7).alias("sample_id"), "o_orderkey")
     k = v.table(s, d, "customer").select((F.col("c_custkey") % 7).alias("sample_id"), F.col("c_custkey").alias("barcode"))
-    return writeback.attach_barcodes(o.withColumn("sample_seq", place(o, "o_orderkey")), k.withColumn("seq", place(k, "barcode")))
+    return writeback.attach_barcodes(numbered(o, ["sample_id"], ["o_orderkey"], "sample_seq"), numbered(k, ["sample_id"], ["barcode"], "seq"))
 
 
 _SLICES = "WITH n AS (SELECT o_custkey AS sample_id, o_custkey % 5 AS split, count(*) AS n FROM orders GROUP BY ALL), o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY split ORDER BY sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n)"
@@ -367,8 +367,7 @@ def _order_slices(s, d):
 @query(f"{_SLICES}, p AS (SELECT o_custkey % 5 AS split, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) - 1 AS seq FROM orders) SELECT o.sample_id, p.split, p.seq, p.o_orderkey, p.seq - o.start AS sample_seq FROM p JOIN o ON p.split = o.split AND p.seq >= o.start AND p.seq < o.start + o.n")
 def q36_slice_by_offset(s, d):
     p = v.table(s, d, "orders").select((F.col("o_custkey") % 5).alias("split"), "o_orderkey")
-    p = p.withColumn("seq", (F.row_number().over(W.partitionBy("split").orderBy("o_orderkey")) - 1).cast("long"))
-    return writeback.slice_split(p, _order_slices(s, d)).select("sample_id", "split", "seq", "o_orderkey", "sample_seq")
+    return writeback.slice_split(numbered(p, ["split"], ["o_orderkey"], "seq"), _order_slices(s, d)).select("sample_id", "split", "seq", "o_orderkey", "sample_seq")
 
 
 @query("""WITH a AS (SELECT DISTINCT s_nationkey AS p, l_partkey AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), o AS (SELECT DISTINCT l_returnflag || l_linestatus AS sample_id, l_partkey AS b FROM lineitem),
