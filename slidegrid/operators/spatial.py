@@ -103,41 +103,6 @@ def smooth_neighbours(expression: DataFrame, obs: DataFrame, radius: int = 1) ->
     return sums.join(there, ["sample_id", "array_row", "array_col"]).select("sample_id", "array_row", "array_col", "gene", (F.col("total") / F.col("n")).alias("value"))
 
 
-def knn(patches: DataFrame, seeds: DataFrame, k: int, *, cell: float | None = None) -> DataFrame:
-    """The k patches nearest to each seed (sample_id, seed, seed_x, seed_y) of the sample, by squared distance, then seq.
-
-    With `cell`, patches and seeds meet in grid cells: first only the cells around a seed are looked at, which is exact if
-    its k-th patch lies nearer than one cell's width. The other seeds try cells of eight times the width, and those still
-    without k near patches meet all patches of their sample. Without `cell`, a sample's patches meet all its seeds.
-    """
-    if not cell:
-        return _nearest(patches, seeds, k)
-    out, rest = None, seeds.where(F.col("seed_x").isNotNull() & F.col("seed_y").isNotNull())
-    for width in (cell, 8 * cell, None):
-        found = _nearest(patches, rest, k, width)
-        if width:
-            sure = found.where((F.col("rank") == k) & (F.col("d2") < width**2)).select(F.col("sample_id").alias("_sample"), F.col("seed").alias("_seed"))
-            same = (F.col("sample_id") == F.col("_sample")) & F.col("seed").eqNullSafe(F.col("_seed"))
-            found, rest = found.join(sure, same, "left_semi"), rest.join(sure, same, "left_anti")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _nearest(patches: DataFrame, seeds: DataFrame, k: int, cell: float | None = None) -> DataFrame:
-    """The k nearest of the patches in the cells around a seed, or of all patches of its sample."""
-    d2 = (F.col("x") - F.col("seed_x")) ** 2 + (F.col("y") - F.col("seed_y")) ** 2
-    keys = ["sample_id"]
-    if cell:
-        grid = lambda c: F.floor(F.col(c) / cell).cast("long")
-        patches = patches.withColumns({"gx": grid("x"), "gy": grid("y")})
-        near = F.explode(F.array(*[F.struct((grid("seed_x") + i).alias("gx"), (grid("seed_y") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        seeds = seeds.withColumn("g", near).select("*", "g.gx", "g.gy").drop("g")
-        keys += ["gx", "gy"]
-    ranked = patches.join(seeds, keys).withColumn("d2", d2)
-    rank = F.row_number().over(W.partitionBy("sample_id", "seed").orderBy("d2", "seq"))
-    return ranked.withColumn("rank", rank).where(F.col("rank") <= k).drop("gx", "gy")
-
-
 def reading_order(patches: DataFrame, patch_height: float = 1.0) -> DataFrame:
     """position: row by row from the least y of a sample's patches, then by x and seq. Give the chosen patches only: a row is as
     high as the median step of their y, in whole units and at least 1, or patch_height if all have one y."""

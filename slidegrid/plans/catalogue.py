@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from ..functions import columns as c
 from ..functions.polygons import point_in_polygon
 from ..operators import catalog, genes, metrics, models, report, spatial, splits, writeback
+from ..operators.nearest import knn
 from ..operators.numbering import numbered
 from ..sources import tables
 from . import views as v
@@ -402,7 +403,7 @@ def _patches(s, d):
 @query(", s AS (SELECT sample_id, gene AS seed, avg(x) AS seed_x, avg(y) AS seed_y FROM points GROUP BY ALL) SELECT sample_id, seed, CAST(array_row * 1000 + array_col AS INTEGER) AS seq, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, seed ORDER BY round((x - seed_x) * (x - seed_x) + (y - seed_y) * (y - seed_y), 3), array_row * 1000 + array_col) AS rank FROM obs JOIN s USING (sample_id)) WHERE rank <= 5", "points spots obs")
 def q41_knn_patches(s, d):
     seeds = v.points(s, d).groupBy("sample_id", F.col("gene").alias("seed")).agg(F.avg("x").alias("seed_x"), F.avg("y").alias("seed_y"))
-    return spatial.knn(_patches(s, d), seeds, 5, cell=30_000.0).select("sample_id", "seed", "seq", "rank")
+    return knn(_patches(s, d), seeds, 5).select("sample_id", "seed", "seq", "rank")
 
 
 @query(", r AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY sample_id ORDER BY x) - 1 AS INTEGER) AS x_rank, CAST(dense_rank() OVER (PARTITION BY sample_id ORDER BY y) - 1 AS INTEGER) AS y_rank FROM obs) SELECT sample_id, x, y, x_rank, y_rank FROM r WHERE x_rank BETWEEN 2 AND 5 AND y_rank BETWEEN 1 AND 4", "points spots obs")

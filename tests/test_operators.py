@@ -316,15 +316,6 @@ def test_columns_and_spot_table(spark):
     assert boxes == {"pred": 1.0, "target": 2.0}
 
 
-def test_knn_with_cells_is_exact_on_sparse_samples(spark):
-    patches = [("a", i, float(x), float(y)) for i, (x, y) in enumerate([(0, 0), (1, 1), (1.9, 1.9), (0.5, -1.2), (30, 0), (200, 200)])] + [("b", 0, 5.0, 5.0), ("c", 0, 0.0, 0.0)]
-    patches = spark.createDataFrame(patches, "sample_id string, seq int, x double, y double")
-    seeds = [("a", "in", 0.1, 0.1), ("a", "rim", 12.0, 0.0), ("a", "far", 900.0, 900.0), ("a", None, 1.0, 1.0), ("b", "few", 5.0, 5.0), ("d", "none", 0.0, 0.0)]
-    seeds = spark.createDataFrame(seeds, "sample_id string, seed string, seed_x double, seed_y double")
-    rows = lambda df: sorted(map(str, df.select("sample_id", "seed", "seq", "rank").collect()))
-    assert rows(spatial.knn(patches, seeds, 3, cell=1.0)) == rows(spatial.knn(patches, seeds, 3))
-
-
 def test_splits_round_trip(spark, tmp_path):
     rows = [(0, "train", "a", "p/a", "e/a"), (0, "test", "b", "p/b", "e/b"), (11, "test", "a", None, "e/a")]
     tables.write_splits(spark.createDataFrame(rows, "split int, part string, sample_id string, patches_path string, expr_path string"), f"{tmp_path}/s")
