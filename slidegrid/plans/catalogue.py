@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import columns as c
 from ..functions.polygons import point_in_polygon
-from ..operators import catalog, genes, metrics, models, report, spatial, splits, writeback
+from ..operators import catalog, genes, metrics, models, report, rules, spatial, splits, writeback
 from ..operators.nearest import knn
 from ..operators.numbering import numbered
 from ..sources import tables
@@ -90,8 +90,8 @@ def q07_clip_bounds(s, d):
     return spatial.clip_to_slide(v.points(s, d), v.samples(s, d)).select(*_PLACE.split(", "))
 
 
-def _flagged(s, d, rules):
-    return spatial.exclude_spots(v.points(s, d), v.samples(s, d), rules, keep_flag=True).select("l_orderkey", "l_linenumber", "x", "y", "excluded")
+def _flagged(s, d, listed):
+    return spatial.exclude_spots(v.points(s, d), v.samples(s, d), listed, keep_flag=True).select("l_orderkey", "l_linenumber", "x", "y", "excluded")
 
 
 _FLAG = "SELECT l_orderkey, l_linenumber, x, y, {} AS excluded FROM points"
@@ -122,6 +122,30 @@ def q11_rule_trapezoid(s, d):
     return _flagged(s, d, [{"type": "trapezoid", "orientation": "top", "top_width": 40000, "bottom_width": 20000, "height": 30000}])
 
 
+_CELLS = {
+    "AF": '[{"type": "corner", "corner": "top-left", "width": 0.2, "height": 0.25, "units": "frac"}, {"type": "trapezoid", "orientation": "top", "top_width": 40000, "bottom_width": 20000, "height": 30000}]',
+    "NF": "{'type': 'trapezoid', 'orientation': 'bottom', 'top_width': 0.5, 'bottom_width': 0.25, 'height': 0.375, 'units': 'frac', 'center_offset': 0.1}, {'type': 'strip', 'side': 'left', 'size': 9000}",
+    "NO": '[{"type": "trapezoid", "orientation": "left", "top_width": 50000, "bottom_width": 20000, "height": 25000}, {"type": "rect", "xmin": 50000, "xmax": 60000, "ymin": 0.0, "ymax": 8000}]',
+    "RF": "{'type': 'trapezoid', 'orientation': 'right', 'top_width': 10000, 'bottom_width': 60000, 'height': 40000, 'center_offset': -5000}",
+}
+
+
+@query(
+    _FLAG.format(
+        "CASE l_returnflag || l_linestatus WHEN 'AF' THEN (x < 0.2 * 90000 AND y < 0.25 * 80000) OR " + _ring_sql([(25000.0, 0.0), (65000.0, 0.0), (55000.0, 30000.0), (35000.0, 30000.0)])
+        + " WHEN 'NF' THEN x < 9000 OR " + _ring_sql([(31500.0, 80000.0), (76500.0, 80000.0), (65250.0, 50000.0), (42750.0, 50000.0)])
+        + " WHEN 'NO' THEN (x BETWEEN 50000 AND 60000 AND y BETWEEN 0 AND 8000) OR " + _ring_sql([(0.0, 15000.0), (0.0, 65000.0), (25000.0, 50000.0), (25000.0, 30000.0)])
+        + " WHEN 'RF' THEN " + _ring_sql([(90000.0, 30000.0), (90000.0, 40000.0), (50000.0, 65000.0), (50000.0, 5000.0)]) + " ELSE false END"
+    ).replace("FROM points", "FROM (SELECT sample_id[1:1] AS l_returnflag, sample_id[2:2] AS l_linestatus, l_orderkey, l_linenumber, x, y FROM points)"),
+    "points",
+)
+def q72_rules_by_sample(s, d):
+    cell = reduce(lambda found, item: F.when(F.col("sample_id") == item[0], item[1]).otherwise(found), _CELLS.items(), F.lit(None))
+    sheet = v.samples(s, d).withColumn("crop", cell)
+    flagged = rules.exclude_by_rules(v.points(s, d), sheet, rules.rule_rows(sheet, "crop"), keep_flag=True)
+    return flagged.select("l_orderkey", "l_linenumber", "x", "y", "excluded")
+
+
 _RING = [(10000.0, 10000.0), (80000.0, 20000.0), (50000.0, 45000.0), (90000.0, 90000.0), (20000.0, 75000.0)]
 
 
