@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import finite, normalised_name, ratio
+from ..sources.shared import stored
 from .numbering import numbered, running_sum
 
 BARCODE_COLUMNS = ("barcode", "barcodes", "cell_barcode", "cell_id", "patch_barcode")
@@ -76,12 +77,38 @@ def resolve_samples(predictions: DataFrame, obs: DataFrame) -> DataFrame:
     first = lambda df, *order: df.withColumn("_rn", F.row_number().over(W.partitionBy("pred_sample").orderBy(*order))).where("_rn = 1")
     named = first(rest.join(have, normalised_name(F.col("pred_sample")) == normalised_name(F.col("sample_id"))), "sample_id").select("pred_sample", "sample_id", F.lit("name").alias("how"))
     rest = rest.join(named, "pred_sample", "left_anti")
-    barcodes = predictions.select(F.col("sample_id").alias("pred_sample"), "barcode").distinct().join(rest, "pred_sample")
-    shared = barcodes.join(obs.select("sample_id", "barcode").distinct(), "barcode").groupBy("pred_sample", "sample_id").agg(F.count("*").alias("n"))
-    most = first(shared, F.desc("n"), "sample_id").select("pred_sample", "sample_id", F.lit("barcodes").alias("how"))
+    most = largest_overlap(predictions.select(F.col("sample_id").alias("pred_sample"), "barcode").join(rest, "pred_sample"), obs).select("pred_sample", "sample_id", F.lit("barcodes").alias("how"))
     return exact.unionByName(named).unionByName(most)
 
 
+def overlap_patterns(asked: DataFrame, obs: DataFrame, names: DataFrame) -> DataFrame:
+    """pred_sample, word, bits, n: n barcodes of pred_sample are held by just the samples whose bits are set in this word of 64 samples.
+
+    A barcode that all samples hold is a row for each 64 of them, and equal patterns of one pred_sample are counted together.
+    names: sample_id, k (its place among all ids).
+    """
+    placed = obs.select("sample_id", "barcode").join(names, "sample_id")
+    words = placed.groupBy("barcode", F.shiftright("k", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 AS INT))")).alias("bits"))
+    met = asked.select("pred_sample", "barcode").where("barcode is not null").distinct().join(words, "barcode")
+    return met.groupBy("pred_sample", "word", "bits").agg(F.count("*").alias("n"))
+
+
+def largest_overlap(asked: DataFrame, obs: DataFrame) -> DataFrame:
+    """pred_sample, sample_id, shared: the sample that shares most different barcodes with pred_sample, the first id among equals.
+
+    No pairs of samples are counted one by one: a word's barcodes bound what any of its 64 samples can share, and the largest
+    pattern is shared by some sample, so most words fall away; the others give all their 64 counts in one aggregate.
+    """
+    names = stored(numbered(obs.select("sample_id").distinct(), [], ["sample_id"], "k"))
+    patterns = stored(overlap_patterns(asked, obs, names))
+    least = patterns.groupBy("pred_sample").agg(F.max("n").alias("least"))
+    open_ = patterns.groupBy("pred_sample", "word").agg(F.sum("n").alias("most")).join(least, "pred_sample").where(F.col("most") >= F.col("least")).select("pred_sample", "word")
+    counts = patterns.join(open_, ["pred_sample", "word"]).groupBy("pred_sample", "word").agg(*[F.sum(F.when(F.getbit("bits", F.lit(b)) == 1, F.col("n")).otherwise(0)).alias(f"b{b}") for b in range(64)])
+    best = F.array_max(F.array(*[F.struct(F.col(f"b{b}").alias("shared"), (-(F.col("word") * 64 + b)).alias("k")) for b in range(64)]))
+    top = counts.select("pred_sample", best.alias("x")).groupBy("pred_sample").agg(F.max("x").alias("x")).select("pred_sample", F.col("x.shared").alias("shared"), (-F.col("x.k")).alias("k"))
+    return top.join(names, "k").select("pred_sample", "sample_id", "shared")
+
+
 def match_spots(predictions: DataFrame, obs: DataFrame) -> DataFrame:
     """sample_id, seq, obs_id, tier: how predictions (sample_id, seq, barcode) meet spots (sample_id, seq, obs_id, ...).
 
