@@ -2,16 +2,18 @@
 
 Equal vectors are one node, which lists the smallest ids that have it. NN-descent builds each node's list of its DEGREE
 best neighbours, by the inner product of directions: by that of the vectors themselves, all lists would hold the few
-longest vectors, and the graph would fall apart. Lists begin with the best of DEALS groups of GROUP nodes: a node's code
+longest vectors, and the graph would fall apart. As the best by inner product may be longer vectors in another direction
+than the query's neighbours, the graph has a part for each shell of nearly equal lengths (a factor of RATIO, the last shell holds all
+that are shorter), in which the order by direction is nearly that by inner product, and a query walks all parts at once. Lists begin with the best of DEALS groups of GROUP nodes: a node's code
 says on which sides of BITS planes its direction lies, each halfway between two nodes drawn at random (at most
-2 * BITS * DEALS of them come to the driver), and in the order of codes each GROUP nodes that follow each other are a
+2 * BITS * DEALS of them come to the driver), and in the order of shells and codes each GROUP nodes that follow each other are a
 group, however many have one code. In every round the ends of edges meet
 at the node between them: the vectors of a node's neighbours, in both directions, are joined to it, and of two that
 meet, where one of the edges is new, each is proposed to the other if it beats the worst of its list. Edges of nodes
 that very many lists hold are sampled down to about 2 * SAMPLE a node, so no node is a hot key and each round sends
 about DEGREE + 2 * SAMPLE vectors a node, whatever the number of nodes. It ends when few lists change.
 
-A query walks the graph greedily by the inner product of the vectors, all queries at once: it begins at its own node and some random ones, and in
+A query walks the graph greedily by the inner product of the vectors, all queries at once: it begins at its own node and ENTRIES random ones of each shell, and in
 every step expands the STEP best nodes of its beam that are not expanded yet, by a join with their lists and one with
 the vectors of the neighbours it hasn't seen. It ends when its beam of BEAM nodes is expanded. What a query visits
 depends on beam and degree, not on the number of nodes.
@@ -31,11 +33,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import cleared, pick, stored
 
-NEAREST, DEGREE, SAMPLE, GROUP, DEALS, BITS, ROUNDS, LEAST_CHANGE, BEAM, STEP, ENTRIES = 20, 24, 12, 64, 4, 16, 4, 0.05, 96, 64, 32
-CODES = "deal int, length int, code long, node long, vector array<double>"
+NEAREST, DEGREE, SAMPLE, GROUP, DEALS, BITS, ROUNDS, LEAST_CHANGE, BEAM, STEP, ENTRIES, RATIO, SHELLS = 20, 24, 12, 64, 4, 16, 4, 0.05, 96, 64, 32, 1.25, 24
+CODES = "deal int, length int, shell int, code long, node long, vector array<double>"
 LISTS = "node long, near array<long>, scores array<double>, fresh array<boolean>, changed int"
 OFFERS = "node long, near array<long>, scores array<double>, old boolean"
 STATE = "node long, key binary, vector array<double>, found array<long>, scores array<double>, done array<boolean>, seen array<long>, expand array<long>"
@@ -112,6 +115,26 @@ def _drawn(nodes: DataFrame, about: int, seed: int) -> list[tuple[int, list[floa
     return [(r["node"], r["vector"]) for r in rows.collect()]
 
 
+def shelled(nodes: DataFrame) -> DataFrame:
+    """nodes with `shell`: 0 for the longest vectors, one more for each factor of RATIO by which they are shorter, SHELLS - 1 at most."""
+    most = F.array_max(F.transform("vector", F.abs))  # squares of large components would overflow
+    size = F.ln(most) + 0.5 * F.ln(F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+    top = nodes.agg(F.max(size)).first()[0]
+    # a tenth beyond the longest, so that vectors of one length don't fall on a border
+    return nodes.withColumn("shell", F.least(F.floor((F.lit(top) + F.ln(F.lit(1.1)) - size) / F.ln(F.lit(RATIO))), F.lit(SHELLS - 1)).cast("int"))
+
+
+def _entries(nodes: DataFrame, entries: int) -> dict[int, list[tuple[int, list[float]]]]:
+    """By length of vectors, (node, vector) of `entries` nodes of each shell; 2 * entries * SHELLS in all at most."""
+    order = F.row_number().over(W.partitionBy("length", "shell").orderBy(F.xxhash64("key", F.lit(3)), "node"))
+    ranked = nodes.select("node", "key", "shell", F.size("vector").alias("length")).withColumn("n", order).where(F.col("n") <= entries)
+    drawn = ranked.orderBy("n", "shell", "node").limit(2 * entries * SHELLS).select("node")
+    out: dict[int, list] = {}
+    for r in nodes.join(drawn, "node", "left_semi").select("node", "vector").collect():
+        out.setdefault(len(r["vector"]), []).append((r["node"], r["vector"]))
+    return out
+
+
 def _start(nodes: DataFrame, degree: int, group: int) -> DataFrame:
     ends: dict[int, list] = {}
     for _, vector in sorted(_drawn(nodes, 2 * BITS * DEALS, 5)):
@@ -128,6 +151,7 @@ def _start(nodes: DataFrame, degree: int, group: int) -> DataFrame:
             lengths = batch.column("vector").value_lengths().to_numpy()
             for length in np.unique(lengths):
                 own = batch.filter(pa.array(lengths == length))
+                shell = own.column("shell")
                 sides = np.zeros((own.num_rows, BITS * DEALS), bool)
                 if int(length) in planes:
                     normal, offset = planes[int(length)]
@@ -135,7 +159,7 @@ def _start(nodes: DataFrame, degree: int, group: int) -> DataFrame:
                 for deal in range(DEALS):
                     codes = sides[:, deal * BITS : (deal + 1) * BITS] @ weights
                     alike = [pa.array(np.full(own.num_rows, v, np.int32)) for v in (deal, length)]
-                    yield pa.RecordBatch.from_arrays([*alike, pa.array(codes.astype(np.int64)), own.column("node"), own.column("vector")], [x.split()[0] for x in CODES.split(", ")])
+                    yield pa.RecordBatch.from_arrays([*alike, shell, pa.array(codes.astype(np.int64)), own.column("node"), own.column("vector")], [x.split()[0] for x in CODES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in _whole_groups(batches):
@@ -152,11 +176,11 @@ def _start(nodes: DataFrame, degree: int, group: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(name), _as_lists(near, pa.int64()), _as_lists(scores, pa.float64()), pa.array([False] * len(name), pa.bool_())], [x.split()[0] for x in OFFERS.split(", ")])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Numbers each `group` rows that follow each other, from a new one where deal or length change."""
+        """Numbers each `group` rows that follow each other, from a new one where deal, length or shell change."""
         last, held, number = None, 0, 0
         for batch in batches:
             out = np.empty(batch.num_rows, np.int64)
-            for i, kind in enumerate(zip(batch.column("deal").to_pylist(), batch.column("length").to_pylist(), strict=True)):
+            for i, kind in enumerate(zip(*(batch.column(c).to_pylist() for c in ("deal", "length", "shell")), strict=True)):
                 if kind != last or held == group:
                     last, held, number = kind, 0, number + 1
                 held += 1
@@ -164,8 +188,8 @@ def _start(nodes: DataFrame, degree: int, group: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out), batch.column("node"), batch.column("vector")], ["group", "node", "vector"])
 
     # the node ends the key, so that also equal codes are dealt over partitions
-    order = ["deal", "length", "code", "node"]
-    coded = stored(nodes.select("node", "vector").mapInArrow(code, CODES))
+    order = ["deal", "length", "shell", "code", "node"]
+    coded = stored(nodes.select("node", "vector", "shell").mapInArrow(code, CODES))
     ranged = coded.repartitionByRange(*order).sortWithinPartitions(*order)
     return _merged(ranged.mapInArrow(lambda batches: run(groups(batches)), OFFERS), degree)
 
@@ -248,9 +272,7 @@ def _products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, nearest: int = NEAREST, beam: int = BEAM, step: int = STEP, entries: int = ENTRIES) -> DataFrame:
     """STATE after the walks of queries (node, key, vector); seen has the nodes that a query has visited."""
     beam = max(beam, nearest + 1)
-    first = {}
-    for node, vector in _drawn(nodes, entries, 3):
-        first.setdefault(len(vector), []).append((node, vector))
+    first = _entries(nodes, entries)
     forward = graph.select("node", F.explode("near").alias("other"))
     back = _sampled(forward, SAMPLE, -1).select(F.col("other").alias("node"), F.col("node").alias("other"))
     around = stored(forward.unionByName(back).groupBy("node").agg(F.collect_set("other").alias("around")))
@@ -313,7 +335,7 @@ def visited(state: DataFrame, nodes: DataFrame) -> float:
 def nearest_neighbours(rows: DataFrame, *, nearest: int = NEAREST, every: int = 20, beam: int = BEAM, shares: list | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by `every`, against all rows; shares gets the share visited."""
     known = stored(usable(rows))
-    nodes = nodes_of(known, nearest + 1)
+    nodes = shelled(nodes_of(known, nearest + 1))
     graph = build_graph(nodes)
     asked = known.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "key")
     queries = nodes.select("node", "key", "vector").join(asked.select("key").distinct(), "key", "left_semi")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from slidegrid.llm import neighbours
 
@@ -55,6 +56,22 @@ def test_tight_clusters(spark):
     assert np.mean(recall) > 0.98
 
 
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+def test_unequal_lengths(spark, kind):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 64)) if kind == "random" else rng.normal(size=(60, 64))[np.arange(6000) % 60] + 0.3 * rng.normal(size=(6000, 64))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * rng.lognormal(sigma=1, size=(6000, 1))
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest_neighbours(frame).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    near = x[::20] @ x.T
+    near[np.arange(300), range(0, 6000, 20)] = -np.inf
+    recall = [len(got[20 * k] & set(np.argsort(-row)[:20].tolist())) / 20 for k, row in enumerate(near)]
+    print("recall", kind, np.mean(recall), min(recall))
+    assert np.mean(recall) >= 0.95
+
+
 def test_lengths_and_repeated_ids(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)] + [(60, [1.0] * 9), (61, [2.0] * 9), (80, [1.0] * 3)]
