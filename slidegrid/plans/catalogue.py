@@ -14,7 +14,9 @@ from ..functions.polygons import point_in_polygon
 from ..operators import catalog, genes, metrics, models, report, rules, spatial, splits, writeback
 from ..operators.nearest import knn
 from ..operators.numbering import numbered
+from ..sources import runs as run_documents
 from ..sources import tables
+from ..sources.shared import shared_name
 from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -632,3 +634,27 @@ _READ = "t AS (SELECT sample_id, min(y) AS top FROM obs GROUP BY ALL), g AS (SEL
 @query(f", {_READ} SELECT sample_id, x, y, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY floor((y - top) / height), x, array_row * 1000 + array_col) AS INTEGER) AS position FROM obs JOIN t USING (sample_id) JOIN h USING (sample_id)", "points spots obs")
 def q72_reading_order(s, d):
     return spatial.reading_order(_patches(s, d)).select("sample_id", "x", "y", "position")
+
+
+@query(
+    """, k AS (SELECT r_name AS dataset, r_regionkey::INTEGER AS k FROM region), g AS (SELECT p_size % 5 AS k, count(DISTINCT p_brand) AS n FROM part GROUP BY ALL),
+    b AS (SELECT dataset, arg_max({'e': encoder, 'm': pearson_mean, 's': pearson_std}, pearson_mean) AS best, array_to_string(list(encoder ORDER BY encoder), ', ') AS encoders FROM merged GROUP BY dataset)
+    SELECT 'run_' || dataset AS run, 'brands.json' AS gene_list, CASE WHEN k.k % 2 = 0 THEN g.n END AS num_genes, k.k / 2.0::DOUBLE AS alpha, 64 * (k.k + 1) AS batch_size, CASE WHEN k.k > 1 THEN 'PCA' END AS dimreduce, encoders,
+    k.k % 2 = 0 AS normalize, k.k = 3 AS library_size_normalize, 256 AS latent_dim, 'ridge' AS method, dataset, best.e AS best_model, round(best.m, 6) AS highest_pearson_mean, round(best.s, 6) AS highest_pearson_std,
+    round(CASE dataset WHEN 'AFRICA' THEN 14 * (SELECT avg(s_acctbal) FROM supplier) END, 6) AS num_training_patches_mean FROM b JOIN k USING (dataset) LEFT JOIN g ON g.k = k.k""",
+    "runs merged",
+)
+def q73_run_documents(s, d):
+    """Writes the runs' documents to the shared folder, in forms that differ from run to run, and summarises what is read back."""
+    root, found = shared_name(s), v.merged_runs(s, d).withColumn("run", F.concat(F.lit("run_"), "dataset"))
+    k = F.col("r_regionkey").cast("int")
+    listed = F.when(k > 1, F.to_json(F.array("r_name"))).otherwise(F.concat(F.lit('"'), "r_name", F.lit('"')))  # a list, or one name
+    text = F.concat(F.lit('{"gene_list": "brands.json", "datasets": '), listed, F.lit(', "alpha": '), (k / 2).cast("string"), F.lit(', "batch_size": "'), (64 * (k + 1)).cast("string"), F.lit('", "latent_dim": 256, "method": "ridge", "normalize": '), (k % 2 == 0).cast("string"), F.when(k == 3, ', "library_size_normalize": true').otherwise(""), F.when(k > 1, ', "dimreduce": "PCA"}').otherwise("}"))
+    settings = v.table(s, d, "region").select(F.concat(F.lit("runs/run_"), "r_name", F.lit("/config.json")).alias("path"), text.alias("text"))
+    brands = v.table(s, d, "part").groupBy((F.col("p_size") % 5).alias("r_regionkey")).agg(F.array_sort(F.collect_set("p_brand")).alias("genes")).where("r_regionkey % 2 = 0").join(v.table(s, d, "region"), "r_regionkey")
+    lists = brands.select(F.concat(F.lit("data/"), "r_name", F.lit("/brands.json")).alias("path"), F.when(F.col("r_regionkey") == 2, F.to_json("genes")).otherwise(F.to_json(F.struct("genes"))).alias("text"))
+    results = run_documents.dataset_documents(found).unionByName(run_documents.encoder_documents(found)).withColumn("path", F.concat(F.lit("runs/"), "path"))
+    run_documents.write_documents(settings.unionByName(lists).unionByName(results), root)
+    rules_of = s.createDataFrame([("AFRICA", "supplier", 14.0, 0)], "dataset string, source string, factor double, part int")
+    means = v.table(s, d, "supplier").agg(F.lit("supplier").alias("source"), F.avg("s_acctbal").alias("mean"))
+    return rounded(run_documents.summarise_runs(s, f"{root}/runs", f"{root}/data", rules_of, means), "highest_pearson_mean", "highest_pearson_std", "num_training_patches_mean")
