@@ -117,8 +117,7 @@ def _drawn(nodes: DataFrame, about: int, seed: int) -> list[tuple[int, list[floa
 
 def shelled(nodes: DataFrame) -> DataFrame:
     """nodes with `shell`: 0 for the longest vectors, one more for each factor of RATIO by which they are shorter, SHELLS - 1 at most."""
-    most = F.array_max(F.transform("vector", F.abs))  # squares of large components would overflow
-    size = F.ln(most) + 0.5 * F.ln(F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+    size = F.ln(F.aggregate("vector", F.lit(0.0), F.hypot))  # squares of large components would overflow
     top = nodes.agg(F.max(size)).first()[0]
     # a tenth beyond the longest, so that vectors of one length don't fall on a border
     return nodes.withColumn("shell", F.least(F.floor((F.lit(top) + F.ln(F.lit(1.1)) - size) / F.ln(F.lit(RATIO))), F.lit(SHELLS - 1)).cast("int"))
