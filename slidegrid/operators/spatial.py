@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.polygons import exclusion_expr, point_in_polygon
+from ..functions.polygons import exclusion_expr
 
 
 def get_xy(x: str = "x", y: str = "y", fallback_x: str = "pxl_col_in_fullres", fallback_y: str = "pxl_row_in_fullres") -> tuple[Column, Column]:
@@ -121,16 +121,6 @@ def grid_block(patches: DataFrame, x0: int, y0: int, size: int) -> DataFrame:
     return out.where(F.col("x_rank").between(x0, x0 + size - 1) & F.col("y_rank").between(y0, y0 + size - 1))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, *, cell: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Points with the polygons (sample_id, polygon_id, ring) that hold them: grid cells first, then the exact test."""
-    grid = lambda c: F.floor(c / cell).cast("long")
-    side = lambda axis, f: f(F.transform("ring", lambda p: p[axis]))
-    boxes = polygons.withColumn("gx", F.explode(F.sequence(grid(side("x", F.array_min)), grid(side("x", F.array_max)))))
-    boxes = boxes.withColumn("gy", F.explode(F.sequence(grid(side("y", F.array_min)), grid(side("y", F.array_max)))))
-    met = points.withColumns({"gx": grid(F.col(x)), "gy": grid(F.col(y))}).join(boxes, ["sample_id", "gx", "gy"])
-    return met.where(point_in_polygon(F.col(x), F.col(y), F.col("ring"))).drop("gx", "gy", "ring")
-
-
 def densify(expression: DataFrame, obs: DataFrame, genes: DataFrame) -> DataFrame:
     """Every spot with every listed gene, 0 where there is no value; joined by name. `genes` is a list, not data."""
     keys = [c for c in ("sample_id", "obs_id", "array_row", "array_col") if c in obs.columns and c in expression.columns]

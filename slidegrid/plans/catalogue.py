@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from ..functions import columns as c
 from ..functions.polygons import point_in_polygon
 from ..operators import catalog, genes, metrics, models, report, rules, spatial, splits, writeback
+from ..operators.cover import points_in_polygons
 from ..operators.nearest import knn
 from ..operators.numbering import numbered
 from ..sources import runs as run_documents
@@ -166,7 +167,7 @@ def q11_spatial_join(s, d):
     ring = lambda r: F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in r])
     square = [(30000.0, 30000.0), (60000.0, 30000.0), (60000.0, 60000.0), (30000.0, 60000.0)]
     polygons = v.samples(s, d).select("sample_id").withColumn("p", F.explode(F.array(F.struct(F.lit("concave").alias("polygon_id"), ring(_RING).alias("ring")), F.struct(F.lit("square").alias("polygon_id"), ring(square).alias("ring"))))).select("sample_id", "p.*")
-    return spatial.points_in_polygons(v.points(s, d), polygons, cell=20000.0).select("l_orderkey", "l_linenumber", "sample_id", "polygon_id")
+    return points_in_polygons(v.points(s, d), polygons).select("l_orderkey", "l_linenumber", "sample_id", "polygon_id")
 
 
 @query(", b AS (SELECT sample_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM points WHERE gene = 'Brand#2' AND x BETWEEN 20000 AND 70000 AND y < 60000 GROUP BY ALL) SELECT l_orderkey, l_linenumber, sample_id FROM points JOIN b USING (sample_id) WHERE x BETWEEN x0 - 400 AND x1 + 400 AND y BETWEEN y0 - 400 AND y1 + 400", "points")
@@ -636,6 +637,22 @@ def q72_reading_order(s, d):
     return spatial.reading_order(_patches(s, d)).select("sample_id", "x", "y", "position")
 
 
+@query(
+    """, b AS (SELECT sample_id, gene, avg(x) AS mx, avg(y) AS my FROM points GROUP BY ALL), z AS (SELECT sample_id, gene, mx, my, 40.0 AS r FROM b UNION ALL SELECT sample_id, 'whole', 45000.0, 50000.0, 43000.0 FROM (SELECT DISTINCT sample_id FROM b)),
+    t AS (SELECT sample_id, gene AS polygon_id, mx - r AS x0, mx + r AS x1, my - 20 * r AS y0, my + r AS y1 FROM z)
+    SELECT polygon_id, p.sample_id, count(*) AS n FROM points p JOIN t ON p.sample_id = t.sample_id AND x > x0 AND x < x1 AND y > y0 AND y < y1 AND (y - y0) / (y1 - y0) > abs(x - (x0 + x1) / 2) / ((x1 - x0) / 2) GROUP BY ALL""",
+    "points",
+)
+def q74_polygons_of_all_sizes(s, d):
+    """Triangles: a narrow one at each gene's mean place, and one that covers most of each slide."""
+    p = v.points(s, d)
+    tiny = p.groupBy("sample_id", F.col("gene").alias("polygon_id")).agg(F.avg("x").alias("mx"), F.avg("y").alias("my")).withColumn("r", F.lit(40.0))
+    large = v.samples(s, d).select("sample_id", F.lit("whole").alias("polygon_id"), F.lit(45000.0).alias("mx"), F.lit(50000.0).alias("my"), F.lit(43000.0).alias("r"))
+    corner = lambda i, j: F.struct((F.col("mx") + F.col("r") * i).alias("x"), (F.col("my") + F.col("r") * j).alias("y"))
+    polygons = tiny.unionByName(large).select("sample_id", "polygon_id", F.array(corner(-1, 1), corner(1, 1), corner(0, -20)).alias("ring"))
+    return points_in_polygons(p, polygons).groupBy("sample_id", "polygon_id").agg(F.count("*").alias("n"))
+
+
 @query(
     """, k AS (SELECT r_name AS dataset, r_regionkey::INTEGER AS k FROM region), g AS (SELECT p_size % 5 AS k, count(DISTINCT p_brand) AS n FROM part GROUP BY ALL),
     b AS (SELECT dataset, arg_max({'e': encoder, 'm': pearson_mean, 's': pearson_std}, pearson_mean) AS best, array_to_string(list(encoder ORDER BY encoder), ', ') AS encoders FROM merged GROUP BY dataset)
