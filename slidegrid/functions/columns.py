@@ -48,11 +48,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def pearson_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    spread = (n * sxx - sx * sx) * (n * syy - sy * sy)
-    return F.when(spread > 0, (n * sxy - sx * sy) / F.sqrt(spread))
-
-
 def normalised_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[re.sub(r" +", "_", c.strip().lower()) for c in df.columns])
 

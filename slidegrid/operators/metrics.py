@@ -8,19 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.columns import finite, nan_to_null, pearson_from_sums, ratio
+from ..functions.columns import finite, nan_to_null, ratio
 from .quantiles import exact_quantiles
 
 
 def gene_metrics(pairs: DataFrame, by=("gene",), *, pred: str = "pred", target: str = "target") -> DataFrame:
-    """n, mse, r2, pearson per group; null where undefined. Two hash aggregates: means first, then centred sums."""
-    keys = [f"_k{i}" for i in range(len(by))]
-    means = pairs.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(F.avg(pred).alias("_mp"), F.avg(target).alias("_mt"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)])
-    centred = pairs.join(means, same).select(*by, (F.col(pred) - F.col("_mp")).alias("p"), (F.col(target) - F.col("_mt")).alias("t"), (F.col(pred) - F.col(target)).alias("e"))
-    sums = centred.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(e).alias(a) for a, e in (("sp", F.col("p")), ("st", F.col("t")), ("spp", F.col("p") ** 2), ("stt", F.col("t") ** 2), ("spt", F.col("p") * F.col("t")), ("see", F.col("e") ** 2))])
-    pearson = pearson_from_sums(*[F.col(c) for c in ("n", "sp", "st", "spp", "stt", "spt")])
-    return sums.select(*by, "n", ratio(F.col("see"), F.col("n")).alias("mse"), (1 - ratio(F.col("see"), F.col("stt"))).alias("r2"), pearson.alias("pearson"))
+    """n, mse, r2, pearson per group; null where undefined. One hash aggregate: Spark's moments are centred as they are added up."""
+    p, t = F.col(pred).cast("double"), F.col(target).cast("double")
+    p, t = F.when(t.isNotNull(), p), F.when(p.isNotNull(), t)
+    sums = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.sum((p - t) * (p - t)).alias("see"), (F.var_pop(t) * F.count(t)).alias("stt"), F.covar_pop(p, t).alias("both"), F.sqrt(F.var_pop(p)).alias("sp"), F.sqrt(F.var_pop(t)).alias("st"))
+    return sums.select(*by, "n", ratio(F.col("see"), F.col("n")).alias("mse"), (1 - ratio(F.col("see"), F.col("stt"))).alias("r2"), ratio(F.col("both"), F.col("sp") * F.col("st")).alias("pearson"))
 
 
 def pair_correlation(pairs: DataFrame, by=("sample_id", "gene"), *, pred: str = "pred", target: str = "target") -> DataFrame:

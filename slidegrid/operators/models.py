@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from threading import Lock
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_name, stored
 from .metrics import gene_metrics
 
 METHODS = ("ridge", "random-forest", "rf", "gbt", "xgboost")
@@ -105,10 +110,10 @@ def apply_matrix(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], column: s
     return df.withColumn(out, run(column))
 
 
-def ridge_fit(train: DataFrame, alpha: float | None = None, *, x: str = "features", y: str = "targets") -> np.ndarray:
+def ridge_fit(train: DataFrame, alpha: float | None = None, *, targets: int, x: str = "features", y: str = "targets") -> np.ndarray:
     """Weights (features x targets) without intercept; alpha is 100 / (features * targets) by default."""
-    p = len(train.select(x).first()[0])
     _, gram = _sums(train, x, y)
+    p = len(gram) - 1 - targets
     xx, xy = gram[1 : p + 1, 1 : p + 1], gram[1 : p + 1, p + 1 :]
     if alpha is None:
         alpha = 100 / (p * xy.shape[1])
@@ -132,7 +137,7 @@ def probe_split(train: DataFrame, test: DataFrame, genes: list[str], method: str
     project = fit_scaler_pca(train, latent_dim if dimreduce == "PCA" else None) if dimreduce else (lambda z: z)
     train, test = (apply_matrix(d, project, "embedding", "features") for d in (train, test))
     if method == "ridge":
-        rows = ridge_predict(ridge_fit(train, alpha), test)
+        rows = ridge_predict(ridge_fit(train, alpha, targets=len(genes)), test)
         zipped = rows.select("seq", F.posexplode(F.arrays_zip("preds", "targets")).alias("pos", "v")).select("seq", "pos", F.col("v.preds").alias("pred"), F.col("v.targets").cast("double").alias("target"))
         names = F.array(*[F.lit(g) for g in genes])
         return zipped.select("seq", F.element_at(names, F.col("pos") + 1).alias("gene"), "pred", "target")
@@ -144,24 +149,71 @@ def probe_split(train: DataFrame, test: DataFrame, genes: list[str], method: str
     return out
 
 
+def probe_one(features: DataFrame, splits: DataFrame, split: int, genes: list[str], method: str = "ridge", **options) -> DataFrame:
+    """probe_split of one split's samples."""
+    part = lambda name: features.join(splits.where((F.col("split") == split) & (F.col("part") == name)).select("sample_id"), "sample_id", "left_semi")
+    return probe_split(part("train"), part("test"), genes, method, **options)
+
+
 def probe(features: DataFrame, splits: DataFrame, genes: list[str], method: str = "ridge", **options) -> DataFrame:
     """split, gene, n, mse, r2, pearson. features: sample_id, seq, embedding, targets; splits: split, part, sample_id."""
     out = None
     for (split,) in sorted(splits.select("split").distinct().collect()):  # folds are few and each is a distributed job
-        part = lambda name, split=split: features.join(splits.where((F.col("split") == split) & (F.col("part") == name)).select("sample_id"), "sample_id", "left_semi")
-        scored = gene_metrics(probe_split(part("train"), part("test"), genes, method, **options)).withColumn("split", F.lit(split))
+        scored = gene_metrics(probe_one(features, splits, split, genes, method, **options)).withColumn("split", F.lit(split))
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
-def grid(datasets: dict[str, tuple[DataFrame, list[str]]], features: Callable[[str, str], DataFrame], encoders: list[str], method: str = "ridge", **options) -> DataFrame:
-    """dataset, encoder, split, gene, metrics for every dataset -> (splits, genes) and encoder."""
-    out = None
-    for dataset, (splits, genes) in datasets.items():
-        for encoder in encoders:
-            part = probe(features(dataset, encoder), splits, genes, method, **options).withColumns({"dataset": F.lit(dataset), "encoder": F.lit(encoder)})
-            out = part if out is None else out.unionByName(part)
-    return out
+RESULTS = "dataset string, encoder string, split int, gene string, n long, mse double, r2 double, pearson double"
+
+
+def _folder(root: str, dataset: str, encoder: str, split: int) -> str:
+    return f"{root}/dataset={quote(dataset, safe='')}/encoder={quote(encoder, safe='')}/split={split}"
+
+
+def finished(spark: SparkSession, root: str) -> DataFrame:
+    """dataset, encoder, split of the tasks whose results are whole: their folders hold the mark that Spark writes last."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/dataset=*/encoder=*/split=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    keys = [[unquote(part.split("=", 1)[1]) for part in str(f.getPath()).split("/")[-4:-1]] for f in found]  # a row for each task
+    return spark.createDataFrame([(d, e, int(k)) for d, e, k in keys], "dataset string, encoder string, split int")
+
+
+def grid(spark: SparkSession, datasets: dict[str, tuple[DataFrame, list[str]]], features: Callable[[str, str], DataFrame], encoders: list[str], method: str = "ridge", *, results: str | None = None, threads: int = 4, **options) -> DataFrame:
+    """RESULTS for every dataset -> (splits, genes), encoder and split.
+
+    Each split is a task whose metrics are a partition of the table `results`; tasks that are whole there are left out, so a grid that
+    was stopped goes on where it ended, and a larger one adds to it. `threads` tasks run at once, each in a scheduler pool of
+    its own (fair ones if spark.scheduler.mode is FAIR). Features of a dataset and encoder are computed and stored once, by
+    the first of their tasks. If a task fails, those that run are ended, what is whole stays, and the error is raised.
+    """
+    root = (results or shared_name(spark)).rstrip("/")
+    planned = [(d, e, int(r["split"])) for d, (splits, _) in datasets.items() for r in splits.select("split").distinct().collect() for e in encoders]
+    todo = spark.createDataFrame(planned, "dataset string, encoder string, split int").join(finished(spark, root), ["dataset", "encoder", "split"], "left_anti")
+    todo = sorted(map(tuple, todo.collect()))  # a row for each task
+    held, locks = {}, {(d, e): Lock() for d, e, _ in todo}
+
+    def run(number: int, dataset: str, encoder: str, split: int) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"probe-{number % threads}")
+        with locks[dataset, encoder]:
+            if (dataset, encoder) not in held:
+                held[dataset, encoder] = stored(features(dataset, encoder))
+        splits, genes = datasets[dataset]
+        scored = gene_metrics(probe_one(held[dataset, encoder], splits, split, genes, method, **options))
+        scored.write.mode("overwrite").parquet(_folder(root, dataset, encoder, split))
+
+    with ThreadPoolExecutor(max(1, threads)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(run), i, *task) for i, task in enumerate(todo)]
+        try:
+            for job in jobs:
+                job.result()
+        except BaseException:
+            pool.shutdown(cancel_futures=True)
+            raise
+    if not planned and not finished(spark, root).count():
+        return spark.createDataFrame([], RESULTS)
+    table = spark.read.schema(RESULTS).option("basePath", root).parquet(root)
+    return table.join(F.broadcast(spark.createDataFrame(planned, "dataset string, encoder string, split int")), ["dataset", "encoder", "split"], "left_semi")  # a row for each task
 
 
 def join_embeddings(embeddings: DataFrame, expression: DataFrame, genes: DataFrame) -> DataFrame:

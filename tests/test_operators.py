@@ -148,7 +148,7 @@ def test_ridge_equals_numpy(spark):
     x, w = rng.normal(size=(80, 6)), rng.normal(size=(6, 2))
     y = x @ w + 0.1 * rng.normal(size=(80, 2))
     frame = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))], "seq long, features array<double>, targets array<double>")
-    got = models.ridge_fit(frame)
+    got = models.ridge_fit(frame, targets=2)
     alpha = 100 / (6 * 2)
     assert np.allclose(got, np.linalg.solve(x.T @ x + alpha * np.eye(6), x.T @ y))
     p = models.fit_scaler_pca(frame, 3, column="features")
