@@ -27,12 +27,11 @@ def in_order(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]) ->
 
 
 def _pieces(placed: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """A row for each (by, PART): its first ROW, and for each of `sums` the sum over the pieces before and over the group."""
+    """A row for each (by, PART), so that no key of the join with it holds more than a partition did: its first ROW, and for each of `sums` the sum over the pieces before and over the group."""
     there = placed.groupBy(*by, PART).agg(F.min(ROW).alias("__first"), *[F.sum(c).alias(n) for n, c in sums.items()])
     group = W.partitionBy(*by)
     before = group.orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
-    out = there.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col(PART).alias("__of"), "__first", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in sums], *[F.sum(n).over(group).alias(f"{n}_all") for n in sums])
-    return stored(out)
+    return there.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col(PART).alias("__of"), "__first", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in sums], *[F.sum(n).over(group).alias(f"{n}_all") for n in sums])
 
 
 def _with_pieces(placed: DataFrame, pieces: DataFrame, by: Sequence[str]) -> DataFrame:
