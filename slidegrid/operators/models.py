@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from threading import Lock
 from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_name, stored
+from . import trees
 from .metrics import gene_metrics
 
 METHODS = ("ridge", "random-forest", "rf", "gbt", "xgboost")
@@ -124,29 +123,27 @@ def ridge_predict(weights: np.ndarray, df: DataFrame, *, x: str = "features", ou
     return apply_matrix(df, lambda z: z @ weights, x, out)
 
 
-def _tree(method: str, seed: int):
-    if method in ("random-forest", "rf"):
-        return RandomForestRegressor(numTrees=70, seed=seed, labelCol="label", featuresCol="v")
-    return GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, labelCol="label", featuresCol="v")
+def tree_fit(train: DataFrame, method: str = "rf", *, seed: int = 1, key: tuple[str, ...] = (), **growth) -> trees.Trees:
+    """A forest, or boosted trees with a ridge on leaf values, for all targets at once; `growth` changes fields of trees.Growth."""
+    base = trees.FOREST if method in ("random-forest", "rf") else trees.BOOSTED
+    return trees.fit(train, replace(base, seed=seed, **growth), key=key)
 
 
-def probe_split(train: DataFrame, test: DataFrame, genes: list[str], method: str = "ridge", *, dimreduce: str | None = "PCA", latent_dim: int = 256, alpha: float | None = None, seed: int = 1) -> DataFrame:
-    """seq, gene, pred, target of the test rows. Both frames: seq, embedding, targets (in the genes' order)."""
+def tree_predict(model: trees.Trees, df: DataFrame, *, x: str = "features", out: str = "preds") -> DataFrame:
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    return apply_matrix(df, lambda z: sent.value(z), x, out)
+
+
+def probe_split(train: DataFrame, test: DataFrame, genes: list[str], method: str = "ridge", *, dimreduce: str | None = "PCA", latent_dim: int = 256, alpha: float | None = None, seed: int = 1, **growth) -> DataFrame:
+    """seq, gene, pred, target of the test rows. Both frames: seq, embedding, targets (in the genes' order). `growth` is for trees."""
     if method not in METHODS:
         raise ValueError(f"method is {method!r}; {METHODS} are known")
     project = fit_scaler_pca(train, latent_dim if dimreduce == "PCA" else None) if dimreduce else (lambda z: z)
     train, test = (apply_matrix(d, project, "embedding", "features") for d in (train, test))
-    if method == "ridge":
-        rows = ridge_predict(ridge_fit(train, alpha, targets=len(genes)), test)
-        zipped = rows.select("seq", F.posexplode(F.arrays_zip("preds", "targets")).alias("pos", "v")).select("seq", "pos", F.col("v.preds").alias("pred"), F.col("v.targets").cast("double").alias("target"))
-        names = F.array(*[F.lit(g) for g in genes])
-        return zipped.select("seq", F.element_at(names, F.col("pos") + 1).alias("gene"), "pred", "target")
-    out = None
-    for pos, gene in enumerate(genes):  # one model a gene, fitted on the cluster
-        labelled = [d.select("seq", array_to_vector("features").alias("v"), F.element_at("targets", pos + 1).cast("double").alias("label")) for d in (train, test)]
-        part = _tree(method, seed).fit(labelled[0]).transform(labelled[1]).select("seq", F.lit(gene).alias("gene"), F.col("prediction").alias("pred"), F.col("label").alias("target"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = ridge_predict(ridge_fit(train, alpha, targets=len(genes)), test) if method == "ridge" else tree_predict(tree_fit(train, method, seed=seed, key=("seq",), **growth), test)
+    zipped = rows.select("seq", F.posexplode(F.arrays_zip("preds", "targets")).alias("pos", "v")).select("seq", "pos", F.col("v.preds").alias("pred"), F.col("v.targets").cast("double").alias("target"))
+    names = F.array(*[F.lit(g) for g in genes])
+    return zipped.select("seq", F.element_at(names, F.col("pos") + 1).alias("gene"), "pred", "target")
 
 
 def probe_one(features: DataFrame, splits: DataFrame, split: int, genes: list[str], method: str = "ridge", **options) -> DataFrame:
