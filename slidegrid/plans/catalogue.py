@@ -501,14 +501,33 @@ def q52_rule_json(s, d):
     return parsed.select("event_id", size.cast("double").alias("size"), (size.cast("int") % 2 == 0).alias("even"))
 
 
+def _probe_inputs(s, d):
+    e = v.table(s, d, "embeddings").select((F.col("vec_id") % 5).cast("string").alias("sample_id"), F.col("vec_id").alias("seq"), "embedding", F.array(F.col("label").cast("double"), F.element_at("embedding", 1).cast("double") * 2 - F.element_at("embedding", 2).cast("double")).alias("targets"))
+    return e, e.select("sample_id").distinct().withColumn("patient", F.col("sample_id"))
+
+
 @query()
 def q53_ridge_probe(s, d):
     """Labels and ids as targets of vectors, in folds by the id."""
-    e = v.table(s, d, "embeddings").select((F.col("vec_id") % 5).cast("string").alias("sample_id"), F.col("vec_id").alias("seq"), "embedding", F.array(F.col("label").cast("double"), F.element_at("embedding", 1).cast("double") * 2 - F.element_at("embedding", 2).cast("double")).alias("targets"))
-    folds = e.select("sample_id").distinct().withColumn("patient", F.col("sample_id"))
+    e, folds = _probe_inputs(s, d)
     return rounded(models.probe(e, splits.group_kfold(folds, 3, ("patient",)), ["label", "line"], latent_dim=32), "mse", "r2", "pearson")
 
 
+@query()
+def q53_forest_probe(s, d):
+    """The same targets by forests of all targets at once, a job a level."""
+    e, folds = _probe_inputs(s, d)
+    return rounded(models.probe(e, splits.group_kfold(folds, 3, ("patient",)), ["label", "line"], "rf", latent_dim=32, trees=20, at_once=20, depth=5), "mse", "r2", "pearson")
+
+
+@query()
+def q53_boosted_split(s, d):
+    """Boosted trees on a single split: ids that leave 0 by 5 are the test rows."""
+    e, _ = _probe_inputs(s, d)
+    test = F.col("sample_id") == "0"
+    return rounded(metrics.gene_metrics(models.probe_split(e.where(~test), e.where(test), ["label", "line"], "gbt", dimreduce=None, trees=10, rate=0.3)), "mse", "r2", "pearson")
+
+
 @query("SELECT gene, round(value, 6) AS value, CAST(group_rank AS INTEGER) AS group_rank, CAST(member_rank AS INTEGER) AS member_rank FROM (SELECT sample_id || gene AS gene, m AS value, dense_rank() OVER (ORDER BY gm DESC, sample_id) AS group_rank, row_number() OVER (PARTITION BY sample_id ORDER BY m DESC, gene) AS member_rank FROM (SELECT sample_id, gene, avg(pred) AS m FROM pairs GROUP BY ALL) JOIN (SELECT sample_id, avg(pred) AS gm FROM pairs GROUP BY ALL) USING (sample_id))", "pairs")
 def q54_ordered_groups(s, d):
     out = report.ordered_groups(v.pairs(s, d), "sample_id", "gene", "pred")
