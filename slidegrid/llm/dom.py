@@ -15,32 +15,61 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 #: An open element of the first kind ends when one of the second begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
 SCOPES = frozenset("html body article section div main aside nav header footer form table ul ol dl blockquote td th".split())
+LISTS, ITEMS = frozenset("ul ol dl".split()), frozenset("li dt dd".split())
+ENDED_BY = {tag: [held for held in (*ENDS, "p") if tag in (CLOSES_P if held == "p" else ENDS[held])] for tag in CLOSES_P.union(*ENDS.values())}
 
 GROUPS = ("article main", "p pre blockquote", "h1 h2 h3 h4 h5 h6", "nav menu", "header", "footer", "aside", "form fieldset button", "section div", "ul ol dl", "li dt dd", "table tr td th tbody thead", "head title", "body html #root", "figure figcaption")
 _GROUP = {tag: i for i, tags in enumerate(GROUPS) for tag in tags.split()}
+_ASIDE = [_GROUP[tag] for tag in ("nav", "header", "footer", "aside", "form", "head")]
 GOOD_TOKENS = frozenset("article content main post entry body text story prose page".split())
 BAD_TOKENS = frozenset("nav menu header footer sidebar side ad ads advert advertisement banner promo sponsor sponsored cookie cookies notice consent gdpr popup modal alert comment comments reply replies discussion disqus respond share social related recommended breadcrumb breadcrumbs widget login signup subscribe newsletter form search pagination pager toolbar masthead copyright legal tracking".split())
 _TOKEN = re.compile(r"[A-Za-z][a-z]*")
+_NOT_SHOWN = re.compile(r"(?i)display\s*:\s*none")
+
+
+def shown(attrs: list) -> bool:
+    return not any(k == "hidden" or k == "style" and v and _NOT_SHOWN.search(v) for k, v in attrs)
+
+
+def tokens_of(attrs: list) -> tuple[int, int, int]:
+    """(good, bad, mentions): tokens of names that are good words; bad words in names that mostly consist of such; bad words in any name."""
+    names = {n for k, v in attrs if v and k in ("class", "id", "role", "itemprop") for n in v.split()}
+    good, bad, mentions = set(), set(), set()
+    for name in names:
+        own = [t.lower() for t in _TOKEN.findall(name)]
+        good.update(t for t in own if t in GOOD_TOKENS)
+        found = [t for t in own if t in BAD_TOKENS]
+        mentions.update(found)
+        if 2 * len(found) >= len(own):
+            bad.update(found)
+    return len(good), len(bad), len(mentions)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "good", "bad", "children", "text", "linked", "marks", "words", "first", "last", "below", "hidden")
+    __slots__ = ("tag", "parent", "depth", "good", "bad", "mentions", "children", "text", "linked", "marks", "words", "first", "last", "below", "hidden")
 
-    def __init__(self, tag: str, parent: int, depth: int, good: int, bad: int, hidden: bool):
-        self.tag, self.parent, self.depth, self.good, self.bad, self.hidden = tag, parent, depth, good, bad, hidden
+    def __init__(self, tag: str, parent: int, depth: int, good: int, bad: int, mentions: int, hidden: bool):
+        self.tag, self.parent, self.depth, self.good, self.bad, self.mentions, self.hidden = tag, parent, depth, good, bad, mentions, hidden
         self.children: list[int] = []
         self.text = self.linked = self.marks = self.words = self.below = 0
         self.first = self.last = 0
 
 
 class Page(HTMLParser):
-    """nodes in page order, and segments (node, text): what stands in one block between the borders of blocks."""
+    """nodes in page order, and segments (node, text): what stands in one block between the borders of blocks.
+
+    The places of open elements are kept by name, so a tag costs the same however many elements are open.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.nodes = [Node("#root", -1, 0, 0, 0, False)]
+        self.nodes = [Node("#root", -1, 0, 0, 0, 0, False)]
         self.segments: list[tuple[int, str]] = []
         self.open: list[tuple[str, int]] = [("#root", 0)]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []  # places of open elements in SCOPES, and of those but lists
+        self.boxes: list[int] = []
+        self.muted: list[str] = []  # an inline element that is not shown, and open ones of its name in it
         self.buffer: list[str] = []
         self.links = self.linked = 0
         self.feed(html)
@@ -62,7 +91,13 @@ class Page(HTMLParser):
 
     def _pop(self, to: int) -> None:
         self._flush()
+        for tag, _ in self.open[to:]:
+            self.places[tag].pop()
         del self.open[to:]
+        for places in (self.scopes, self.boxes):
+            while places and places[-1] >= to:
+                places.pop()
+        self.muted.clear()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -73,39 +108,44 @@ class Page(HTMLParser):
             return
         if tag in INLINE:
             self.links += tag == "a"
+            if tag in self.muted or not self.muted and not shown(attrs):
+                self.muted.append(tag)
             return
         self._flush()
-        for at in range(len(self.open) - 1, 0, -1):
-            held = self.open[at][0]
-            if held == "p" and tag in CLOSES_P or tag in ENDS.get(held, ()):
-                self._pop(at)
-                break
-            if held in SCOPES and not (held in ("ul", "ol", "dl") and tag not in ("li", "dt", "dd")):
+        within = self.scopes if tag in ITEMS else self.boxes
+        while ends := max((self.places[held][-1] for held in ENDED_BY.get(tag, ()) if self.places.get(held)), default=0):
+            if within and ends < within[-1]:
                 break
+            self._pop(ends)
         parent = self.open[-1][1]
         up = self.nodes[parent]
-        tokens = {t.lower() for k, v in attrs if v and k in ("class", "id", "role", "itemprop") for t in _TOKEN.findall(v)}
-        node = Node(tag, parent, up.depth + 1, len(tokens & GOOD_TOKENS), len(tokens & BAD_TOKENS), up.hidden or tag in HIDDEN or any(k == "hidden" for k, _ in attrs))
+        node = Node(tag, parent, up.depth + 1, *tokens_of(attrs), up.hidden or tag in HIDDEN or not shown(attrs))
         up.children.append(len(self.nodes))
+        place = len(self.open)
+        self.places.setdefault(tag, []).append(place)
+        if tag in SCOPES:
+            self.scopes.append(place)
+            if tag not in LISTS:
+                self.boxes.append(place)
         self.open.append((tag, len(self.nodes)))
         self.nodes.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in INLINE:
-            self.handle_endtag(tag)
+        if tag not in VOID and tag not in INLINE and (tag in ("svg", "math") or self.places.get("svg") or self.places.get("math")):
+            self.handle_endtag(tag)  # elsewhere the slash has no meaning
 
     def handle_endtag(self, tag: str) -> None:
         if tag in INLINE:
             self.links -= tag == "a" and self.links > 0
+            if tag in self.muted:
+                self.muted.pop()
             return
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                self._pop(at)
-                return
+        if self.places.get(tag):
+            self._pop(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
-        if not self.nodes[self.open[-1][1]].hidden:
+        if not self.muted and not self.nodes[self.open[-1][1]].hidden:
             self.buffer.append(data)
             if self.links:
                 self.linked += len(data)
@@ -132,8 +172,8 @@ class Page(HTMLParser):
         group = np.zeros((n, len(GROUPS) + 1))
         group[np.arange(n), [_GROUP.get(x.tag, len(GROUPS)) for x in nodes]] = 1
         above = np.zeros_like(group)
-        marks = np.array([(x.good, x.bad) for x in nodes], float)
-        good_bad = np.zeros((n, 2))
+        marks = np.array([(x.good, x.bad, x.mentions) for x in nodes], float)
+        good_bad = np.zeros((n, 3))
         place = np.zeros((n, 3))
         for k in range(1, n):
             p = nodes[k].parent
@@ -154,7 +194,8 @@ class Page(HTMLParser):
                 [x.depth for x in nodes], np.log1p(ends - np.arange(n)), tree[:, 4], tree[:, 5], tree[:, 6], tree[:, 0] / np.maximum(1.0, tree[up, 0]), place,
             ]
         )
-        return np.column_stack([group, above, marks, good_bad, more])
+        apart = np.maximum(group, above)[:, _ASIDE].max(1)  # in or below an element whose name says that it isn't the article
+        return np.column_stack([group, above, apart, marks, good_bad, more])
 
     def decode(self, p: np.ndarray) -> np.ndarray:
         """The likeliest labels in which no node is main text below one that isn't."""

@@ -1,7 +1,7 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes.
 
-The trees are trained here, by Spark ML, on the nodes of a bounded sample of the given pages (TRAIN_PAGES) and of a few
-written-out layouts. A node's label comes from what the markup says outright: text inside article or main is main
+The trees are trained here, by Spark ML, on the nodes of a bounded sample of the given pages (TRAIN_PAGES of under
+TRAIN_CHARS characters; longer pages are extracted, not learned from) and of a few written-out layouts. A node's label comes from what the markup says outright: text inside article or main is main
 text, except within nav, header, footer, aside, form and blocks whose attributes name adverts, notices or comments. To
 learn layouts without such tags, each sampled page also trains in varied forms, in which the telling tags and names
 are replaced and further boilerplate is put in. Features are subtree density, attribute tokens, depth, link share,
@@ -9,7 +9,7 @@ punctuation, sibling statistics and the same of what stands above (dom.Page.feat
 likelihood under the rule that a node below dropped ones is dropped, so ancestor and descendant never contradict.
 
 Cases: null and empty pages give an empty text; text without any tag is one block; unclosed and stray tags are repaired
-as browsers do in the common cases; repeated rows are extracted each; an empty table gives no rows.
+as browsers do in the common cases; a page costs time linear in its length, however deep its elements stand; repeated rows are extracted each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import bucket_of, pick, stored
 from .dom import Page
 
-TRAIN_PAGES, ROUNDS, DEPTH, STEP = 300, 24, 4, 0.3
+TRAIN_PAGES, TRAIN_CHARS, ROUNDS, DEPTH, STEP = 300, 200_000, 24, 4, 0.3
 OUT = "page_id long, url string, text string, n_chars long"
 
 _FILL = "People met on the old bridge, spoke of the harvest, and went home late."
@@ -39,6 +39,10 @@ LAYOUTS = (
     "<div class='cookie-notice'>{0}</div><div id='content'><article><h1>{0}</h1><p>{0}</p><ul><li>{0}</li><li>{0}</li></ul><blockquote>{0}</blockquote><div class='ad'>{0}</div><p>{0}</p><div class='related'><a href='x'>{0}</a></div></article></div><div class='footer'>{0}</div>",
     "<html><body><article><p>{0}</p></article></body></html>",
     "<html><body><p>{0}</p><p>{0}</p></body></html>",
+    "<html><body><article><h1>{0}</h1><div><p>{0}</p><p>{0}</p></div></article></body></html>",
+    "<html><body><div class='menu'><a href='/'>Home</a></div><article><div class='body'><h2>{0}</h2><div><p>{0}</p><p>{0}</p><p>{0}</p></div></div></article><div class='footer'>Rights</div></body></html>",
+    "<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><main><h1>{0}</h1><p>{0}</p><table><tr><th>Year</th><th>Yield</th></tr><tr><td>1901</td><td>{0}</td></tr></table><p>{0}</p><dl><dt>Term</dt><dd>{0}</dd></dl></main><footer>Rights</footer></body></html>",
+    "<html><body><article><h1>{0}</h1><section class='comments-on-law'><h2>{0}</h2><p>{0}</p></section><section id='notes-about-search-engines'><p>{0}</p><figure><figcaption>{0}</figcaption></figure></section><table class='data'><tbody><tr><td>{0}</td><td>12</td></tr></tbody></table></article><div class='comments'><p>{0}</p></div></body></html>",
 )
 _TELLING = frozenset("nav header footer aside form button fieldset menu head".split())
 
@@ -71,6 +75,11 @@ def varied(html: str, k: int, seed: int) -> tuple[str, str]:
     piece = lambda: " ".join(words[(at := int(rng.integers(max(1, len(words))))) : at + int(rng.integers(5, 60))]).replace("<", "")
     extra = [f"<aside><h3>{piece()}</h3><p>{piece()}</p></aside>", f"<section class='comments'><h2>{piece()[:20]}</h2><div class='comment'><p>{piece()}</p></div><div class='comment'><p>{piece()}</p></div></section>", f"<form><p>{piece()}</p><button>{piece()[:9]}</button></form>", f"<div class='notice'>{piece()}</div>"]
     told = html
+    if rng.random() < 0.3:
+        cells = "".join(f"<tr><td>{piece()[:30]}</td><td>{piece()[:30]}</td></tr>" for _ in range(int(rng.integers(1, 5))))
+        told = told.replace("</article>", f"<table>{cells}</table></article>", 1)
+    if rng.random() < 0.3:
+        told = re.sub(r"(<article\b[^>]*>)", r"\1<div>", told, count=1).replace("</article>", "</div></article>", 1)
     for mark, where in (("</article>", 0), ("<footer", 1), ("<article", 1)):
         if rng.random() < 0.6:
             told = told.replace(mark, (choose(extra) + mark), 1) if where or rng.random() < 0.5 else told.replace(mark, mark + choose(extra), 1)
@@ -122,8 +131,8 @@ class Trees:
         return Trees([walk(t._java_obj.rootNode()) for t in model.trees], list(model.treeWeights))
 
 
-def training_nodes(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
-    rows = pick(pages, page_id="page_id", html="html").where("page_id is not null and html is not null and length(html) < 200000")
+def training_nodes(pages: DataFrame, train_pages: int = TRAIN_PAGES, train_chars: int = TRAIN_CHARS) -> DataFrame:
+    rows = pick(pages, page_id="page_id", html="html").where(F.col("page_id").isNotNull() & (F.length("html") < train_chars))
     share = min(1.0, train_pages / max(1, rows.count()))
     chosen = rows.where(bucket_of(F.col("page_id"), 3) < share).select(F.col("page_id").alias("seed"), "html")
     written = pages.sparkSession.createDataFrame([(i, x.format(_FILL)) for i, x in enumerate(LAYOUTS)], "seed long, html string")
@@ -146,8 +155,8 @@ def training_nodes(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFram
     return chosen.unionByName(written).mapInPandas(run, "x array<double>, label double")
 
 
-def train(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Trees:
-    nodes = stored(training_nodes(pages, train_pages)).select(array_to_vector("x").alias("features"), "label")
+def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, train_chars: int = TRAIN_CHARS) -> Trees:
+    nodes = stored(training_nodes(pages, train_pages, train_chars)).select(array_to_vector("x").alias("features"), "label")
     model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=STEP, seed=1, maxBins=32).fit(nodes)
     return Trees.of(model)
 

@@ -6,8 +6,9 @@ has room to its successors until one is compatible. A bin carries two bitmaps. A
 duplicate cluster is in the bin; two documents of a cluster never share one. A set bit of the second means that a
 source has its SOURCE_PIECES pieces in the bin, and takes no more of it. Both are exact: bits are numbered per group.
 
-Groups of about GROUP pieces are packed independently. They are dealt by a hash of the row's place, so a source or a cluster
-that holds a third of all rows is spread over all groups, and more input only means more groups. A cluster is the
+Groups of about GROUP pieces are packed independently. They are dealt by a hash of the row's id, words and source and, for rows
+equal in these, their number, so a source or a cluster that holds a third of all rows is spread over all groups, bins do not
+depend on files or partitions, and more input only means more groups. A cluster is the
 set of documents with the same words (lower-cased), or the given cluster column.
 
 Cases: null and empty texts hold no words and are in no bin; a null source is one more source, and a null id a row as
@@ -71,8 +72,14 @@ def pieces_of(docs: DataFrame, capacity: int, cluster: str | None) -> DataFrame:
     names = {"doc_id": "doc_id", "text": "text", "source": "source"} | ({"cluster": cluster} if cluster else {})
     rows = pick(docs, **names)
     words = F.coalesce(F.array_size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")), F.lit(0))
-    same = F.xxhash64("cluster") if cluster else F.xxhash64(F.regexp_replace(F.trim(F.lower("text")), r"[\x20\x09-\x0D]+", " "))
-    return rows.select("doc_id", "source", same.alias("cluster"), words.alias("words"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("mark")).where("words > 0")
+    plain = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    same = F.xxhash64("cluster") if cluster else F.xxhash64(F.trim(F.regexp_replace(plain, r"[\x20\x09-\x0D]+", " ")))
+    sized = rows.select("doc_id", "source", same.alias("cluster"), words.alias("words")).where("words > 0")
+    # rows equal in all of these are counted, which keeps a hot one small, and numbered: which of them is which makes no difference
+    alike = sized.groupBy(*sized.columns).agg(F.count("*").alias("copies"))
+    blocks = alike.withColumn("block", F.explode(F.sequence(F.lit(0), F.expr("(copies - 1) div 65536"))))
+    one = blocks.withColumn("copy", F.explode(F.sequence(F.col("block") * 65536, F.least("copies", (F.col("block") + 1) * 65536) - 1)))
+    return one.select(*sized.columns, F.xxhash64("doc_id", "cluster", "source", "copy").alias("mark"))
 
 
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, source_pieces: int = SOURCE_PIECES, group: int = GROUP, cluster: str | None = None) -> DataFrame:
@@ -82,7 +89,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, source_pieces: int = SOUR
     rows = rows.withColumn("group", F.pmod(F.xxhash64("mark", F.lit(11)), F.lit(groups)))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["words", "mark", "doc_id"], ascending=False)
+        frame = frame.sort_values(["words", "mark", "cluster", "doc_id"], ascending=False)
         out, rest, number = [], [], 0
         for doc_id, source, own, words in zip(frame["doc_id"], frame["source"], frame["cluster"], frame["words"], strict=True):
             whole, left = divmod(int(words), capacity)
@@ -103,7 +110,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, source_pieces: int = SOUR
     return rows.groupBy("group").applyInPandas(run, PACKED)
 
 
-def fill(packed: DataFrame) -> DataFrame:
-    """How well bins are used: bins, words, share of room used."""
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """How well bins are used: bins, words, share of their room that is used."""
     bins = packed.groupBy("group", "bin").agg(F.sum("n_words").alias("n"))
-    return bins.agg(F.count("*").alias("bins"), F.sum("n").alias("words"))
+    return bins.agg(F.count("*").alias("bins"), F.sum("n").alias("words"), (F.sum("n") / (F.count("*") * capacity)).alias("share"))

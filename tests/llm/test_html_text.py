@@ -1,7 +1,10 @@
 import html as entities
+import itertools
 import os
 import re
+import time
 
+import numpy as np
 import pytest
 
 from slidegrid.llm import html_text
@@ -44,13 +47,53 @@ def test_other_layouts_and_odd_rows(spark, trees):
 
 
 def test_decoding_has_no_contradictions():
-    import numpy as np
-
     page = Page("<div><p>a</p><div><p>b</p></div></div><p>c</p>")
     for seed in range(20):
         keep = page.decode(np.random.default_rng(seed).random(len(page.nodes)))
         assert all(keep[x.parent] or not keep[k] for k, x in enumerate(page.nodes) if k)
 
 
+def test_tables_hidden_words_and_names_that_mention_boilerplate(spark, trees):
+    text = "The river rose in spring, and the lower fields stood under water for weeks. "
+    rows = [
+        (1, f"<body><nav><a href='/'>Home</a></nav><article><h1>Law</h1><p>{text}</p><section class='comments-on-law'><h2>Notes</h2><p>{text * 2}</p></section></article><footer>Rights</footer>"),
+        (2, f"<body><main><h1>Yield</h1><p>{text}<span hidden>secret <span>more</span> words</span>seen <i style='display: none'>gone</i>too</p><table><tr><td>{text}</td><td>{text}</td></tr></table><p>{text}</p></main>"),
+        (3, f"<body><article><h1>Open</h1><div/><p>{text}</p><p>{text}</p></article>"),
+    ]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame([(k, "u", h) for k, h in rows], "page_id long, url string, html string"), trees=trees).collect()}
+    t = text.strip()
+    assert got[1] == f"Law\n{t}\nNotes\n{t} {t}"
+    assert got[2] == f"Yield\n{t} seen too\n{t}\n{t}\n{t}"
+    assert got[3] == f"Open\n{t}\n{t}"
+
+
+def test_deep_and_stray_tags_take_linear_time():
+    n = 100_000
+    for html in ("<x-y>" * n + "a", "<div>" * (n // 2) + "</p>" * n + "a", "<ul><li>" * (n // 2) + "a", "<p>a" * n, "<b hidden>" * n + "</b>" * n + "a"):
+        start = time.perf_counter()
+        page = Page(html)
+        assert page.segments[-1][1] == "a"
+        assert time.perf_counter() - start < 15
+
+
+def test_implied_ends():
+    tags = lambda html: [(x.tag, page.nodes[x.parent].tag) for page in [Page(html)] for x in page.nodes[1:]]
+    assert tags("<p>a<p>b<div>c<p>d</div>e") == [("p", "#root"), ("p", "#root"), ("div", "#root"), ("p", "div")]
+    assert tags("<ul><li>a<ul><li>b</ul><li>c") == [("ul", "#root"), ("li", "ul"), ("ul", "li"), ("li", "ul"), ("li", "ul")]
+    assert tags("<table><tr><td>a<td>b<tr><td>c") == [("table", "#root"), ("tr", "table"), ("td", "tr"), ("td", "tr"), ("tr", "table"), ("td", "tr")]
+    assert tags("<svg><path/><g/></svg><div/><p>") == [("svg", "#root"), ("path", "svg"), ("g", "svg"), ("div", "#root"), ("p", "div")]
+
+
+def test_decoding_equals_the_best_of_all_labellings():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        page = Page("".join(rng.choice(["<div>", "<section>", "</div>", "</section>", "<p>a</p>"], 9)))
+        n = len(page.nodes)
+        p = rng.uniform(0.05, 0.95, n)
+        cost = lambda keep: sum(np.log(p[k] if on else 1 - p[k]) for k, on in enumerate(keep))  # noqa: B023, E731
+        allowed = [keep for keep in itertools.product([False, True], repeat=n) if all(keep[x.parent] or not keep[k] for k, x in enumerate(page.nodes) if k)]
+        assert abs(cost(page.decode(p)) - max(map(cost, allowed))) < 1e-9
+
+
 def test_empty(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

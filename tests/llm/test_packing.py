@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from slidegrid.llm import packing
 
 
@@ -45,5 +47,25 @@ def test_whole_table(spark):
         assert len(held) == 1 or max(Counter(r["source"] for r in held).values()) <= 4
 
 
+def test_bins_do_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 90))), rng.choice(["hot", "hot", "x", None])) for i in range(300)]
+    rows += [(5, "the same row", "hot")] * 40 + [(None, "no id", None)] * 7
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    packed = [packing.pack(f, capacity=128, group=60) for f in (frame, frame.repartition(7), frame.orderBy("text").coalesce(2))]
+    plain = [Counter(tuple(r) for r in p.collect()) for p in packed]
+    assert plain[0] == plain[1] == plain[2] and sum(plain[0].values()) == len(rows)
+    filled = packing.fill(packed[0], 128).first()
+    assert filled["words"] == sum(len(t.split()) for _, t, _ in rows) and abs(filled["share"] - filled["words"] / (128 * filled["bins"])) < 1e-12
+
+
+def test_copies_over_many_blocks_and_case(spark):
+    frame = spark.createDataFrame([(1, "A b"), (1, "\ta  B "), (2, "É"), (3, "é")], "doc_id long, text string").withColumn("source", F.lit("s"))
+    marks = packing.pieces_of(frame, 16, None).collect()
+    assert len({r["cluster"] for r in marks}) == 3 and len({r["mark"] for r in marks}) == 4
+    many = spark.range(140000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("x").alias("text"), F.lit("s").alias("source"))
+    assert packing.pieces_of(many, 16, None).select("mark").distinct().count() == 140000
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
