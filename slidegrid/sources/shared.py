@@ -23,3 +23,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_name(df.sparkSession)
     df.write.option("compression", "lz4").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def full_uri(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority, as Hadoop's settings of the session say."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
