@@ -5,10 +5,14 @@ are mined from labelled urls with Spark's FP-growth. Labels are the listed rules
 document whose number ends the path; that such a number names a document is an assumption about the tables.
 
 1. Baskets hold the tokens of labelled urls and their class. A token or rule must occur in LEAST_BASKETS baskets and
-   in the share MIN_SUPPORT of them. FP-growth sees of each basket its MOST_ITEMS rarest frequent tokens, so a long
-   url gives at most 2^(MOST_ITEMS + 1) sets; this bounds the fit only.
-2. Sets of up to MOST_NEEDS tokens are candidates. Their support and confidence are counted again over all tokens of
-   all baskets, through an inverted index that files each candidate under its rarest token.
+   in the share MIN_SUPPORT of them. A token that all its baskets of one class hold is a rule by itself, which prunes every
+   larger one, so FP-growth gets the other frequent tokens: of each basket the MOST_ITEMS rarest, as Spark's has no bound on
+   the size of a set and a long url would give 2^length of them. Sets that end, from rare to frequent, in a token beyond
+   these in any basket are grown as in its conditional trees, from that token by rarer ones, up to MOST_NEEDS tokens, as
+   long as they are frequent and not of one class only. Both together find every frequent set that a rule can have.
+2. Sets of up to MOST_NEEDS tokens are candidates. Support and confidence of what FP-growth found are counted again over all
+   tokens of all baskets, through an inverted index that files each candidate under its rarest token. Equal baskets count
+   at once.
 3. A rule `tokens -> class` needs the least support, MIN_CONFIDENCE, and MIN_LIFT times the share of its class among all
    baskets (at most 1), so that no rule says just what most urls are; it is pruned if one with fewer of its tokens and
    the same class is as confident.
@@ -31,6 +35,7 @@ from .common import pick, stored
 
 #: (verdict, host, path). These values are fixed by the contract.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+COPIES = 4096
 LEAST_BASKETS, MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MOST_ITEMS, MOST_NEEDS = 10, 0.002, 0.75, 1.05, 10, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -90,27 +95,56 @@ def baskets_of(urls: DataFrame, labels: DataFrame) -> DataFrame:
 
 def index_of(sets: DataFrame, counts: DataFrame) -> DataFrame:
     """The rows of sets (needs, ...) with the rarest token of each, under which it is filed."""
-    spread = sets.select("needs", F.explode("needs").alias("token")).join(counts, "token")
+    spread = sets.select("needs", F.explode("needs").alias("token")).join(counts.select("token", "n"), "token")
     return sets.join(spread.groupBy("needs").agg(F.min_by("token", F.struct("n", "token")).alias("token")), "needs")
 
 
+def grown(paths: DataFrame, *, least: int, most_items: int, most_needs: int) -> list[DataFrame]:
+    """needs, token (the first), verdict, support: a frame for each size from 2, of all frequent sets whose last token lies beyond the first most_items of a path (path, verdict, times).
+
+    Sets are counted over all paths, at every size, and one of a single class is not grown further.
+    """
+    beyond = stored(paths.where(F.size("path") > most_items).select(F.explode(F.slice("path", F.lit(most_items + 1), F.size("path"))).alias("token")).distinct())
+    if beyond.isEmpty():
+        return []
+    held = paths.select("verdict", "times", "path", F.posexplode("path").alias("at", "token")).join(beyond, "token", "left_semi")
+    held, found = held.select("verdict", "times", F.slice("path", F.lit(1), F.col("at")).alias("path"), F.array("token").alias("needs")), []
+    for _ in range(most_needs - 1):
+        held = held.select("verdict", "times", "path", "needs", F.posexplode("path").alias("at", "token"))
+        held = held.select("verdict", "times", F.slice("path", F.lit(1), F.col("at")).alias("path"), F.concat(F.array("token"), "needs").alias("needs"))
+        sums = held.groupBy("needs", "verdict").agg(F.sum("times").alias("support")).groupBy("needs").agg(F.max("support").alias("most"), F.collect_list(F.struct("verdict", "support")).alias("classes"))  # two classes
+        found.append(stored(sums.where(F.col("most") >= least)))
+        held = held.join(found[-1].where(F.size("classes") > 1).select("needs"), "needs", "left_semi")
+    return [x.select("needs", F.element_at("needs", 1).alias("token"), F.inline("classes")).withColumn("needs", F.array_sort("needs")) for x in found]
+
+
 def mine(baskets: DataFrame, *, least_baskets: int = LEAST_BASKETS, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, most_items: int = MOST_ITEMS, most_needs: int = MOST_NEEDS) -> DataFrame:
     """needs, verdict, confidence, support (baskets), token (the index key): rules from baskets (tokens, verdict)."""
-    baskets = stored(baskets.withColumn("basket", F.monotonically_increasing_id()))
-    sizes = {r["verdict"]: r["count"] for r in baskets.groupBy("verdict").count().collect()}  # two classes
+    baskets = stored(baskets.groupBy("tokens", "verdict").agg(F.count("*").alias("times")).withColumn("basket", F.monotonically_increasing_id()))
+    sizes = {r["verdict"]: r["n"] for r in baskets.groupBy("verdict").agg(F.sum("times").alias("n")).collect()}  # two classes
     total = sum(sizes.values())
     least = max(least_baskets, -int(-min_support * total // 1))
-    spread = baskets.select("basket", "verdict", F.explode("tokens").alias("token"))
-    counts = stored(spread.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least))
-    rare = F.slice(F.array_sort(F.collect_list(F.struct("n", "token"))), 1, most_items)["token"]
-    items = spread.join(counts, "token").groupBy("basket").agg(F.concat(rare, F.array(F.concat(F.lit("="), F.first("verdict")))).alias("items"))
-    share = min(1.0, (least - 0.5) / max(1, total))
-    found = FPGrowth(itemsCol="items", minSupport=share).fit(stored(items)).freqItemsets
+    spread = baskets.select("basket", "verdict", "times", F.explode("tokens").alias("token"))
+    counts = stored(spread.groupBy("token").agg(F.sum("times").alias("n"), (F.min("verdict") < F.max("verdict")).alias("mixed")).where(F.col("n") >= least))
+    path = F.array_sort(F.collect_list(F.struct("n", "token")))["token"]
+    paths = stored(spread.join(counts.where("mixed"), "token").groupBy("basket", "verdict", "times").agg(path.alias("path")))
+    # FP-growth takes no weights: a row for each of equal baskets, by pieces that go to different tasks
+    pieces = paths.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / COPIES).cast("int")))).repartition("basket", "piece")
+    copies = F.explode(F.array_repeat(F.lit(0), F.least(F.lit(COPIES), F.col("times") - F.col("piece") * COPIES).cast("int")))
+    items = stored(pieces.select(F.concat(F.slice("path", 1, most_items), F.array(F.concat(F.lit("="), "verdict"))).alias("items"), copies.alias("copy")).select("items"))
+    share = min(1.0, (least - 0.5) / max(1, items.count()))
+    found = FPGrowth(itemsCol="items", minSupport=share).fit(items).freqItemsets
     labelled = F.exists("items", lambda x: F.startswith(x, F.lit("=")))
-    sets = found.where(labelled).select(F.array_sort(F.filter("items", lambda x: ~F.startswith(x, F.lit("=")))).alias("needs")).where(F.size("needs").between(1, most_needs)).distinct()
+    sets = found.where(labelled).select(F.filter("items", lambda x: ~F.startswith(x, F.lit("="))).alias("needs")).where(F.size("needs").between(1, most_needs))
+    sets = sets.unionByName(counts.select(F.array("token").alias("needs"))).select(F.array_sort("needs").alias("needs")).distinct()
+    counted = grown(paths, least=least, most_items=most_items, most_needs=most_needs)
+    for own in counted:
+        sets = sets.join(own.select("needs"), "needs", "left_anti")
     index = stored(index_of(sets, counts))
-    held = baskets.select("tokens", "verdict", F.explode("tokens").alias("token")).join(index, "token")
-    held = held.where(F.size(F.array_except("needs", "tokens")) == 0).groupBy("needs", "token", "verdict").agg(F.count("*").alias("support"))
+    held = baskets.select("tokens", "verdict", "times", F.explode("tokens").alias("token")).join(index, "token")
+    held = held.where(F.size(F.array_except("needs", "tokens")) == 0).groupBy("needs", "token", "verdict").agg(F.sum("times").alias("support"))
+    for own in counted:
+        held = held.unionByName(own)
     of = held.groupBy("needs").agg(F.sum("support").alias("of"))
     lifted = lambda verdict: F.lit(min(1.0, min_lift * sizes.get(verdict, 0) / max(1, total)))
     surest = F.greatest(F.lit(min_confidence), F.when(F.col("verdict") == "block", lifted("block")).otherwise(lifted("allow")))

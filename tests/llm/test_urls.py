@@ -64,6 +64,23 @@ def test_mining_equals_brute_force(spark):
         assert got == {k: (round(c, 9), n) for k, (c, n) in brute_rules(baskets, 10, 0.75, lift).items()}
 
 
+def test_rules_of_frequent_tokens_in_long_urls(spark, monkeypatch):
+    monkeypatch.setattr(urls, "COPIES", 3)
+    rng = random.Random(6)
+    baskets = []
+    for _ in range(300):
+        tokens = sorted({x for x in "cdefghijklmnopqr" if rng.random() < 0.7} | {x for x in "ab" if rng.random() < 0.9} | ({"z"} if rng.random() < 0.1 else set()))
+        block = "a" in tokens and "b" in tokens and rng.random() < 0.97 or "z" in tokens
+        baskets += [(tokens, "block" if block else "allow")] * rng.choice((1, 1, 5))
+    assert sum(len(t) > urls.MOST_ITEMS for t, _ in baskets) > 200
+    frame = spark.createDataFrame(baskets, "tokens array<string>, verdict string")
+    for least in (10, 300):
+        want = brute_rules(baskets, least, 0.75, 1.05)
+        assert (("a", "b"), "block") in want
+        got = {(tuple(r["needs"]), r["verdict"]): (round(r["confidence"], 9), r["support"]) for r in urls.mine(frame, least_baskets=least).collect()}
+        assert got == {k: (round(c, 9), n) for k, (c, n) in want.items()}
+
+
 def test_matching_equals_brute_force(spark):
     rng = random.Random(9)
     rules = {}
