@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import finite, nan_to_null, ratio
+from ..sources.shared import stored
 from .quantiles import exact_quantiles
 
 
@@ -70,12 +71,13 @@ def wide_results(enc: DataFrame, encoders: list[str], *, dataset: str = "dataset
 def box_stats(df: DataFrame, value: str, by=()) -> DataFrame:
     """n, q1, median, q3 and whiskers: the extreme values within 1.5 interquartile ranges. Finite values count; null is a group.
 
-    Quartiles are exact and no task holds a group (see quantiles).
+    Quartiles are exact and no task holds a group (see quantiles): fences are written before rows meet them, so that Spark
+    knows their size, and rows stay where they are or a frequent group can be split.
     """
     reach = 1.5 * (F.col("q2") - F.col("q0"))
     named = [F.col(a).alias(b) for a, b in (("q0", "q1"), ("q1", "median"), ("q2", "q3"))]
     fences = exact_quantiles(df, value, by).select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], "n", *named, (F.col("q0") - reach).alias("_low"), (F.col("q2") + reach).alias("_high"))
-    fences = fences if by else F.broadcast(fences)  # one row
+    fences = stored(fences) if by else F.broadcast(fences)  # one row
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)], F.lit(True))
     inside = F.when(F.col(value).between(F.col("_low"), F.col("_high")), F.col(value))
     joined = df.where(finite(F.col(value).cast("double"))).select(*by, value).join(fences, same)

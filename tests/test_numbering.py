@@ -83,3 +83,15 @@ def test_quantiles_of_all_rows_and_boxes(spark):
         assert (boxes[g]["n"], boxes[g]["whisker_low"], boxes[g]["whisker_high"]) == (1500, held.min(), held.max())
         assert abs(boxes[g]["q1"] - q1) < 1e-12
     assert report.size_legend(df, "v").first()["middle"] == np.quantile(x, 0.5)
+
+
+def test_rows_of_a_box_are_not_gathered_by_group(spark, tmp_path):
+    spark.range(400_000).select((F.col("id") % 2).cast("string").alias("g"), F.rand(3).alias("v")).write.parquet(f"{tmp_path}/t")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000000")  # less than the rows
+    try:
+        boxes = metrics.box_stats(spark.read.parquet(f"{tmp_path}/t"), "v", ("g",))
+        assert sorted((r["g"], r["n"]) for r in boxes.collect()) == [("0", 200_000), ("1", 200_000)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = boxes._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan.split("Initial Plan")[0] and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
