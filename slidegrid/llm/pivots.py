@@ -10,7 +10,9 @@ The table is ordered by length, nearest pivot and distance to it, and cut into b
 their distances; queries are cut into groups in the same order. Each query first looks into the FIRST blocks of the highest
 bounds, which gives it a floor: the score of its k-th node so far. Then it looks into the other blocks whose bound isn't
 below that floor. In a block, its candidates are evaluated in the order of their bounds, and it stops at the first
-bound strictly below its k-th score. Blocks meet groups of queries by joins; nothing but the pivots comes to the driver.
+bound strictly below its k-th score. Bounds of nodes cost more than their products; a query whose bounds leave over the share
+WEAK of about PROBE nodes of a block gets the products of the whole block, by one matrix product with the other such queries
+of its group. Then the work is still that of all pairs, which grows with the square of the input. Blocks meet groups of queries by joins; nothing but the pivots comes to the driver.
 
 Cases: null vectors and ones with null or non-finite components take no part, nor do rows without an id; vectors of
 different lengths are not each other's candidates (distances are those of vectors filled up with zeros, so bounds hold); zero
@@ -36,6 +38,8 @@ NEAREST, EVERY, SCALE, PIVOTS, SAMPLE, BLOCK, GROUP, CHUNK, FIRST = 20, 20, 64,
 TABLE = "key binary, first_id long, size int, vector array<int>, norm long, home int, near double, distances array<double>"
 BOUNDS = "team long, key binary, block long, bound double"
 FOUND = "key binary, other binary, first_id long, score long"
+#: How many nodes of a block show whether bounds eliminate, and the share left of them from which all are evaluated at once.
+PROBE, WEAK = 256, 0.25
 #: Distances are doubles; bounds are widened by this share of the norms, far above what rounding can do.
 SLACK = 1e-12
 
@@ -171,6 +175,31 @@ def eliminate(query: np.ndarray, vectors: np.ndarray, bound: np.ndarray, nearest
     return order[: len(scores)][keep], scores[keep], len(scores)
 
 
+def reaching(x: np.ndarray, y: np.ndarray, norm: np.ndarray, other: np.ndarray, far: np.ndarray, near: np.ndarray, floor: np.ndarray, nearest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, rows, scores) for each row of x: of those of y that reach its floor, the `nearest` best and all that equal the last. far: pivots in columns; near: in rows."""
+    some = np.arange(0, len(y), max(1, len(y) // PROBE))
+    sample = np.sort(exact_product(x, y[some].T), 1)
+    if len(some) >= nearest:  # the scores of some nodes give a first floor
+        floor = np.maximum(floor, sample[:, -nearest])
+    likely = np.maximum(floor, sample[:, -min(len(some), 1 + -(-nearest * len(some) // len(y)))])  # about what the block's floor will be; it only decides the way
+    gap = np.zeros((len(x), len(some)))
+    for k in range(len(near)):
+        np.maximum(gap, np.abs(near[k, some] - far[:, k, None]), out=gap)
+    weak = (upper(norm[:, None], other[some], gap) >= likely[:, None]).mean(1) > WEAK
+    for at in range(0, len(x), GROUP):
+        own = at + np.flatnonzero(weak[at : at + GROUP])
+        for i, scores in zip(own, exact_product(x[own], y.T), strict=True):
+            row = np.flatnonzero(scores >= floor[i])
+            if len(row) > nearest:
+                row = row[scores[row] >= np.partition(scores[row], -nearest)[-nearest]]
+            yield i, row, scores[row]
+    for i in np.flatnonzero(~weak):
+        gap = np.zeros(len(y))
+        for k in range(len(near)):
+            np.maximum(gap, np.abs(near[k] - far[i, k]), out=gap)
+        yield i, *eliminate(x[i], y, upper(norm[i], other, gap), nearest, floor[i])[:2]
+
+
 def evaluate(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, nearest: int) -> DataFrame:
     """FOUND: for pairs (team, key, block), the best nodes of the block for each query."""
     left = pairs.select("key", "block").join(queries.select("key", "team", "vector", "norm", "distances", "floor"), "key")
@@ -183,11 +212,7 @@ def evaluate(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, nearest: i
         far, near = matrix(left.column("distances"), float), np.ascontiguousarray(matrix(right.column("distances"), float).T)
         norm, other, floor, ids = left.column("norm").to_numpy(), right.column("norm").to_numpy(), left.column("floor").to_numpy(), right.column("first_id").to_numpy()
         who, which, values = [], [], []
-        for i in range(len(x)):
-            gap = np.zeros(len(y))
-            for k in range(len(near)):
-                np.maximum(gap, np.abs(near[k] - far[i, k]), out=gap)
-            row, score, _ = eliminate(x[i], y, upper(norm[i], other, gap), nearest, floor[i])
+        for i, row, score in reaching(x, y, norm, other, far, near, floor, nearest):
             order = np.lexsort((ids[row], -score))[:nearest]
             who.append(np.full(len(order), i))
             which.append(row[order])

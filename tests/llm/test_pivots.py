@@ -64,6 +64,23 @@ def test_bounds_hold_and_eliminate():
     assert looked < 0.1 * len(y)
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_weak_bounds_give_way_to_one_product(monkeypatch, clusters):
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=(clusters, 32))[np.arange(3000) % clusters] + 0.02 * rng.normal(size=(3000, 32)) if clusters else rng.normal(size=(3000, 32))
+    y = np.floor(64 * y / np.sqrt((y * y).sum(1, keepdims=True))).astype(np.int64)
+    x, chosen = y[:200], y[-32:]
+    far = lambda v: np.sqrt(((v[:, None] - chosen) ** 2).sum(-1).astype(float))
+    norm, products, floors = (y * y).sum(1), [], np.full(200, -np.inf)
+    floors[::2] = np.sort(x @ y.T, 1)[::2, -30]
+    monkeypatch.setattr(pivots, "exact_product", lambda a, b, own=pivots.exact_product: (products.append(1), own(a, b))[1])
+    got = {int(i): (sorted(row), sorted(score)) for i, row, score in pivots.reaching(x, y, norm[:200], norm, far(x), np.ascontiguousarray(far(y).T), floors, 21)}
+    for i, scores in enumerate(x @ y.T):
+        want = np.flatnonzero(scores >= np.sort(scores)[-21])
+        assert got[i] == (want.tolist(), sorted(scores[want]))
+    assert len(got) == 200 and (len(products) >= 200 if clusters else len(products) == 2)
+
+
 def test_few_empty_and_large(spark):
     assert pivots.nearest_exact(frame(spark, [])).count() == 0
     assert pivots.nearest_exact(frame(spark, [(20, [1.0])])).count() == 0
