@@ -40,13 +40,30 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/slidegrid-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, compression: str = "lz4") -> DataFrame:
+def stored(df: DataFrame, compression: str = "lz4", **options: int | bool) -> DataFrame:
     """Write to the shared folder and read back: the lineage ends there, and what was computed is computed once."""
     path = scratch(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Values of an array in a row of an index, and how such rows are written: readers decode whole row groups, whose size is looked at after so many rows (100 by default). Dictionaries of hashes and positions only cost time.
+PIECE_VALUES, SMALL_GROUPS = 8192, {"parquet.block.size": 1 << 21, "parquet.page.size.row.check.min": 8, "parquet.enable.dictionary": False}
+
+
+def pieces(shard: int, arrays: dict[str, pa.Array], values: int = PIECE_VALUES) -> pa.RecordBatch:
+    """A shard as rows (shard, piece, a slice of each array), so that no row is large; arrays that have ended are empty in later rows."""
+    n = max(1, -(-max(map(len, arrays.values())) // values))
+    cut = lambda x: pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(n + 1) * values, len(x)), pa.int32()), x)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.arange(n), pa.int32()), *map(cut, arrays.values())], ["shard", "piece", *arrays])
+
+
+def whole(rows: pa.Table, *names: str) -> list[pa.Array]:
+    """Arrays of a shard from its pieces, in whatever order these come."""
+    rows = rows.sort_by("piece")
+    return [rows.column(c).combine_chunks().flatten() for c in names]
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,7 +1,8 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is partitioned by document: each row (a shard of about SHARD_WORDS words) holds its documents, and for every term
-of its texts the ascending list of the positions at which it stands. Terms are words' 64-bit ids. The benchmark's windows
+The index is partitioned by document: each shard (of about SHARD_WORDS words) holds its documents, and for every term of
+its texts the ascending list of the positions at which it stands. A shard is cut into rows of a bounded size, which meet
+again where it is searched. Terms are words' 64-bit ids. The benchmark's windows
 are a table too: each gets the corpus counts of its terms and is joined, by the rarest of them, with the shards that
 hold that term; a window with a word that the corpus lacks goes. A shard's lists are then intersected after adjustment
 by their offsets, rarest terms first, so most windows end at the first or second list. The same lists give proximity
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import ordered, pick, small_batches, stored, word_hashes
+from .common import PIECE_VALUES, SMALL_GROUPS, ordered, pick, pieces, small_batches, stored, whole, word_hashes
 
 WIDTH, SHARD_WORDS, SHARE = 13, 250_000, 20
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z: digits, letters and everything beyond ASCII.
 BREAKS = np.array([not (48 <= c <= 57 or 97 <= c <= 122 or c > 127) for c in range(256)])
-INDEX = "shard long, doc_ids array<long>, doc_keys array<long>, sizes array<int>, terms array<long>, counts array<int>, gaps array<int>"
+INDEX = "shard long, piece int, doc_ids array<long>, doc_keys array<long>, sizes array<int>, terms array<long>, counts array<int>, gaps array<int>"
 WINDOWS = "item string, number long, term long, place int, size int"
 MATCHES = "shard long, doc int, ids array<string>, places array<int>, lengths array<int>"
 
@@ -47,7 +48,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, *, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """INDEX rows. Positions of a shard leave one place free after each document; `gaps` are their differences."""
+    """INDEX rows. Positions of a shard leave one place free after each document; `gaps` are their differences. All arrays are cut into pieces of PIECE_VALUES values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size, parts = TaskContext.get().partitionId() << 32, 0, []
@@ -62,9 +63,7 @@ def build_index(docs: DataFrame, *, shard_words: int = SHARD_WORDS) -> DataFrame
             gaps = np.diff(places, prepend=0)
             gaps[first] = places[first]
             counts = np.diff(first, append=len(terms))
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            values = (ids, keys, pa.array(sizes, pa.int32()), pa.array(terms[first].view(np.int64)), pa.array(counts, pa.int32()), pa.array(gaps, pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array([number]), *map(one, values)], _names(INDEX))
+            return pieces(number, {"doc_ids": ids, "doc_keys": keys, "sizes": pa.array(sizes, pa.int32()), "terms": pa.array(terms[first].view(np.int64)), "counts": pa.array(counts, pa.int32()), "gaps": pa.array(gaps, pa.int32())})
 
         for batch in small_batches(batches, 2, 1 << 20):
             terms, _, _, sizes = word_hashes(batch.column(2), lower=True, breaks=BREAKS)
@@ -76,11 +75,11 @@ def build_index(docs: DataFrame, *, shard_words: int = SHARD_WORDS) -> DataFrame
         if parts:
             yield row()
 
-    return stored(keyed(docs).mapInArrow(run, INDEX), "zstd")
+    return stored(keyed(docs).mapInArrow(run, INDEX), "zstd", **SMALL_GROUPS)
 
 
 class Shard:
-    """One row of the index with its lists."""
+    """A shard of the index with its lists."""
 
     def __init__(self, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, gaps: np.ndarray):
         self.sizes, self.terms, self.gaps = sizes.astype(np.int64), terms, gaps
@@ -158,8 +157,7 @@ def search(index: DataFrame, asked: DataFrame, *, span: int | None = None) -> Da
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            flat = lambda name: left.column(name).combine_chunks().flatten().to_numpy()
-            shard, hits = Shard(flat("sizes"), flat("terms"), flat("counts"), flat("gaps")), {}
+            shard, hits = Shard(*(x.to_numpy() for x in whole(left, "sizes", "terms", "counts", "gaps"))), {}
             for item, terms, places in zip(*(right.column(c).to_pylist() for c in ("item", "term", "place")), strict=True):
                 at = shard.phrase(list(zip(terms, places, strict=True))) if span is None else shard.near(terms, span)
                 for doc, place in zip(shard.doc_of(at).tolist(), at.tolist(), strict=True):
@@ -169,7 +167,7 @@ def search(index: DataFrame, asked: DataFrame, *, span: int | None = None) -> Da
         kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], _names(MATCHES))
 
-    lists = index.select("shard", "sizes", "terms", "counts", "gaps")
+    lists = index.select("shard", "piece", "sizes", "terms", "counts", "gaps")
     return lists.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(run, MATCHES)
 
 
@@ -190,8 +188,8 @@ def judged(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, share:
     """doc_id, doc_key, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
     index = build_index(docs, shard_words=shard_words)
     matches = search(index, windows(benchmark, width))
-    each = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "doc_keys", "sizes")).alias("doc", "x"))
-    each = each.select("shard", "doc", F.col("x.doc_ids").alias("doc_id"), F.col("x.doc_keys").alias("doc_key"), F.col("x.sizes").alias("n_words"))
+    each = index.select("shard", "piece", F.posexplode(F.arrays_zip("doc_ids", "doc_keys", "sizes")).alias("doc", "x"))
+    each = each.select("shard", (F.col("piece") * PIECE_VALUES + F.col("doc")).alias("doc"), F.col("x.doc_ids").alias("doc_id"), F.col("x.doc_keys").alias("doc_key"), F.col("x.sizes").alias("n_words"))
     digest = each.join(matches, ["shard", "doc"], "left").select("doc_id", "doc_key", F.col("n_words").cast("long").alias("n_words"), _digest("n_words", "ids", "places", "lengths").alias("d"))
     return digest.select("doc_id", "doc_key", "n_words", "d.*", ((F.col("d.n_hit") > 0) & (share * F.col("d.n_hit") >= F.col("n_words"))).alias("contaminated"))
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from slidegrid.llm import decontaminate as dc
 
@@ -67,3 +68,20 @@ def test_proximity(spark, shard_words):
         if ends:
             want[i] = ends
     assert found == want and len(want) == 3
+
+
+def test_rows_and_row_groups_of_the_index_are_small(spark):
+    """A reader holds a row group at once, and a shuffle or a group whole rows, however much a task has read."""
+    docs = [(i, f"d{i} the") for i in range(20_000)] + [(30_000 + k, " ".join(f"w{(i * i + k) % 5003}" for i in range(300_000))) for k in range(4)]
+    docs += [(40_000, "a b c d e f"), (40_001, "x a b c x")]
+    items = [(1, docs[-4][1][:200]), (2, "a b c"), (3, "d19999 the"), (4, "d7 the")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    index = dc.build_index(d)
+    longest = index.selectExpr(*[f"max(size({c})) as {c}" for c, kind in index.dtypes if kind.startswith("array")]).first()
+    assert max(longest) <= 8192 and index.select("shard").distinct().count() > 1
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    assert max(m.row_group(k).total_byte_size for m in groups for k in range(m.num_row_groups)) < 6 << 20
+    got = {r["doc_id"]: tuple(r) for r in dc.contamination(d, b, width=5).collect()}
+    few = [x for x in docs if x[0] in (0, 7, 19_999, 30_001, 30_002, 40_000, 40_001)]
+    assert len(got) == len(docs) and sorted((got[i] for i, _ in few), key=str) == brute(few, items, 5)
+    assert sum(x[2] > 0 for x in got.values()) == sum(x[2] > 0 for x in brute(few, items, 5))
