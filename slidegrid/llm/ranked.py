@@ -1,14 +1,14 @@
 """Ranked lexical search by the Best Position Algorithm over impact lists of document shards.
 
-The index has a row for each shard of about SHARD_WORDS words: its documents with their numbers of terms, and for every
-term the documents that hold it and how often. Corpus counts (documents, terms, documents of each asked term) are
-aggregates over the shards. In a shard, the list of a term is ordered by impact, the part of the score that depends on
-the document. An item is read down all its lists at once; every document met is scored in full by direct accesses to
-the other lists, which also mark its positions there. The best position of a list is the last one before which all
-have been seen, mostly far beyond the last one read; no document that hasn't been met can gain more from a list than
-its first unseen position gives. The search of a shard stops when these gains sum to strictly less than the score of
-its k-th document, so equal scores are never lost. The best of all shards are ranked in a window that each task cuts to
-k rows an item first.
+The index has shards of about SHARD_WORDS words: their documents with their numbers of terms, and for every term the
+documents that hold it and how often. A shard is cut into rows of a bounded size, which meet again where it is searched.
+Corpus counts (documents, terms, documents of each asked term) are aggregates over the shards. In a shard, the list of a
+term is ordered by impact, the part of the score that depends on the document. An item is read down all its lists at
+once; every document met is scored in full by direct accesses to the other lists, which also mark its positions there.
+The best position of a list is the last one before which all have been seen, mostly far beyond the last one read; no
+document that hasn't been met can gain more from a list than its first unseen position gives. The search of a shard
+stops when these gains sum to strictly less than the score of its k-th document, so equal scores are never lost. The
+best of all shards are ranked in a window that each task cuts to k rows an item first.
 
 Items are dealt in blocks of about ITEMS to all shards; neither items nor index are collected or broadcast.
 
@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import ordered, pick, small_batches, stored, word_hashes
+from .common import SMALL_GROUPS, ordered, pick, pieces, small_batches, stored, whole, word_hashes
 
 NEAREST, SHARD_WORDS, ITEMS, SALTS = 20, 1_000_000, 4096, 64
 #: [^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+ after lower-casing A-Z: digits, letters and everything beyond ASCII.
 BREAKS = np.array([not (48 <= c <= 57 or 97 <= c <= 122 or c > 127) for c in range(256)])
-INDEX = "shard long, doc_ids array<long>, sizes array<int>, terms array<long>, counts array<int>, docs array<int>, times array<int>"
+INDEX = "shard long, piece int, doc_ids array<long>, sizes array<int>, terms array<long>, counts array<int>, docs array<int>, times array<int>"
 TERMS = "item long, term long, times int"
 FOUND = "item long, doc_id long, score long"
 
@@ -45,7 +45,7 @@ def _names(schema: str) -> list[str]:
 
 
 def build_index(docs: DataFrame, *, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """INDEX rows: `counts` documents hold each of `terms` (ascending as unsigned numbers); these are listed one term after another in `docs` (ascending numbers within the shard), with `times` of each."""
+    """INDEX rows: `counts` documents hold each of `terms` (ascending as unsigned numbers); these are listed one term after another in `docs` (ascending numbers within the shard), with `times` of each. All arrays are cut into pieces of PIECE_VALUES values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size, parts = TaskContext.get().partitionId() << 32, 0, []
@@ -60,9 +60,8 @@ def build_index(docs: DataFrame, *, shard_words: int = SHARD_WORDS) -> DataFrame
             new_doc = new_term | np.append(True, doc[1:] != doc[:-1])[: len(terms)]
             first = np.flatnonzero(new_doc)
             lists = np.flatnonzero(new_term[first])
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            values = (ids, pa.array(sizes, pa.int32()), pa.array(terms[first][lists].view(np.int64)), pa.array(np.diff(lists, append=len(first)), pa.int32()), pa.array(doc[first], pa.int32()), pa.array(np.diff(first, append=len(terms)), pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array([number]), *map(one, values)], _names(INDEX))
+            counts, times = np.diff(lists, append=len(first)), np.diff(first, append=len(terms))
+            return pieces(number, {"doc_ids": ids, "sizes": pa.array(sizes, pa.int32()), "terms": pa.array(terms[first][lists].view(np.int64)), "counts": pa.array(counts, pa.int32()), "docs": pa.array(doc[first], pa.int32()), "times": pa.array(times, pa.int32())})
 
         for batch in small_batches(batches, 1, 1 << 20):
             terms, _, _, sizes = word_hashes(batch.column(1), lower=True, breaks=BREAKS)
@@ -75,7 +74,7 @@ def build_index(docs: DataFrame, *, shard_words: int = SHARD_WORDS) -> DataFrame
             yield row()
 
     texts = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return stored(texts.mapInArrow(run, INDEX), "zstd")
+    return stored(texts.mapInArrow(run, INDEX), "zstd", **SMALL_GROUPS)
 
 
 def terms_of(items: DataFrame) -> DataFrame:
@@ -111,7 +110,7 @@ def weighted(index: DataFrame, terms: DataFrame, documents: int) -> DataFrame:
 
 
 class Shard:
-    """One row of the index; lists by term, ordered by document and by impact."""
+    """A shard of the index; lists by term, ordered by document and by impact."""
 
     def __init__(self, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, docs: np.ndarray, times: np.ndarray, documents: int, length: int):
         self.terms, self.docs, self.times = terms.view(np.uint64), docs, times
@@ -184,16 +183,15 @@ def search(index: DataFrame, asked: DataFrame, documents: int, length: int, near
     block = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
     dealt = asked.withColumn("block", block).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    shards = index.select(F.col("shard").alias("part")).withColumns({"block": every, "salt": F.pmod(F.xxhash64("part"), F.lit(SALTS)).cast("int")})
+    shards = index.where(F.col("piece") == 0).select(F.col("shard").alias("part")).withColumns({"block": every, "salt": F.pmod(F.xxhash64("part"), F.lit(SALTS)).cast("int")})
     right = dealt.join(shards, ["block", "salt"]).select("part", "block", "item", "asked")
     left = index.withColumn("block", every)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         items, ids, values = [], [], []
         if left.num_rows and right.num_rows:
-            flat = lambda name: left.column(name).combine_chunks().flatten()
-            shard = Shard(*(flat(c).to_numpy() for c in ("sizes", "terms", "counts", "docs", "times")), documents, length)
-            names = flat("doc_ids")
+            names, *lists = whole(left, "doc_ids", "sizes", "terms", "counts", "docs", "times")
+            shard = Shard(*(x.to_numpy() for x in lists), documents, length)
             for item, terms in zip(right.column("item").to_pylist(), right.column("asked").to_pylist(), strict=True):
                 docs, scores = best_positions(shard, [(t["term"], t["weight"]) for t in terms], nearest)
                 own = names.take(pa.array(docs))

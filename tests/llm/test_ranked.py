@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from slidegrid.llm import ranked
@@ -76,3 +77,16 @@ def test_empty_tables(spark):
     some_d, some_b = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "b a a")], "item_id long, text string")
     assert ranked.rank(none_d, some_b).count() == ranked.rank(some_d, none_b).count() == ranked.rank(none_d, none_b).count() == 0
     assert ranked.rank(some_d, some_b).count() == 1
+
+
+def test_rows_and_row_groups_of_the_index_are_small(spark):
+    """A reader holds a row group at once, and a shuffle or a group whole rows, however much a task has read."""
+    docs = [(i, f"d{i} the") for i in range(20_000)] + [(30_000 + k, " ".join(f"w{(i * (k + 1)) % 20_011} x{k}" for i in range(20_000))) for k in range(30)]
+    items = [(1, "w5 w19 x3 x4"), (2, "the d19999"), (3, "d7 x29 the"), (4, "nowhere")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    index = ranked.build_index(d)
+    longest = index.selectExpr(*[f"max(size({c})) as {c}" for c, kind in index.dtypes if kind.startswith("array")]).first()
+    assert max(longest) <= 8192 and index.select("shard").distinct().count() > 1
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    assert max(m.row_group(k).total_byte_size for m in groups for k in range(m.num_row_groups)) < 6 << 20
+    assert sorted(map(tuple, ranked.rank(d, b).collect()), key=str) == brute(docs, items, 20)
